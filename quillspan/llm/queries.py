@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, sharding
+from . import bpe, packing, sharding
 from .common import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, cut and packed into sequences of 1024 tokens."""
+    import public_tokenizers as P
+
+    files = P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), *files, P.PATTERN)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the multilingual 50k rank file."""
     import public_tokenizers
@@ -28,6 +36,7 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_packing": op2_packing,
     "op6_bpe": op6_bpe,
     "op8_hilbert_sharding": op8_hilbert_sharding,
 }

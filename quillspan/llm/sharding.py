@@ -15,12 +15,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, shuffle_partitions, to_arrow
+from .common import durable, global_rank
 
 SHARDS = 24
 BITS = 8
@@ -108,34 +107,14 @@ def hilbert_order(df: DataFrame, dims: Sequence[str], bits: int = BITS) -> DataF
 def cut_runs(df: DataFrame, order: Sequence[str], shards: int) -> DataFrame:
     """Add ``shard`` (int) and ``slot`` (long): the globally sorted rows cut into runs of equal count.
 
-    Counts differ by one at most. The sorted rows are checkpointed, so partition sizes - all that
-    reaches the driver - and row positions agree even if an executor is lost in between.
+    Shard k holds the ranks from k * n div shards on, so counts differ by one at most.
     """
-    n = shuffle_partitions(df.sparkSession)
-    laid = durable(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    counts = {r["_part"]: r["n"] for r in laid.groupBy("_part").agg(F.count("*").alias("n")).collect()}
-    total, starts, at = sum(counts.values()), {}, 0
-    for p in sorted(counts):
-        starts[p] = at
-        at += counts[p]
-    cuts = np.array([k * total // shards for k in range(shards)], dtype=np.int64)
-    kept = [f for f in laid.schema.fields if f.name != "_part"]
-    schema = T.StructType([*kept, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    arrow = to_arrow(schema)
-
-    def number(batches):
-        seen: dict[int, int] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            part = batch.column(batch.schema.get_field_index("_part"))[0].as_py()
-            rank = starts[part] + seen.get(part, 0) + np.arange(batch.num_rows)
-            seen[part] = seen.get(part, 0) + batch.num_rows
-            shard = np.searchsorted(cuts, rank, side="right") - 1
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(shard, pa.int32()), pa.array(rank - cuts[shard], pa.int64())], schema=arrow)
-
-    return laid.mapInArrow(number, schema)
+    ranked, total = global_rank(df, order)
+    if not total:
+        return df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
+    shard = F.expr(f"((rank + 1) * {shards} - 1) div {total}")
+    placed = ranked.withColumn("shard", shard.cast("int"))
+    return placed.withColumn("slot", F.col("rank") - F.expr(f"(shard * {total}L) div {shards}")).drop("rank")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
