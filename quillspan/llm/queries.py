@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, sharding
+from . import bpe, packing, secrets, sharding
 from .common import table
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: pattern spans, and spans that the randomness battery adds."""
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, cut and packed into sequences of 1024 tokens."""
     import public_tokenizers as P
@@ -36,6 +41,7 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
     "op6_bpe": op6_bpe,
     "op8_hilbert_sharding": op8_hilbert_sharding,
