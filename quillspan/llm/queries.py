@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, secrets, sharding
+from . import bpe, html_extract, packing, secrets, sharding
 from .common import table
 
 
@@ -24,6 +24,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), *files, P.PATTERN)
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the multilingual 50k rank file."""
     import public_tokenizers
@@ -43,6 +48,7 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
+    "op3_html_extract": op3_html_extract,
     "op6_bpe": op6_bpe,
     "op8_hilbert_sharding": op8_hilbert_sharding,
 }
