@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, packing, secrets, sharding
+from . import bpe, html_extract, near_dedup, packing, secrets, sharding
 from .common import table
 
 
@@ -29,6 +29,11 @@ def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the multilingual 50k rank file."""
     import public_tokenizers
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
     "op3_html_extract": op3_html_extract,
+    "op4_near_dedup": op4_near_dedup,
     "op6_bpe": op6_bpe,
     "op8_hilbert_sharding": op8_hilbert_sharding,
 }
