@@ -48,6 +48,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Raw bytes up to which a measured table is broadcast.
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed, and hinted for broadcast if its measured size is within ``BROADCAST_BYTES``.
+
+    Beyond the bound the join shuffles both sides; the result is the same.
+    """
+    df = durable(df)
+    strings = [F.octet_length(f.name) for f in df.schema if isinstance(f.dataType, T.StringType)]
+    width = 16 + 8 * len(df.columns)
+    total = df.agg(F.coalesce(F.sum(sum((F.coalesce(s, F.lit(0)) for s in strings), F.lit(width)).cast("long")), F.lit(0)).alias("b")).first()["b"]
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Sequence]], schema: T.StructType | str, rows: int = 512
 ) -> DataFrame:
