@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches
+from .common import durable, map_batches, small_side
 from .graph import components
 
 WORDS = 5
@@ -194,7 +194,7 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets reach the limit."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")
+    texts = docs.select("doc_id", "text").join(small_side(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def run(cols):
@@ -281,20 +281,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = durable(bands.join(heads, "key"))
     pairs = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     links = durable(_confirmed(durable(_estimated(pairs, reps)), docs))
-    tried_all = False
+    first = FIRST
+    comp = durable(components(links))
     while True:
-        comp = durable(components(links))
         labelled = shared.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
         open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        rows = labelled.join(open_keys, "key", "left_semi").join(reps, "node").select("key", "node", "comp", "n", "regs")
-        more = durable(_across(rows, 0 if tried_all else FIRST))
-        more = durable(_confirmed(more, docs))
-        if more.isEmpty():
-            if tried_all:
-                break
-            tried_all = True
-            continue
-        links = durable(links.unionAll(more))
+        rows = durable(labelled.join(open_keys, "key", "left_semi"))
+        if rows.isEmpty():
+            break
+        candidates = durable(_across(rows.join(reps, "node").select("key", "node", "comp", "n", "regs"), first))
+        if candidates.isEmpty():
+            break
+        more = durable(_confirmed(candidates, docs))
+        if not more.isEmpty():
+            links = durable(links.unionAll(more))
+            comp = durable(components(links))
+        elif first:
+            first = 0
+        else:
+            break
     named = signed.join(classes, ["h1", "h2"], "left").join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     out = named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
