@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, line_dedup, near_dedup, packing, secrets, sharding
+from . import bpe, html_extract, line_dedup, near_dedup, packing, secrets, sharding, topk_search, vector_dedup
 from .common import table
 
 
@@ -34,6 +34,12 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best rows by integer inner product for every embedding whose id is divisible by 50."""
+    vectors = topk_search.quantise(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk_search.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded with the multilingual 50k rank file."""
     import public_tokenizers
@@ -42,6 +48,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at cosine 0.9 or more among all embeddings, and their components."""
+    return vector_dedup.threshold_links(vector_dedup.parse_vectors(table(spark, sf_dir, "embeddings")))
+
+
 def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 Hilbert runs of equal row count."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -60,8 +71,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_html_extract": op3_html_extract,
     "op4_near_dedup": op4_near_dedup,
+    "op5_topk_search": op5_topk_search,
     "op6_bpe": op6_bpe,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_topk_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+                   list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+        ), r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+    """,
+}
