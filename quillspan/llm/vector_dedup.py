@@ -294,13 +294,12 @@ def threshold_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         kept: dict[tuple, CoverTree] = {}
         for batch in batches:
             for r in batch.to_pylist():
+                if len(kept) > 2:
+                    kept.clear()
                 for k in ("i", "j"):
                     if (r["dim"], r[k]) not in kept:
-                        if len(kept) > 3:
-                            kept.clear()
                         kept[r["dim"], r[k]] = tree(r["dim"], r[f"weights_{k}"], r[f"raw_{k}"])
-                a = kept[r["dim"], r["i"]]
-                b = kept.get((r["dim"], r["j"])) or tree(r["dim"], r["weights_j"], r["raw_j"])
+                a, b = kept[r["dim"], r["i"]], kept[r["dim"], r["j"]]
                 ids_a, ids_b = (np.frombuffer(r[k], dtype=np.int64) for k in ("ids_i", "ids_j"))
                 found = Join(a, b, cosine)
                 ids = ids_a if a is b else np.concatenate([ids_a, ids_b])
