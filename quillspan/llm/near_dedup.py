@@ -1,15 +1,15 @@
 """Near-duplicate documents by HyperMinHash.
 
 A document's set is its distinct five-word shingles (64-bit hashes). One hash serves all buckets:
-its top bits choose one of 256 buckets, the smallest remainder of a bucket is kept as leading-zero
+its top bits choose one of 128 buckets, the smallest remainder of a bucket is kept as leading-zero
 count plus ten mantissa bits, a 16-bit register. Empty buckets borrow the register of the first
 non-empty bucket in a fixed random order of their own, so short documents work like long ones.
-Bands of five compressed registers give bucket keys; a pair at similarity 0.75 shares none of the
-51 bands with probability 1.3e-6.
+Bands of four compressed registers give bucket keys; a pair at similarity 0.75 shares none of the
+32 bands with probability 5e-6, one at 0.8 with 5e-8.
 
 Equal sets collapse first. Within a band bucket every member meets only the smallest id, so a
 bucket of n documents gives n - 1 pairs however large it is. A pair goes on if its Jaccard
-estimate, corrected for register collisions, is within six standard errors of the limit or above,
+estimate, corrected for register collisions, is within five standard errors of the limit or above,
 and is then confirmed on full shingle sets. Where the members of a bucket still lie in different
 components, the pairs across components are estimated in blocks of bounded size and confirmed the
 same way, so no link that a bucket holds is lost.
@@ -34,9 +34,9 @@ from .graph import components
 WORDS = 5
 #: Similarity limit as a fraction.
 LIMIT = (75, 100)
-BUCKETS = 256
+BUCKETS = 128
 MANTISSA = 10
-ROWS, BANDS = 5, 51
+ROWS, BANDS = 4, 32
 #: Rows of one side of a block in which pairs across components are estimated.
 BLOCK = 512
 #: Candidates of one block and pair of components that are tried before the components are joined anew.
@@ -87,17 +87,17 @@ def shingles(text: str | None, words: WordHashes, size: int = WORDS) -> np.ndarr
 
 
 _ORDER = np.argsort(np.random.default_rng(20240229).random((BUCKETS, BUCKETS)), axis=1)
-_EDGES = np.arange(BUCKETS, dtype=_U) << _U(56)
+_EDGES = np.arange(BUCKETS, dtype=_U) << _U(57)
 
 
 def registers(sorted_hashes: np.ndarray) -> np.ndarray:
-    """The 256 compressed registers of a set (uint16, 0 only for the empty set)."""
+    """The compressed registers of a set (uint16, 0 only for the empty set)."""
     out = np.zeros(BUCKETS, dtype=np.uint16)
     if not len(sorted_hashes):
         return out
     at = np.searchsorted(sorted_hashes, _EDGES)
     full = at < np.append(at[1:], len(sorted_hashes))
-    least = (sorted_hashes[at[full]] >> _U(8)) & _U((1 << 48) - 1)
+    least = (sorted_hashes[at[full]] >> _U(9)) & _U((1 << 48) - 1)
     fraction, exponent = np.frexp(least.astype(np.float64))
     zeros = np.where(least == 0, 48, 48 - exponent)
     mantissa = np.where(least == 0, 0, ((fraction * 2 - 1) * (1 << MANTISSA)).astype(np.int64))
@@ -138,7 +138,7 @@ def may_link(matches: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarra
     limit = LIMIT[0] / LIMIT[1]
     small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     error = np.sqrt(limit * (1 - limit) / np.minimum(BUCKETS, np.maximum(small, 1)))
-    return (estimate >= limit - 6 * error) & (small * LIMIT[1] >= large * LIMIT[0])
+    return (estimate >= limit - 5 * error) & (small * LIMIT[1] >= large * LIMIT[0])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -214,28 +214,33 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long", rows=2048)
 
 
-def _across(rows: DataFrame, first: int) -> DataFrame:
-    """Candidate pairs of different components in common buckets; ``first`` bounds those of a block and pair of components, 0 is no bound.
+def _across(rows: DataFrame, tried: DataFrame, first: int) -> DataFrame:
+    """Untried candidate pairs of different components in common buckets; ``first`` bounds those of a block and pair of components, 0 is no bound.
 
-    ``rows`` has key, node, comp, n, regs. A bucket is dealt out in blocks; every pair of blocks is
-    one group of at most about two blocks of rows.
+    ``rows`` has key, node, comp, n, regs. Every pair across components has a row outside the bucket's
+    largest component. Those rows in blocks meet all rows in blocks; every pair of blocks is one group
+    of at most about two blocks of rows, and a bucket ruled by one component is sent about once.
     """
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("g"))
-    cut = rows.join(sizes, "key").withColumn("blk", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-    dealt = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
-        "key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "comp", "n", "regs"
+    per_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    sizes = per_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("n_rows"))
+    sizes = sizes.select("key", F.col("most.comp").alias("major"), F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("g"), F.ceil((F.col("n_rows") - F.col("most.c")) / BLOCK).cast("int").alias("gm"))
+    cut = rows.join(sizes, "key")
+    every = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("gm") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("j"), F.lit(0).alias("minor"), "node", "comp", "n", "regs")
+    minor = cut.where("comp <> major").select(
+        "key", F.pmod(F.xxhash64("node", F.lit(1)), F.col("gm")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"), F.lit(1).alias("minor"), "node", "comp", "n", "regs"
     )
-    dealt = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    dealt = every.unionAll(minor).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "minor", "node")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
-        i, j = group[0][1], group[0][2]
-        blk = np.array([r[3] for r in group])
+        few = np.array([r[3] for r in group]) == 1
+        if not few.any() or few.all():
+            return []
         node, comp, n = (np.array([r[k] for r in group], dtype=np.int64) for k in (4, 5, 6))
         regs = np.frombuffer(b"".join(r[7] for r in group), dtype=np.uint16).reshape(-1, BUCKETS)
         found = []
-        for x in range(len(group)):
-            other = np.flatnonzero((comp != comp[x]) & (np.arange(len(group)) > x) & ((blk != blk[x]) if i != j else True))
+        for x in np.flatnonzero(few):
+            other = np.flatnonzero((comp != comp[x]) & ~few)
             if len(other):
                 matches = (regs[other] == regs[x]).sum(axis=1)
                 keep = may_link(matches, np.full(len(other), n[x]), n[other])
@@ -265,7 +270,7 @@ def _across(rows: DataFrame, first: int) -> DataFrame:
             out += pairs_of(group)
         yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema=arrow)
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return durable(dealt.mapInArrow(run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -280,8 +285,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
     shared = durable(bands.join(heads, "key"))
     pairs = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = durable(pairs)
     links = durable(_confirmed(durable(_estimated(pairs, reps)), docs))
-    first = FIRST
+    first, tried = FIRST, pairs
     comp = durable(components(links))
     while True:
         labelled = shared.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
@@ -289,17 +295,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows = durable(labelled.join(open_keys, "key", "left_semi"))
         if rows.isEmpty():
             break
-        candidates = durable(_across(rows.join(reps, "node").select("key", "node", "comp", "n", "regs"), first))
+        candidates = _across(rows.join(reps, "node").select("key", "node", "comp", "n", "regs"), tried, first)
         if candidates.isEmpty():
-            break
+            if not first:
+                break
+            first = 0
+            continue
+        tried = durable(tried.unionAll(candidates))
         more = durable(_confirmed(candidates, docs))
         if not more.isEmpty():
             links = durable(links.unionAll(more))
             comp = durable(components(links))
-        elif first:
-            first = 0
-        else:
-            break
     named = signed.join(classes, ["h1", "h2"], "left").join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     out = named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
