@@ -26,6 +26,7 @@ from collections import OrderedDict
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import durable, map_batches, small_side
 from .near_dedup import WordHashes, _mix
@@ -177,20 +178,27 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     return map_batches(spans, join_up, "doc_id long, spans string, n_removed long")
 
 
-def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated runs deleted from ``text``, plus ``spans`` (word ranges that went) and ``n_removed``."""
-    names, kinds = docs.columns, {f.name: f for f in docs.schema}
+def drop_repeats(docs: DataFrame, report: bool = True, drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with repeated runs deleted from ``text``.
+
+    With ``report``, ``spans`` (word ranges that went) and ``n_removed`` are added, in place of columns of
+    that name. With ``drop_emptied``, documents that lose all their words go.
+    """
+    kept = [f for f in docs.schema.fields if not report or f.name not in ("spans", "n_removed")]
+    names = [f.name for f in kept]
     found = repeated_runs(docs).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("n_removed").alias("_removed"))
-    joined = docs.join(small_side(found), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    joined = docs.select(*names).join(small_side(found), F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
     def cut(cols):
-        text = [
-            delete_words(t, [tuple(map(int, x.split(":"))) for x in s.split(",")]) if t and s else t for t, s in zip(cols["text"], cols["_spans"])
-        ]
-        kept = {n: cols[n] for n in names if n != "text"}
-        return {**kept, "text": text, "spans": [s or "" for s in cols["_spans"]], "n_removed": [n or 0 for n in cols["_removed"]]}
-
-    from pyspark.sql import types as T
+        spans = [s or "" for s in cols["_spans"]]
+        text = [delete_words(t, [tuple(map(int, x.split(":"))) for x in s.split(",")]) if t and s else t for t, s in zip(cols["text"], spans)]
+        out = {**{n: cols[n] for n in names}, "text": text}
+        if report:
+            out |= {"spans": spans, "n_removed": [n or 0 for n in cols["_removed"]]}
+        if drop_emptied:
+            stay = [i for i, (t, s) in enumerate(zip(text, spans)) if not s or t.strip(" \t\n\r\v\f")]
+            out = {n: [v[i] for i in stay] for n, v in out.items()}
+        return out
 
-    schema = T.StructType([*(kinds[n] for n in names if n not in ("spans", "n_removed")), T.StructField("spans", T.StringType()), T.StructField("n_removed", T.LongType())])
-    return map_batches(joined, cut, schema)
+    extra = [T.StructField("spans", T.StringType()), T.StructField("n_removed", T.LongType())] if report else []
+    return map_batches(joined, cut, T.StructType([*kept, *extra]))

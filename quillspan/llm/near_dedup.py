@@ -310,3 +310,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     out = named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """``docs`` with the document of smallest id of each component only. Rows without id stay."""
+    gone = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)

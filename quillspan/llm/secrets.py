@@ -24,6 +24,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,9 +225,9 @@ def redact_text(text: str, at: dict[str, float]) -> str:
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with its secrets masked; null texts stay null. Thresholds come from all rows."""
     at = thresholds(scan(docs.select("doc_id", F.col(column).alias("text"))))
-    names = docs.columns
 
-    def mask(cols):
-        return {n: [t and redact_text(t, at) for t in cols[n]] if n == column else cols[n] for n in names}
+    @F.pandas_udf("string")
+    def mask(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: t and redact_text(t, at), na_action="ignore")
 
-    return map_batches(docs, mask, docs.schema)
+    return docs.withColumn(column, mask(column))

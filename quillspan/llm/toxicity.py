@@ -22,8 +22,9 @@ from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_batches
@@ -236,11 +237,11 @@ class Model:
         return np.clip(value + 1e-6 * np.tanh(raw / 10), 0.0, 1.0)
 
 
-def _fold() -> F.Column:
+def _fold() -> Column:
     return F.pmod(F.xxhash64(F.col("doc_id"), F.lit(7)), F.lit(FOLDS)).cast("int")
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     """Rows whose labels must not be learned from."""
     return F.coalesce(F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(3)) == 1, F.lit(False))
 
@@ -319,23 +320,29 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(final, Trees().fit(x, y), isotonic(out, y), base)
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` plus score and predicted."""
-    from pyspark.sql import types as T
-
-    names = [n for n in docs.columns if n not in ("score", "predicted")]
-    docs = docs.select(*names)
+def score_column(text: str, model: Model) -> Column:
+    """Score of a text column."""
 
-    def run(cols):
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
         global _TOKENS
         if _TOKENS is None or _TOKENS.lexicon != model.lexicon:
             _TOKENS = Tokens(model.lexicon)
-        x = np.array([features(t, _TOKENS) for t in cols["text"]]).reshape(-1, len(FEATURES))
-        score = model.score(x)
-        return {**cols, "score": score, "predicted": (score >= THRESHOLD).astype(np.int32)}
+        x = np.array([features(t, _TOKENS) for t in texts]).reshape(-1, len(FEATURES))
+        return pd.Series(model.score(x))
+
+    return score(text)
+
+
+def score_documents(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` plus ``score`` and ``predicted``, in place of columns of that name."""
+    scored = docs.withColumn("score", score_column("text", model))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return map_batches(docs, run, schema, rows=2048)
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` without those predicted toxic."""
+    return docs.where(score_column("text", model) < THRESHOLD)
 
 
 #: Token tables of this worker process, kept between batches and tasks of one model.
