@@ -1 +1 @@
-
+"""Column functions: text, stemming, URLs, HTML."""

@@ -1 +1 @@
-
+"""DataFrame operators: index, search, frequencies, statistics, crawl."""

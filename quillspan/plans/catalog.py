@@ -1,10 +1,362 @@
-"""Registry of the named queries and of their DuckDB counterparts."""
+"""Registry of the named queries over the driver's tables, and of their DuckDB counterparts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import html as H
+from ..functions import urls as U
+from ..functions.stemmer import stem_word, with_stem
+from ..functions.text import fold
+from ..operators import crawl, index, search, zipf
+from ..sources.readers import table
+from ..sources.writers import results_json
+from . import fixtures, sql
+from .query_language import rpn_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, oracle: str | None = None):
+    """Put a query, and its SQL if it has one, into the registry."""
+
+    def put(query):
+        QUERIES[name] = query
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return query
+
+    return put
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents", "doc_id", "text")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages")
+
+
+def _searcher(spark: SparkSession, sf_dir: str) -> search.Searcher:
+    return search.Searcher(_docs(spark, sf_dir))
+
+
+_P = f"WITH p AS ({sql.POSTINGS}) "
+
+
+# Sources and titles
+
+
+@register("scan_documents", "SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents")
+def scan_documents(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+@register("doc_title", f"SELECT doc_id, {sql.TITLE} AS title FROM documents")
+def doc_title(spark, sf_dir):
+    return index.titles(_docs(spark, sf_dir))
+
+
+@register("doc_by_id", "SELECT doc_id, text FROM documents WHERE doc_id = 17")
+def doc_by_id(spark, sf_dir):
+    return _docs(spark, sf_dir).where(F.col("doc_id") == 17)
+
+
+# Tokens and stems
+
+
+@register("tokenize", f"SELECT doc_id, token, count(*) AS n FROM ({sql.TOKENS}) GROUP BY ALL")
+def tokenize(spark, sf_dir):
+    return index.tokens(_docs(spark, sf_dir)).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+@register(
+    "token_stats",
+    f"""WITH f AS ({sql.FREQUENCIES})
+    SELECT (SELECT count(*) FROM documents) AS n_docs, (SELECT sum(strlen(text))::BIGINT FROM documents) AS n_bytes,
+           sum(frequency)::BIGINT AS n_tokens, count(*) AS n_terms, sum(frequency * strlen(term))::DOUBLE / sum(frequency) AS mean_token_bytes FROM f""",
+)
+def token_stats(spark, sf_dir):
+    return index.token_stats(_docs(spark, sf_dir))
+
+
+@register(
+    "stem_vocabulary",
+    f"""WITH v AS (SELECT translate(token, '{fixtures.LETTERS[0]}', '{fixtures.LETTERS[1]}') AS token, count(*) AS frequency FROM ({sql.TOKENS}) GROUP BY 1)
+    SELECT v.token, v.frequency, s.term FROM v JOIN ({sql.stems('SELECT token FROM v')}) s USING (token)""",
+)
+def stem_vocabulary(spark, sf_dir):
+    letters = index.tokens(_docs(spark, sf_dir)).select(F.translate("token", *fixtures.LETTERS).alias("token"))
+    return index.vocabulary(letters)
+
+
+@register("stem_vectors", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}', '{s}')" for w, s in fixtures.STEM_VECTORS.items()) + ") v(word, stem, scalar)")
+def stem_vectors(spark, sf_dir):
+    words = spark.createDataFrame([(w, stem_word(w)) for w in fixtures.STEM_VECTORS], "word string, scalar string")
+    return with_stem(words, "word", "stem").select("word", "stem", "scalar")
+
+
+@register("fold_vectors", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}', lower('{w}'))" for w, s in fixtures.FOLD_VECTORS.items() if w != "É") + ", ('É', 'É', 'É')) v(word, folded, cyrillic)")
+def fold_vectors(spark, sf_dir):
+    words = spark.createDataFrame([(w,) for w in fixtures.FOLD_VECTORS], "word string")
+    return words.select("word", fold("word").alias("folded"), fold("word", "cyrillic").alias("cyrillic"))
+
+
+# Frequencies
+
+
+@register("term_freq", sql.FREQUENCIES)
+def term_freq(spark, sf_dir):
+    return index.term_frequencies(_docs(spark, sf_dir))
+
+
+@register("term_freq_lookup", f"WITH f AS ({sql.FREQUENCIES}) SELECT a.term, coalesce(f.frequency, 0) AS frequency FROM (VALUES ('the'), ('der'), ('zzz')) a(term) LEFT JOIN f USING (term)")
+def term_freq_lookup(spark, sf_dir):
+    return index.frequency_of(term_freq(spark, sf_dir), ["the", "der", "zzz"])
+
+
+_RANKED = f"SELECT term, frequency, row_number() OVER (ORDER BY frequency DESC, term) AS rank FROM ({sql.FREQUENCIES})"
+
+
+@register("zipf_rank", _RANKED)
+def zipf_rank(spark, sf_dir):
+    return zipf.ranked(term_freq(spark, sf_dir))
+
+
+@register("zipf_expected", f"SELECT term, frequency, rank, (max(frequency) OVER ())::DOUBLE / rank AS zipf_expected FROM ({_RANKED})")
+def zipf_expected(spark, sf_dir):
+    return zipf.with_expected(zipf_rank(spark, sf_dir)).select("term", "frequency", "rank", "zipf_expected")
+
+
+@register("top_terms", f"SELECT term, frequency FROM ({sql.FREQUENCIES}) ORDER BY frequency DESC, term LIMIT 10")
+def top_terms(spark, sf_dir):
+    return zipf.top_terms(term_freq(spark, sf_dir))
+
+
+@register("freq_of_freq", f"SELECT frequency, count(*) AS n_terms FROM ({sql.FREQUENCIES}) GROUP BY frequency")
+def freq_of_freq(spark, sf_dir):
+    return zipf.frequency_of_frequencies(term_freq(spark, sf_dir))
+
+
+# Index
+
+
+@register("postings_flat", sql.POSTINGS)
+def postings_flat(spark, sf_dir):
+    return index.postings_flat(_docs(spark, sf_dir))
+
+
+@register("inverted_index", _P + "SELECT term, count(*) AS doc_freq, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS postings FROM p GROUP BY term")
+def inverted_index(spark, sf_dir):
+    built = index.inverted_index(postings_flat(spark, sf_dir))
+    return built.select("term", "doc_freq", F.array_join(F.col("postings").cast("array<string>"), ",").alias("postings"))
+
+
+@register("index_stats", _P + "SELECT count(*) AS n_terms, avg(strlen(term)) AS mean_term_bytes FROM (SELECT DISTINCT term FROM p)")
+def index_stats(spark, sf_dir):
+    return index.index_stats(postings_flat(spark, sf_dir))
+
+
+@register("doc_freq", _P + "SELECT term, count(*) AS doc_freq FROM p GROUP BY term")
+def doc_freq(spark, sf_dir):
+    return index.document_frequencies(postings_flat(spark, sf_dir))
+
+
+# Boolean search
+
+
+@register("term_lookup", _P + "SELECT doc_id FROM p WHERE term = 'the'")
+def term_lookup(spark, sf_dir):
+    return _searcher(spark, sf_dir).lookup([search.normalize_term("The")]).select("doc_id")
+
+
+_ALL = "SELECT doc_id FROM documents WHERE "
+
+
+@register("bool_and", _P + _ALL + f"doc_id IN {sql.docs_with('the')} AND doc_id IN {sql.docs_with('of')}")
+def bool_and(spark, sf_dir):
+    return _searcher(spark, sf_dir).search_sets("the && of")
+
+
+@register("bool_or", _P + _ALL + f"doc_id IN {sql.docs_with('the')} OR doc_id IN {sql.docs_with('der')}")
+def bool_or(spark, sf_dir):
+    return _searcher(spark, sf_dir).search_sets("the || der")
+
+
+@register("bool_not", _P + _ALL + f"doc_id NOT IN {sql.docs_with('the')}")
+def bool_not(spark, sf_dir):
+    return _searcher(spark, sf_dir).search_sets("!the")
+
+
+@register("bool_and_not", _P + f"SELECT doc_id FROM p WHERE term = 'the' EXCEPT SELECT doc_id FROM p WHERE term = 'of'")
+def bool_and_not(spark, sf_dir):
+    s = _searcher(spark, sf_dir)
+    return search.difference(s.lookup(["the"]).select("doc_id"), s.lookup(["of"]).select("doc_id"))
+
+
+_NESTED = f"(doc_id IN {sql.docs_with('the')} OR doc_id IN {sql.docs_with('der')}) AND doc_id NOT IN {sql.docs_with('and')}"
+NESTED = "(the || der) && !and"
+
+
+@register("bool_nested", _P + _ALL + _NESTED)
+def bool_nested(spark, sf_dir):
+    return _searcher(spark, sf_dir).search(NESTED)
+
+
+@register("search_titles", _P + f"SELECT doc_id, {sql.TITLE} AS title FROM documents WHERE {_NESTED}")
+def search_titles(spark, sf_dir):
+    s = _searcher(spark, sf_dir)
+    return s.with_titles(s.search(NESTED))
+
+
+@register("search_count", _P + f"SELECT count(*) AS n_hits, ceil(count(*) / 20.0)::BIGINT AS n_pages FROM documents WHERE {_NESTED}")
+def search_count(spark, sf_dir):
+    return search.page_count(_searcher(spark, sf_dir).search(NESTED))
+
+
+@register("search_top10", _P + f"SELECT doc_id, {sql.TITLE} AS title FROM documents WHERE {_NESTED} ORDER BY doc_id LIMIT 10")
+def search_top10(spark, sf_dir):
+    s = _searcher(spark, sf_dir)
+    return s.with_titles(search.first_hits(s.search(NESTED)))
+
+
+@register("search_page", _P + f"SELECT doc_id FROM documents WHERE {_NESTED} ORDER BY doc_id LIMIT 20 OFFSET 20")
+def search_page(spark, sf_dir):
+    return search.page(_searcher(spark, sf_dir).search(NESTED), 1)
+
+
+@register("search_json", _P + f"""SELECT '{{"count":' || count(*) || ',"results":[' || string_agg('{{"id":' || doc_id || ',"title":' || to_json(title) || '}}', ',' ORDER BY doc_id) || ']}}' AS json
+    FROM (SELECT doc_id, {sql.TITLE} AS title FROM documents WHERE {_NESTED})""")
+def search_json(spark, sf_dir):
+    return results_json(search_titles(spark, sf_dir))
+
+
+_TERMS = ("the", "of", "in", "der", "and", "zzz", "de", "la")
+_FLAGS = ", ".join(f"coalesce(bool_or(term = '{t}'), FALSE) AS {t if t not in ('of', 'in', 'and') else t + '_'}" for t in _TERMS)
+
+
+@register(
+    "search_batch",
+    _P
+    + f", f AS (SELECT d.doc_id, {_FLAGS} FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id AND p.term IN ({', '.join(map(sql.quoted, _TERMS))}) GROUP BY d.doc_id) "
+    + " UNION ALL ".join(f"SELECT {i}::BIGINT AS query_id, doc_id FROM f WHERE {c}" for i, c in fixtures.BATCH_SQL.items()),
+)
+def search_batch(spark, sf_dir):
+    return _searcher(spark, sf_dir).search_batch(fixtures.BATCH)
+
+
+@register("total_docs", "SELECT count(*) AS n_docs FROM documents")
+def total_docs(spark, sf_dir):
+    return _searcher(spark, sf_dir).total_docs()
+
+
+@register("parse_rpn", "SELECT * FROM (VALUES " + ", ".join(f"({sql.quoted(q)}, {sql.quoted(r)})" for q, r in fixtures.RPN_VECTORS.items()) + ") v(query, rpn)")
+def parse_rpn(spark, sf_dir):
+    return spark.createDataFrame([(q, rpn_text(q)) for q in fixtures.RPN_VECTORS], "query string, rpn string")
+
+
+# Crawl, corpus and HTML
+
+
+@register("normalize_url", f"SELECT page_id, {sql.normalize_url('url')} AS normalized_url FROM pages")
+def normalize_url(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", U.normalize_url("url").alias("normalized_url"))
+
+
+@register("url_hash", f"SELECT page_id, md5({sql.normalize_url('url')}) AS url_hash FROM pages")
+def url_hash(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", U.url_hash("url").alias("url_hash"))
+
+
+@register("url_join", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(sql.quoted, row)) + ")" for row in fixtures.LINKS) + ") v(page, href, url)")
+def url_join(spark, sf_dir):
+    links = spark.createDataFrame([row[:2] for row in fixtures.LINKS], "page string, href string")
+    return links.select("page", "href", U.join_url("page", "href").alias("url"))
+
+
+_HASHED = f"SELECT page_id, url, md5({sql.normalize_url('url')}) AS url_hash FROM pages"
+_STORED = "url LIKE '%/de/%' OR url LIKE '%/en/%'"
+
+
+@register("dedup_urls", f"SELECT url_hash, min(page_id) AS page_id FROM ({_HASHED}) GROUP BY url_hash")
+def dedup_urls(spark, sf_dir):
+    return crawl.first_by_hash(crawl.with_identity(_pages(spark, sf_dir).select("page_id", "url")), ["page_id"]).select("url_hash", "page_id")
+
+
+@register("crawl_new_urls", f"SELECT url_hash, min(page_id) AS page_id FROM ({_HASHED}) WHERE url_hash NOT IN (SELECT url_hash FROM ({_HASHED}) WHERE {_STORED}) GROUP BY url_hash")
+def crawl_new_urls(spark, sf_dir):
+    known = crawl.with_identity(_pages(spark, sf_dir).select("page_id", "url"))
+    stored = known.where(F.col("url").contains("/de/") | F.col("url").contains("/en/"))
+    return crawl.new_pages(known, stored, ["page_id"]).select("url_hash", "page_id")
+
+
+_LOG = "SELECT page_id, html, CASE WHEN url LIKE '%page=2%' THEN 403 WHEN url LIKE '%/es/%' THEN 404 ELSE 200 END AS status, url LIKE '%/de/%' AS known FROM pages"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fetch log made of the pages: the status follows from the URL."""
+    status = F.when(F.col("url").contains("page=2"), 403).when(F.col("url").contains("/es/"), 404).otherwise(200)
+    return _pages(spark, sf_dir).select("page_id", "html", status.alias("status"), F.col("url").contains("/de/").alias("known"))
+
+
+@register("blocked_pages", f"SELECT page_id, status FROM ({_LOG}) WHERE {sql.blocked('status', 'html')}")
+def blocked_pages(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return log.where(crawl.blocked(F.col("status"), F.col("html"))).select("page_id", "status")
+
+
+@register("status_routing", f"SELECT page_id, CASE WHEN status = 200 THEN strlen(html)::BIGINT END AS body_bytes FROM ({_LOG})")
+def status_routing(spark, sf_dir):
+    return _log(spark, sf_dir).select("page_id", F.octet_length(crawl.body_of(F.col("status"), F.col("html"))).cast("long").alias("body_bytes"))
+
+
+_BAD = sql.blocked("status", "html")
+
+
+@register(
+    "crawl_counters",
+    f"""SELECT count(*) AS seen, count(*) FILTER (known) AS skipped, count(*) FILTER (NOT known AND status = 200 AND NOT {_BAD}) AS downloaded,
+    count(*) FILTER (NOT known AND {_BAD}) AS blocked, count(*) FILTER (NOT known AND status <> 200 AND NOT {_BAD}) AS errors FROM ({_LOG})""",
+)
+def crawl_counters(spark, sf_dir):
+    return crawl.crawl_counters(_log(spark, sf_dir))
+
+
+@register("clean_html", f"SELECT page_id, {sql.clean_html('html')} AS text FROM pages")
+def clean_html(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", H.clean_html("html").alias("text"))
+
+
+@register("page_article", f"SELECT page_id, {sql.page_article('html')} AS text FROM pages")
+def page_article(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", H.page_article("html").alias("text"))
+
+
+@register("article_rules", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if t is None else sql.quoted(t)})" for i, (_, _, t) in enumerate(fixtures.ARTICLES)) + ") v(id, text)")
+def article_rules(spark, sf_dir):
+    rows = spark.createDataFrame([(i, s, h) for i, (s, h, _) in enumerate(fixtures.ARTICLES)], "id long, source string, html string")
+    return rows.select("id", H.article_text("source", "html").alias("text"))
+
+
+@register("export_kept_skipped", f"SELECT count(*) FILTER (t <> '') AS kept, count(*) FILTER (t IS NULL OR t = '') AS skipped FROM (SELECT {sql.page_article('html')} AS t FROM pages)")
+def export_kept_skipped(spark, sf_dir):
+    return crawl.export_corpus(_pages(spark, sf_dir), H.page_article("html"))[1]
+
+
+@register(
+    "corpus_stats",
+    f"""SELECT count(*) AS docs, count(*) FILTER (contains(s, '/en/')) AS docs_a, count(*) FILTER (NOT contains(s, '/en/')) AS docs_b,
+    sum(raw)::BIGINT AS raw_bytes, sum(txt)::BIGINT AS text_bytes, avg(raw) AS mean_raw_bytes, avg(txt) AS mean_text_bytes, 100.0::DOUBLE * sum(txt)::DOUBLE / sum(raw)::DOUBLE AS text_percent
+    FROM (SELECT url AS s, strlen(html) AS raw, strlen({sql.clean_html('html')}) AS txt FROM pages)""",
+)
+def corpus_stats(spark, sf_dir):
+    return crawl.corpus_stats(_pages(spark, sf_dir), "url", "html", "/en/")
+
+
+@register("source_examples", "SELECT source, min(doc_id) AS doc_id, left(arg_min(text, doc_id), 1000) AS example FROM documents GROUP BY source")
+def source_examples(spark, sf_dir):
+    return crawl.source_examples(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "source", "doc_id", "text")
