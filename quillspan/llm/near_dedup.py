@@ -11,8 +11,8 @@ Equal sets collapse first. Within a band bucket every member meets only the smal
 bucket of n documents gives n - 1 pairs however large it is. A pair goes on if its Jaccard
 estimate, corrected for register collisions, is within five standard errors of the limit or above,
 and is then confirmed on full shingle sets. Where the members of a bucket still lie in different
-components, the pairs across components are estimated in blocks of bounded size and confirmed the
-same way, so no link that a bucket holds is lost.
+components, the sets across components are compared in blocks of bounded size and what reaches the
+limit is confirmed the same way, so no link that a bucket holds is lost and no other pair is a row.
 
 Null or empty texts, and texts without words, have an empty set and link with nothing. Texts of
 fewer than five words have their whole word sequence as one shingle. Repeated rows are equal
@@ -37,10 +37,10 @@ LIMIT = (75, 100)
 BUCKETS = 128
 MANTISSA = 10
 ROWS, BANDS = 4, 32
-#: Rows of one side of a block in which pairs across components are estimated.
+#: Rows of one side of a block in which sets across components are compared.
 BLOCK = 512
-#: Candidates of one block and pair of components that are tried before the components are joined anew.
-FIRST = 4
+#: Links of one block and pair of components that are taken before the components are joined anew.
+FIRST = 2
 
 _U = np.uint64
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=_U)
@@ -214,55 +214,86 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a long, b long", rows=2048)
 
 
+def _short_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, set): shingle sets cut to 32 bits, which loses no common element."""
+    texts = docs.join(small_side(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+    def run(cols):
+        words = WordHashes()
+        sets = [shingles(text, words) for text in cols["text"]]
+        return {"node": cols["doc_id"], "n": [len(s) for s in sets], "set": [np.unique((s >> _U(32)).astype(np.uint32)).tobytes() for s in sets]}
+
+    return map_batches(texts, run, "node long, n long, set binary", rows=2048)
+
+
+def common_counts(few: list[np.ndarray], many: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets, by products of incidence matrices in column chunks."""
+    rows = [*few, *many]
+    values, column = np.unique(np.concatenate(rows), return_inverse=True)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    shared = np.bincount(column, minlength=len(values)) > 1
+    place = np.cumsum(shared) - 1
+    use = shared[column]
+    column, owner = place[column[use]], owner[use]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    total = np.zeros((len(few), len(many)), dtype=np.float64)
+    width = int(shared.sum())
+    for low in range(0, width, 4096):
+        lo, hi = np.searchsorted(column, [low, low + 4096])
+        held = np.zeros((len(rows), min(4096, width - low)), dtype=np.float32)
+        held[owner[lo:hi], column[lo:hi] - low] = 1
+        total += held[: len(few)] @ held[len(few) :].T
+    return total
+
+
 def _across(rows: DataFrame, tried: DataFrame, first: int) -> DataFrame:
-    """Untried candidate pairs of different components in common buckets; ``first`` bounds those of a block and pair of components, 0 is no bound.
+    """Untried pairs of different components in common buckets that reach the limit; ``first`` bounds those of a block and pair of components, 0 is no bound.
 
-    ``rows`` has key, node, comp, n, regs. Every pair across components has a row outside the bucket's
+    ``rows`` has key, node, comp, n, set. Every pair across components has a row outside the bucket's
     largest component. Those rows in blocks meet all rows in blocks; every pair of blocks is one group
-    of at most about two blocks of rows, and a bucket ruled by one component is sent about once.
+    of at most about two blocks of rows, and a bucket ruled by one component is sent about once. Whole
+    sets are compared inside the group, so pairs below the limit are never rows.
     """
     per_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
     sizes = per_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("n_rows"))
     sizes = sizes.select("key", F.col("most.comp").alias("major"), F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("g"), F.ceil((F.col("n_rows") - F.col("most.c")) / BLOCK).cast("int").alias("gm"))
     cut = rows.join(sizes, "key")
-    every = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("gm") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("j"), F.lit(0).alias("minor"), "node", "comp", "n", "regs")
+    every = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("gm") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("j"), F.lit(0).alias("minor"), "node", "comp", "n", "set")
     minor = cut.where("comp <> major").select(
-        "key", F.pmod(F.xxhash64("node", F.lit(1)), F.col("gm")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"), F.lit(1).alias("minor"), "node", "comp", "n", "regs"
+        "key", F.pmod(F.xxhash64("node", F.lit(1)), F.col("gm")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"), F.lit(1).alias("minor"), "node", "comp", "n", "set"
     )
     dealt = every.unionAll(minor).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "minor", "node")
     arrow = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs_of(group: list[tuple]) -> list[tuple[int, int]]:
-        few = np.array([r[3] for r in group]) == 1
-        if not few.any() or few.all():
+        many, few = [r for r in group if not r[3]], [r for r in group if r[3]]
+        if not many or not few:
             return []
-        node, comp, n = (np.array([r[k] for r in group], dtype=np.int64) for k in (4, 5, 6))
-        regs = np.frombuffer(b"".join(r[7] for r in group), dtype=np.uint16).reshape(-1, BUCKETS)
+        sets = [[np.frombuffer(r[7], dtype=np.uint32) for r in part] for part in (few, many)]
+        node, comp, n = ([np.array([r[k] for r in part], dtype=np.int64) for part in (few, many)] for k in (4, 5, 6))
+        lost = [n[k] - np.array([len(s) for s in sets[k]]) for k in (0, 1)]
+        common = common_counts(*sets) + np.maximum(lost[0][:, None], lost[1][None, :])
+        reach = common * LIMIT[1] >= (n[0][:, None] + n[1][None, :] - common) * LIMIT[0]
+        x, y = np.nonzero(reach & (comp[0][:, None] != comp[1][None, :]))
+        taken: Counter = Counter()
         found = []
-        for x in np.flatnonzero(few):
-            other = np.flatnonzero((comp != comp[x]) & ~few)
-            if len(other):
-                matches = (regs[other] == regs[x]).sum(axis=1)
-                keep = may_link(matches, np.full(len(other), n[x]), n[other])
-                found += [(-int(m), min(node[x], node[y]), max(node[x], node[y]), min(comp[x], comp[y]), max(comp[x], comp[y])) for m, y in zip(matches[keep], other[keep])]
-        if first:
-            taken: Counter = Counter()
-            best = sorted(found)
-            found = []
-            for f in best:
-                taken[f[3:]] += 1
-                if taken[f[3:]] <= first:
-                    found.append(f)
-        return [(int(f[1]), int(f[2])) for f in found]
+        for p, q in zip(x, y):
+            both = (min(comp[0][p], comp[1][q]), max(comp[0][p], comp[1][q]))
+            taken[both] += 1
+            if not first or taken[both] <= first:
+                found.append((int(min(node[0][p], node[1][q])), int(max(node[0][p], node[1][q]))))
+        return found
 
     def run(batches):
         group, out = [], []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and row[:3] != group[0][:3]:
-                    out += pairs_of(group)
-                    group = []
-                group.append(row)
+            for at in range(0, batch.num_rows, 1024):
+                for row in zip(*(c.to_pylist() for c in batch.slice(at, 1024).columns)):
+                    if group and row[:3] != group[0][:3]:
+                        out += pairs_of(group)
+                        group = []
+                    group.append(row)
                 if len(out) >= 10_000:
                     yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema=arrow)
                     out = []
@@ -287,7 +318,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     pairs = durable(pairs)
     links = durable(_confirmed(durable(_estimated(pairs, reps)), docs))
-    first, tried = FIRST, pairs
+    first, tried, sets = FIRST, pairs, None
     comp = durable(components(links))
     while True:
         labelled = shared.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
@@ -295,7 +326,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         rows = durable(labelled.join(open_keys, "key", "left_semi"))
         if rows.isEmpty():
             break
-        candidates = _across(rows.join(reps, "node").select("key", "node", "comp", "n", "regs"), tried, first)
+        if sets is None:
+            sets = durable(_short_sets(docs, rows.select("node").distinct()))
+        candidates = _across(rows.join(sets, "node").select("key", "node", "comp", "n", "set"), tried, first)
         if candidates.isEmpty():
             if not first:
                 break
