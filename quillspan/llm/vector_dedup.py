@@ -35,6 +35,8 @@ PIVOTS = 128
 CHUNK = 1 << 20
 #: Margin for rounding in bounds; pairs within it are compared exactly.
 EPS = 1e-6
+#: Margin for products in single precision.
+COARSE = 1e-5
 LEVELS = 7
 
 
@@ -83,9 +85,8 @@ def net(x: np.ndarray, radius: float) -> np.ndarray:
         rows = np.arange(at, min(at + 1024, len(x)))
         if centres:
             cos = x[rows] @ x[centres].T
-            best = cos.argmax(axis=1)
-            near = cos[np.arange(len(rows)), best] >= limit
-            owner[rows[near]] = np.array(centres)[best[near]]
+            near = np.flatnonzero(cos.max(axis=1) >= limit)
+            owner[rows[near]] = np.array(centres)[cos[near].argmax(axis=1)]
         rest = rows[owner[rows] < 0]
         if len(rest):
             cos = x[rest] @ x[rest].T
@@ -104,7 +105,7 @@ class CoverTree:
     """Nested nets over unit vectors. Level 0 is one root; the last level has every point by itself."""
 
     def __init__(self, x: np.ndarray, weight: np.ndarray):
-        self.x = x
+        self.x, self.x32 = x, x.astype(np.float32)
         n = len(x)
         owners = [np.zeros(n, dtype=np.int64)]
         radius = 1.0
@@ -116,7 +117,7 @@ class CoverTree:
                 if len(group) > 1:
                     centre = before[group[0]]
                     group = np.concatenate([[centre], group[group != centre]])
-                    own[group] = group[net(x[group], radius)]
+                    own[group] = group[net(self.x32[group], radius)]
             owners.append(own)
             radius /= 2
         owners.append(np.arange(n))
@@ -202,13 +203,21 @@ class Join:
             at = to
 
     def _grid(self, level: int, left: np.ndarray, right: np.ndarray) -> None:
-        """All pairs of two lists of nodes: one matrix product finds those that any bound keeps."""
+        """All pairs of two lists of nodes: single-precision products find those that a bound may keep.
+
+        Points and wide nodes go apart, so nearly all pairs are compared with one number.
+        """
         a, b = self.a, self.b
-        cos = a.x[a.centre[level][left]] @ b.x[b.centre[level][right]].T
-        far = a.radius[level][left][:, None] + b.radius[level][right][None, :] + (self.t + EPS)
-        i, j = np.nonzero(cos >= 1 - np.minimum(far, 2.0) ** 2 / 2 - EPS)
-        if len(i):
-            self._settle(level, left[i], right[j], cos[i, j])
+        for p in (left[a.radius[level][left] == 0], left[a.radius[level][left] > 0]):
+            for q in (right[b.radius[level][right] == 0], right[b.radius[level][right] > 0]):
+                if not len(p) or not len(q):
+                    continue
+                cos = a.x32[a.centre[level][p]] @ b.x32[b.centre[level][q]].T
+                far = np.minimum(a.radius[level][p].max() + b.radius[level][q] + self.t + EPS, 2.0)
+                at_least = (1 - far * far / 2 - COARSE).astype(np.float32)
+                i, j = np.nonzero(cos >= (at_least[0] if (at_least == at_least[0]).all() else at_least[None, :]))
+                for lo in range(0, len(i), CHUNK):
+                    self._visit(level, p[i[lo : lo + CHUNK]], q[j[lo : lo + CHUNK]])
 
     def counts(self, which: str) -> np.ndarray:
         tree, counts = (self.a, self.count_a) if which == "a" else (self.b, self.count_b)
