@@ -73,12 +73,13 @@ class Tokens(dict):
     """Row number of each token in the property tables; filled as tokens come, bounded."""
 
     NAMES = ("weight", "disguised_weight", "second", "capitals", "capital", "disguised", "elongated", "letters")
+    MOST = 60_000
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
-        self.rows: list[tuple] = []
-        self.table = np.zeros((0, len(self.NAMES)))
+        self.fresh: list[tuple] = []
+        self.table = np.zeros((0, len(self.NAMES)), dtype=np.float32)
 
     def weight(self, word: str) -> float:
         return max((self.lexicon.get(k, 0.0) for k in keys_of(word)), default=0.0)
@@ -88,20 +89,24 @@ class Tokens(dict):
         own = self.weight(word)
         letters = _LETTER.search(token) is not None
         core = token.strip(_EDGES)
-        self.rows.append(
+        self.fresh.append(
             (own, self.weight(plain) if plain and not own else 0.0, word in SECOND_PERSON, len(core) > 1 and core.isupper(), letters and core[:1].isupper(), plain is not None, _LONG.search(word) is not None, letters)
         )
-        self[token] = len(self.rows) - 1
-        return len(self.rows) - 1
+        at = self[token] = len(self)
+        return at
 
     def lookup(self, tokens: list[str]) -> np.ndarray:
-        if len(self) > 300_000:
+        if len(self) > self.MOST:
             self.clear()
-            self.rows.clear()
-            self.table = self.table[:0]
+            self.table = self.table[:0].copy()
         at = np.fromiter(map(self.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-        if len(self.rows) > len(self.table):
-            self.table = np.concatenate([self.table, np.array(self.rows[len(self.table) :], dtype=np.float64)])
+        if self.fresh:
+            if len(self) > len(self.table):
+                grown = np.zeros((max(len(self), 2 * len(self.table)), len(self.NAMES)), dtype=np.float32)
+                grown[: len(self.table)] = self.table
+                self.table = grown
+            self.table[len(self) - len(self.fresh) : len(self)] = self.fresh
+            self.fresh = []
         return self.table[at]
 
 
@@ -262,22 +267,31 @@ def _key_counts(sample: DataFrame) -> DataFrame:
     def run(batches):
         counts: dict[tuple[int, int], Counter] = defaultdict(Counter)
         known: dict[str, list[str]] = {}
-        for batch in batches:
-            for text, toxic, fold in zip(*(c.to_pylist() for c in batch.columns)):
-                keys = set()
-                for token in set((text or "").split()):
-                    found = known.get(token)
-                    if found is None:
-                        word, plain = readings(token)
-                        found = known[token] = keys_of(word) + (keys_of(plain) if plain else [])
-                    keys.update(found)
-                counts[fold, toxic].update(keys)
-        for (fold, toxic), c in counts.items():
-            items = list(c.items())
-            for at in range(0, len(items), 50_000):
-                part = items[at : at + 50_000]
-                m = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([fold] * m, pa.int32()), pa.array([toxic] * m, pa.int32()), pa.array([n for _, n in part])], schema=arrow)
+
+        def flush():
+            for (fold, toxic), c in counts.items():
+                items = list(c.items())
+                for at in range(0, len(items), 50_000):
+                    part = items[at : at + 50_000]
+                    m = len(part)
+                    yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in part]), pa.array([fold] * m, pa.int32()), pa.array([toxic] * m, pa.int32()), pa.array([n for _, n in part])], schema=arrow)
+            counts.clear()
+
+        rows = (row for batch in batches for at in range(0, batch.num_rows, 512) for row in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)))
+        for text, toxic, fold in rows:
+            keys = set()
+            for token in set((text or "").split()):
+                found = known.get(token)
+                if found is None:
+                    word, plain = readings(token)
+                    found = known[token] = keys_of(word) + (keys_of(plain) if plain else [])
+                keys.update(found)
+            counts[fold, toxic].update(keys)
+            if len(known) > 60_000:
+                known.clear()
+            if sum(map(len, counts.values())) > 300_000:
+                yield from flush()
+        yield from flush()
 
     return sample.mapInArrow(run, "key string, fold int, toxic int, n long").groupBy("key", "fold", "toxic").agg(F.sum("n").alias("n"))
 
@@ -309,7 +323,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         own = [Tokens(lex) for lex in by_fold]
         return {"toxic": cols["toxic"], "fold": cols["fold"], "x": [features(text, own[f]) for text, f in zip(cols["text"], cols["fold"])]}
 
-    got = map_batches(sample, measure, "toxic int, fold int, x array<double>", rows=4096).collect()
+    got = map_batches(sample, measure, "toxic int, fold int, x array<double>", rows=512).collect()
     x, y, fold = np.array([r["x"] for r in got]), np.array([r["toxic"] for r in got], dtype=np.float64), np.array([r["fold"] for r in got])
     order = np.lexsort((*x.T, y))
     x, y, fold = x[order], y[order], fold[order]
