@@ -73,25 +73,32 @@ class Tokens(dict):
     """Row number of each token in the property tables; filled as tokens come, bounded."""
 
     NAMES = ("weight", "disguised_weight", "second", "capitals", "capital", "disguised", "elongated", "letters")
-    MOST = 60_000
+    MOST = 150_000
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
+        self.starts = {key[:3] for key in lexicon}
         self.fresh: list[tuple] = []
         self.table = np.zeros((0, len(self.NAMES)), dtype=np.float32)
 
     def weight(self, word: str) -> float:
+        if word[:3] not in self.starts:
+            return 0.0
         return max((self.lexicon.get(k, 0.0) for k in keys_of(word)), default=0.0)
 
     def __missing__(self, token: str) -> int:
-        word, plain = readings(token)
-        own = self.weight(word)
-        letters = _LETTER.search(token) is not None
         core = token.strip(_EDGES)
-        self.fresh.append(
-            (own, self.weight(plain) if plain and not own else 0.0, word in SECOND_PERSON, len(core) > 1 and core.isupper(), letters and core[:1].isupper(), plain is not None, _LONG.search(word) is not None, letters)
-        )
+        word = core.lower()
+        elongated = _LONG.search(word) is not None
+        if core.isalpha() and not elongated:
+            row = (self.weight(word), 0.0, word in SECOND_PERSON, len(core) > 1 and core.isupper(), core[0].isupper(), False, False, True)
+        else:
+            word, plain = readings(token)
+            own = self.weight(word)
+            letters = _LETTER.search(token) is not None
+            row = (own, self.weight(plain) if plain and not own else 0.0, word in SECOND_PERSON, len(core) > 1 and core.isupper(), letters and core[:1].isupper(), plain is not None, elongated, letters)
+        self.fresh.append(row)
         at = self[token] = len(self)
         return at
 
