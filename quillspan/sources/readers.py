@@ -19,9 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
 
 
 def text_directory(spark: SparkSession, path: str, suffix: str = ".txt") -> DataFrame:
-    """(path, size, text): every file of one directory with exactly this suffix, one row each; not recursive."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", False).text(path)
-    return files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("text"))
+    """(path, size, text): every file of one directory with exactly this suffix, one row each; not recursive.
+
+    Empty files are rows too. Bytes that are not UTF-8 become replacement characters.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").option("recursiveFileLookup", False).load(path)
+    full = files.select("path", F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    empty = _empty_files(spark, path, suffix)
+    return full.unionAll(spark.createDataFrame([(p, 0, "") for p in empty], full.schema)) if empty else full
+
+
+def _empty_files(spark: SparkSession, path: str, suffix: str) -> list[str]:
+    """Files without a byte, which Spark's file sources leave out; only names are listed."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    return [str(f.getPath()) for f in listed if f.isFile() and f.getLen() == 0 and f.getPath().getName().endswith(suffix)]
 
 
 def numbered_documents(files: DataFrame) -> DataFrame:
