@@ -247,8 +247,8 @@ def common_counts(few: list[np.ndarray], many: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _across(rows: DataFrame, tried: DataFrame, first: int) -> DataFrame:
-    """Untried pairs of different components in common buckets that reach the limit; ``first`` bounds those of a block and pair of components, 0 is no bound.
+def _across(rows: DataFrame, first: int) -> DataFrame:
+    """Pairs of different components in common buckets that reach the limit; ``first`` bounds those of a block and pair of components, 0 is no bound.
 
     ``rows`` has key, node, comp, n, set. Every pair across components has a row outside the bucket's
     largest component. Those rows in blocks meet all rows in blocks; every pair of blocks is one group
@@ -301,7 +301,7 @@ def _across(rows: DataFrame, tried: DataFrame, first: int) -> DataFrame:
             out += pairs_of(group)
         yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema=arrow)
 
-    return durable(dealt.mapInArrow(run, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+    return durable(dealt.mapInArrow(run, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -328,17 +328,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             break
         if sets is None:
             sets = durable(_short_sets(docs, rows.select("node").distinct()))
-        candidates = _across(rows.join(sets, "node").select("key", "node", "comp", "n", "set"), tried, first)
-        if candidates.isEmpty():
+        reached = _across(rows.join(sets, "node").select("key", "node", "comp", "n", "set"), first)
+        n_reached = reached.count()
+        if not n_reached:
+            break
+        fresh = durable(reached.join(tried, ["a", "b"], "left_anti"))
+        more = durable(_confirmed(fresh, docs))
+        n_more = more.count()
+        if n_more:
+            links = durable(links.unionAll(more))
+            comp = durable(components(links))
+        if n_more == n_reached:
+            # Every pair of components that a bucket links is joined now.
+            break
+        if not n_more:
             if not first:
                 break
             first = 0
-            continue
-        tried = durable(tried.unionAll(candidates))
-        more = durable(_confirmed(candidates, docs))
-        if not more.isEmpty():
-            links = durable(links.unionAll(more))
-            comp = durable(components(links))
+        tried = durable(tried.unionAll(fresh))
     named = signed.join(classes, ["h1", "h2"], "left").join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
     out = named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
