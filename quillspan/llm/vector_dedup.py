@@ -38,6 +38,8 @@ EPS = 1e-6
 #: Margin for products in single precision.
 COARSE = 1e-5
 LEVELS = 7
+#: Radius of the first net below the root: near the link distance, so its nodes tell apart what may link.
+TOP_RADIUS = 0.5
 
 
 def parse_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -108,7 +110,7 @@ class CoverTree:
         self.x, self.x32 = x, x.astype(np.float32)
         n = len(x)
         owners = [np.zeros(n, dtype=np.int64)]
-        radius = 1.0
+        radius = TOP_RADIUS
         for _ in range(LEVELS - 2):
             before, own = owners[-1], np.arange(n)
             order = np.argsort(before, kind="stable")
