@@ -2,8 +2,8 @@
 
 The features are lexicon densities, nearness of second-person words to lexicon hits, capitals,
 punctuation, obfuscation and elongation rates and lengths. The lexicon is learned: words and word
-beginnings of 4 to 6 letters whose share of toxic rows is above the base rate beyond doubt
-(likelihood ratio at least ``EVIDENCE``). Tokens are also read with look-alike characters undone.
+beginnings of 4 to 6 letters whose share of toxic rows is above the base rate with a likelihood
+ratio of at least ``EVIDENCE``; the trees see the ratio too and learn how much of it to ask for. Tokens are also read with look-alike characters undone.
 Features of the training rows use the lexicon of the other folds, and the calibration uses
 out-of-fold predictions, so neither sees its own labels. Trees, lexicon and calibration are fitted
 here, on at most ``TRAIN_ROWS`` labelled rows (those of smallest hash); every document is scored on its
@@ -31,9 +31,9 @@ from .common import durable, map_batches
 
 #: Labelled rows that a model is fitted on at most.
 TRAIN_ROWS = 20_000
-FOLDS = 3
+FOLDS = 4
 #: Least likelihood ratio of a lexicon entry and most entries kept (the strongest).
-EVIDENCE = 24.0
+EVIDENCE = 10.0
 ENTRIES = 5_000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
@@ -72,32 +72,34 @@ def keys_of(word: str) -> list[str]:
 class Tokens(dict):
     """Row number of each token in the property tables; filled as tokens come, bounded."""
 
-    NAMES = ("weight", "disguised_weight", "second", "capitals", "capital", "disguised", "elongated", "letters")
+    NAMES = ("weight", "evidence", "disguised_weight", "second", "capitals", "capital", "disguised", "elongated", "letters")
     MOST = 150_000
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, tuple[float, float]]):
         super().__init__()
         self.lexicon = lexicon
         self.starts = {key[:3] for key in lexicon}
         self.fresh: list[tuple] = []
         self.table = np.zeros((0, len(self.NAMES)), dtype=np.float32)
 
-    def weight(self, word: str) -> float:
+    def weight(self, word: str) -> tuple[float, float]:
+        """Weight and evidence of a word by its best-proven key."""
         if word[:3] not in self.starts:
-            return 0.0
-        return max((self.lexicon.get(k, 0.0) for k in keys_of(word)), default=0.0)
+            return 0.0, 0.0
+        return max((self.lexicon[k] for k in keys_of(word) if k in self.lexicon), key=lambda v: v[::-1], default=(0.0, 0.0))
 
     def __missing__(self, token: str) -> int:
         core = token.strip(_EDGES)
         word = core.lower()
         elongated = _LONG.search(word) is not None
         if core.isalpha() and not elongated:
-            row = (self.weight(word), 0.0, word in SECOND_PERSON, len(core) > 1 and core.isupper(), core[0].isupper(), False, False, True)
+            row = (*self.weight(word), 0.0, word in SECOND_PERSON, len(core) > 1 and core.isupper(), core[0].isupper(), False, False, True)
         else:
             word, plain = readings(token)
             own = self.weight(word)
             letters = _LETTER.search(token) is not None
-            row = (own, self.weight(plain) if plain and not own else 0.0, word in SECOND_PERSON, len(core) > 1 and core.isupper(), letters and core[:1].isupper(), plain is not None, elongated, letters)
+            other = self.weight(plain) if plain and not own[0] else (0.0, 0.0)
+            row = (*max(own, other), other[0], word in SECOND_PERSON, len(core) > 1 and core.isupper(), letters and core[:1].isupper(), plain is not None, elongated, letters)
         self.fresh.append(row)
         at = self[token] = len(self)
         return at
@@ -117,7 +119,7 @@ class Tokens(dict):
         return self.table[at]
 
 
-FEATURES = ("max_weight", "sum_weight", "density", "hits", "strong", "disguised_max", "near", "second", "capitals", "capital", "exclaim", "question", "punctuation", "disguised", "elongated", "log_words", "log_chars")
+FEATURES = ("max_evidence", "max_weight", "sum_weight", "density", "hits", "strong", "disguised_max", "near", "second", "capitals", "capital", "exclaim", "question", "punctuation", "disguised", "elongated", "log_words", "log_chars")
 
 
 def features(text: str | None, tokens: Tokens) -> list[float]:
@@ -128,11 +130,11 @@ def features(text: str | None, tokens: Tokens) -> list[float]:
     if not n:
         return [0.0] * (len(FEATURES) - 1) + [math.log1p(chars)]
     t = tokens.lookup(parts)
-    weight = np.maximum(t[:, 0], t[:, 1])
+    weight = t[:, 0]
     hit = np.flatnonzero(weight > 0)
     near = 0.0
     if len(hit):
-        second = np.flatnonzero(t[:, 2])
+        second = np.flatnonzero(t[:, 3])
         if len(second):
             at = np.searchsorted(second, hit)
             left = np.where(at > 0, hit - second[np.maximum(at - 1, 0)], n)
@@ -140,14 +142,14 @@ def features(text: str | None, tokens: Tokens) -> list[float]:
             near = float((weight[hit] / (1 + np.minimum(np.abs(left), np.abs(right)))).max())
     marks = sum(text.count(c) for c in ".,;:!?*#%&$@")
     return [
-        float(weight.max()), float(weight.sum()), len(hit) / n, math.log1p(len(hit)), float((weight > 3).sum()), float(t[:, 1].max()), near,
-        float(t[:, 2].mean()), float(t[:, 3].mean()), float(t[:, 4].mean()), text.count("!") / chars, text.count("?") / chars, marks / chars,
-        float(t[:, 5].mean()), float(t[:, 6].mean()), math.log1p(n), math.log1p(chars),
+        float(t[:, 1].max()), float(weight.max()), float(weight.sum()), len(hit) / n, math.log1p(len(hit)), float((t[:, 1] > 20).sum()), float(t[:, 2].max()), near,
+        float(t[:, 3].mean()), float(t[:, 4].mean()), float(t[:, 5].mean()), text.count("!") / chars, text.count("?") / chars, marks / chars,
+        float(t[:, 6].mean()), float(t[:, 7].mean()), math.log1p(n), math.log1p(chars),
     ]
 
 
-def lexicon_from(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
-    """Weights (smoothed log odds) of the keys that tell toxic rows from clean ones beyond doubt."""
+def lexicon_from(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, tuple[float, float]]:
+    """(weight, evidence) of the keys that tell toxic rows from clean ones: smoothed log odds, and likelihood ratio up to 60."""
     if not toxic or not clean:
         return {}
     base = toxic / (toxic + clean)
@@ -162,13 +164,13 @@ def lexicon_from(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
             if odds > 0.7:
                 found[key] = (ratio, odds)
     best = sorted(found, key=lambda k: (-found[k][0], k))[:ENTRIES]
-    return {k: round(found[k][1], 4) for k in best}
+    return {k: (round(found[k][1], 4), round(min(found[k][0], 60.0), 3)) for k in best}
 
 
 class Trees:
     """Gradient boosting with logistic loss: shallow trees over quantile bins."""
 
-    def __init__(self, rounds: int = 120, depth: int = 3, rate: float = 0.1, bins: int = 32, least: float = 5.0, ridge: float = 1.0):
+    def __init__(self, rounds: int = 120, depth: int = 3, rate: float = 0.1, bins: int = 32, least: float = 1.0, ridge: float = 1.0):
         self.rounds, self.depth, self.rate, self.bins, self.least, self.ridge = rounds, depth, rate, bins, least, ridge
         self.base = 0.0
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -235,7 +237,7 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    lexicon: dict[str, float]
+    lexicon: dict[str, tuple[float, float]]
     trees: Trees | None
     knots: tuple[np.ndarray, np.ndarray]
     base: float
