@@ -17,8 +17,23 @@ from pyspark.sql import types as T
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Most bytes of one Arrow batch to a Python worker, which holds it several times over.
+BATCH_BYTES = 8 << 20
+
+
+def _bytes(setting: str) -> int:
+    """Bytes of a size setting such as 64m, 8388608b or -1."""
+    number, unit = setting.rstrip("bB"), 1
+    if number and number[-1].lower() in "kmg":
+        number, unit = number[:-1], 1 << {"k": 10, "m": 20, "g": 30}[number[-1].lower()]
+    value = int(number) * unit
+    return value if value > 0 else 1 << 62
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers find this package and make sure a checkpoint folder is set.
+    """Let Python workers find this package, bound their batches, and make sure a checkpoint folder is set.
+
+    Batches of long texts are bounded by bytes (``BATCH_BYTES``), not only by rows.
 
     ``spark.checkpoint.dir`` is honoured where it is set. Where it is unset, a local
     master gets a temporary folder and any other master a folder in the (shared) warehouse.
@@ -27,6 +42,8 @@ def prepare(spark: SparkSession) -> SparkSession:
     path = sc.environment.get("PYTHONPATH", "")
     if _ROOT not in path.split(os.pathsep):
         sc.environment["PYTHONPATH"] = os.pathsep.join(filter(None, (_ROOT, path)))
+    if _bytes(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and sc.master.startswith("local") and "cluster" not in sc.master:

@@ -73,7 +73,7 @@ class Tokens(dict):
     """Row number of each token in the property tables; filled as tokens come, bounded."""
 
     NAMES = ("weight", "evidence", "disguised_weight", "second", "capitals", "capital", "disguised", "elongated", "letters")
-    MOST = 150_000
+    MOST = 80_000
 
     def __init__(self, lexicon: dict[str, tuple[float, float]]):
         super().__init__()
