@@ -83,3 +83,29 @@ def test_counters(spark):
     log = spark.createDataFrame([(1, 200, "ok", False), (1, 200, "ok", True), (1, 403, "", False), (2, 404, "", False)], "page_no int, status int, html string, known boolean")
     got = {r["page_no"]: r[1:] for r in crawl.crawl_counters(log, ["page_no"]).collect()}
     assert got == {1: (3, 1, 1, 1, 0), 2: (1, 0, 0, 0, 1)}
+
+
+def test_crawl_loop(spark, tmp_path):
+    from quillspan.sources.readers import CrawlSource
+    from quillspan.streaming import crawl_loop
+
+    listing = lambda links, after: "".join(f"<a class='t' href='{u}'>x</a>" for u in links) + (f"<a class='n' href='{after}'>n</a>" if after else "")
+    web = {
+        "http://h/1": (200, listing(["/a", "/b/", "/gone"], "/2")),
+        "http://h/2": (200, listing(["/b", "/bad"], "/2")),
+        "http://h/a": (200, "A"),
+        "http://h/b/": (200, "B"),
+        "http://h/bad": (403, "no"),
+        "http://h/gone": (404, None),
+    }
+    pages = spark.createDataFrame([(u, *v) for u, v in web.items()], "url string, status int, html string").cache()
+    fetch = lambda urls: urls.join(pages, "url")
+    store = str(tmp_path / "store")
+    source = CrawlSource("s", "http://h/1", "a.t", "a.n", 5)
+    counts = crawl_loop.crawl(spark, [source], fetch, store, 1700000000)
+    assert [(c.page, c.listed, c.known, c.saved, c.refused) for c in counts] == [(1, 3, 0, 2, 1), (2, 2, 1, 0, 1)]
+    assert sorted(r["raw_html"] for r in spark.read.parquet(store).collect()) == ["A", "B"]
+    again = crawl_loop.crawl(spark, [source], fetch, store, 1700000001)
+    assert [c.saved for c in again] == [0, 0] and spark.read.parquet(store).count() == 2
+    assert crawl_loop.crawl(spark, [CrawlSource("x", "http://h/none", "a", "b", 3)], fetch, store, 0) == []
+    assert (crawl_loop.delay(1.0, 2, jitter=0.0), crawl_loop.delay(1.0, 1, True)) == (4.0, 60.0)
