@@ -39,6 +39,9 @@ _NAMES = frozenset(
     "widget widgets masthead footer comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations "
     "newsletter subscribe subscription signup cookie cookies consent gdpr notice notices notification popup modal overlay login toolbar pager pagination copyright".split()
 )
+_NAME_PARTS = re.compile(r"comments?(?!ar)|sidebar|advert|cookie|newsletter|breadcrumb|navbar|footer|masthead|sponsor")
+#: Names that mark furniture outside an article and parts of it inside.
+_OUTSIDE = frozenset("header topbar hero".split())
 #: Tags whose start ends an open paragraph, as browsers do.
 _ENDS_P = _BLOCK - {"html", "head", "body", "title", "option", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 #: Tags that their own kind ends when it is still open.
@@ -48,11 +51,14 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (element, text parts, tags, link characters). Elements are (parent, tag, hard, soft)."""
+    """Collects lines: (element, text parts, tags, link characters). Elements are (parent, tag, hard, soft).
+
+    Hard: never text. Soft: named like furniture, 1 anywhere, 2 only outside an article.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements: list[list] = [[-1, "", False, False]]
+        self.elements: list[list] = [[-1, "", False, 0]]
         self.stack = [0]
         self.lines: list[tuple[int, str, int, int]] = []
         self.parts: list[str] = []
@@ -99,10 +105,14 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag in _VOID:
             return
-        hard, soft = tag in _SKIP, False
+        hard, soft = tag in _SKIP, 0
         for name, value in attrs:
             if name in ("class", "id") and value:
-                soft = soft or not _NAMES.isdisjoint(_WORDS.findall(value.lower()))
+                names = _WORDS.findall(value.lower())
+                if not _NAMES.isdisjoint(names) or _NAME_PARTS.search(" ".join(names)):
+                    soft = 1
+                elif not soft and not _OUTSIDE.isdisjoint(names):
+                    soft = 2
             elif name == "role" and value:
                 hard = hard or value.strip().lower() in _ROLES
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -110,7 +120,7 @@ class _Lines(HTMLParser):
             elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 hard = True
         hard = hard and tag not in ("html", "body")
-        self.elements.append([self.stack[-1], tag, hard, soft and tag not in ("html", "body", "main", "h1")])
+        self.elements.append([self.stack[-1], tag, hard, soft * (tag not in ("html", "body", "main", "h1"))])
         self.stack.append(len(self.elements) - 1)
         self.hard += hard
         self.in_link += tag == "a"
@@ -175,7 +185,7 @@ def extract(html: str | None) -> str:
     parser.feed(html)
     parser.finish()
     elements = parser.elements
-    holds = [tag in ("main", "h1") or (tag == "article" and not soft) for _, tag, _, soft in elements]
+    holds = [tag in ("main", "h1") or (tag == "article" and soft != 1) for _, tag, _, soft in elements]
     for i in range(len(elements) - 1, 0, -1):
         holds[elements[i][0]] |= holds[i]
     # An element named like a side bar that holds the article is a frame, not a side bar.
@@ -183,7 +193,7 @@ def extract(html: str | None) -> str:
     for i, (parent, tag, hard, soft) in enumerate(elements):
         inner = parent >= 0 and within[parent]
         header = tag == "header" and not inner
-        blocked[i] = (parent >= 0 and blocked[parent]) or hard or (soft and not holds[i]) or (header and not holds[i])
+        blocked[i] = (parent >= 0 and blocked[parent]) or hard or (soft == 1 and not holds[i]) or (soft == 2 and not inner and not holds[i]) or (header and not holds[i])
         within[i] = inner or tag in ("article", "main")
     lines = [line for line in parser.lines if not blocked[line[0]]]
     if not lines:

@@ -14,6 +14,8 @@ PAGES = {
     "empty": ("", ""),
     "no text": ("<html><body><nav>menu</nav></body></html>", ""),
     "plain": ("just text &lt;here&gt;", "just text <here>"),
+    "named blocks": (f"<body><div class='site-header'><p>Site {LONG}</p></div><div id='usercomments'><p>{LONG}</p></div><div class='body'><h1>T</h1><div class='section-header'><p>{LONG}</p></div><p class='commentary'>{LONG}</p></div><div class='cookieBanner'>We use cookies</div></body>", f"T\n{LONG}"),
+    "headers in an article": (f"<article><h1>T</h1><div class='section-header'><h2>S</h2></div><p class='commentary'>{LONG}</p></article>", f"T\nS\n{LONG}"),
     "header in article": (f"<header><p>site</p></header><article><header><h1>T</h1></header><p>{LONG}</p></article>", f"T\n{LONG}"),
 }
 
