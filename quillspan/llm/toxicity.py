@@ -180,33 +180,27 @@ class Trees:
         p = (y.sum() + 0.5) / (n + 1)
         self.base = math.log(p / (1 - p))
         cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, self.bins + 1)[1:-1])) for f in range(m)]
-        code = np.stack([np.searchsorted(c, x[:, f], side="left") for f, c in enumerate(cuts)], axis=1)
+        wide = max(len(c) for c in cuts) + 1
+        code = np.stack([np.searchsorted(c, x[:, f], side="left") + f * wide for f, c in enumerate(cuts)], axis=1)
         score = np.full(n, self.base)
         inner = (1 << self.depth) - 1
         for _ in range(self.rounds):
             prob = 1 / (1 + np.exp(-score))
             g, h = prob - y, np.maximum(prob * (1 - prob), 1e-6)
-            feature, cut, leaf = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf), np.zeros(inner + 1)
+            every_g, every_h = np.repeat(g, m), np.repeat(h, m)
+            feature, cut = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf)
             node = np.zeros(n, dtype=np.int64)
             for level in range(self.depth):
-                first = (1 << level) - 1
-                width = 1 << level
-                best = np.full(width, 1e-6)
-                for f in range(m):
-                    size = len(cuts[f]) + 1
-                    if size < 2:
-                        continue
-                    key = (node - first) * size + code[:, f]
-                    gs = np.bincount(key, g, width * size).reshape(width, size).cumsum(axis=1)
-                    hs = np.bincount(key, h, width * size).reshape(width, size).cumsum(axis=1)
-                    gt, ht = gs[:, -1:], hs[:, -1:]
-                    gain = gs**2 / (hs + self.ridge) + (gt - gs) ** 2 / (ht - hs + self.ridge) - gt**2 / (ht + self.ridge)
-                    gain[(hs < self.least) | (ht - hs < self.least)] = 0
-                    gain = gain[:, :-1]
-                    at = gain.argmax(axis=1)
-                    for k in np.flatnonzero(gain[np.arange(width), at] > best):
-                        best[k] = gain[k, at[k]]
-                        feature[first + k], cut[first + k] = f, cuts[f][at[k]]
+                first, width = (1 << level) - 1, 1 << level
+                key = ((node - first)[:, None] * (m * wide) + code).ravel()
+                gs, hs = (np.bincount(key, w, width * m * wide).reshape(width, m, wide).cumsum(axis=2) for w in (every_g, every_h))
+                gt, ht = gs[:, :1, -1:], hs[:, :1, -1:]
+                gain = gs**2 / (hs + self.ridge) + (gt - gs) ** 2 / (ht - hs + self.ridge) - gt**2 / (ht + self.ridge)
+                gain[(hs < self.least) | (ht - hs < self.least)] = 0
+                best = gain.reshape(width, -1).argmax(axis=1)
+                for k, (f, b) in enumerate(zip(*divmod(best, wide))):
+                    if gain[k, f, b] > 1e-6:
+                        feature[first + k], cut[first + k] = f, cuts[f][b]
                 node = 2 * node + 1 + (x[np.arange(n), feature[node]] > cut[node])
             gs, hs = np.bincount(node - inner, g, inner + 1), np.bincount(node - inner, h, inner + 1)
             leaf = -self.rate * gs / (hs + self.ridge)
