@@ -134,21 +134,22 @@ def _exchange(donor: Pattern, receiver: Pattern, capacity: int) -> tuple[int, tu
 
 
 def local_search(bins: Counter[Pattern], capacity: int, steps: int = STEPS) -> Counter[Pattern]:
-    """Swap-based local search over the underfull patterns until no exchange helps or ``steps`` are used."""
+    """Swap-based local search over the underfull patterns until no exchange helps, the bins are as few as can be, or ``steps`` are used."""
+    least = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
     done = Counter({p: n for p, n in bins.items() if sum(p) == capacity})
     underfull = Counter({p: n for p, n in bins.items() if sum(p) < capacity})
-    fruitless: set[tuple[Pattern, Pattern]] = set()
-    while steps > 0:
+    known: dict[tuple[Pattern, Pattern], tuple[int, tuple, tuple] | None] = {}
+    while steps > 0 and done.total() + underfull.total() > least:
         move = None
         by_fill = sorted(underfull, key=lambda p: (sum(p), p))
         for donor in by_fill:
             for receiver in reversed(by_fill):
-                if (donor, receiver) in fruitless or (donor == receiver and underfull[donor] < 2):
+                if donor == receiver and underfull[donor] < 2:
                     continue
-                found = _exchange(donor, receiver, capacity)
-                if found is None:
-                    fruitless.add((donor, receiver))
-                elif move is None or found[0] > move[0][0]:
+                if (donor, receiver) not in known:
+                    known[donor, receiver] = _exchange(donor, receiver, capacity)
+                found = known[donor, receiver]
+                if found and (move is None or found[0] > move[0][0]):
                     move = (found, donor, receiver)
                     if found[0] == capacity - sum(receiver):
                         break
