@@ -7,12 +7,14 @@ GRAM + WINDOW - 1 = 50 words has at least one, at the same place in each of its
 earliest position of a fingerprint - by doc_id, then by place - is joined to all its later
 positions; each match is extended both ways word by word, and where at least 50 words agree the
 run is deleted from the later place. The earliest place of a word always stays, because every
-deleted word was matched with an equal word at an earlier place.
+deleted word was matched with an equal word at an earlier place. A fingerprint may occur first in
+shorter company than later (its first place shares fewer than 50 words with the others); later
+places that no run has covered are therefore grouped once more by the whole 50-word windows around the
+fingerprint, and every window that an earlier place has is deleted.
 
 Whole copies collapse first: a copy of 50 words or more loses all its text, shorter documents are
 left alone. A run that repeats within one document at a distance below 50 words keeps its first
-50 words. A run is matched with the place where its fingerprint occurs first; a run whose every
-fingerprint was first seen in shorter company stays.
+50 words.
 
 Null texts stay null; empty texts stay empty; texts are read whole. Rows with one doc_id are one
 document. An empty table gives no rows. Further columns pass through unchanged.
@@ -117,6 +119,45 @@ def delete_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
 
 
+_LONG_POWERS = [_mix(np.arange(1, RUN + 1, dtype=_U) * _U(k)) | _U(1) for k in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def _windows(texts: DataFrame) -> DataFrame:
+    """(w1, w2, doc_id, start): 128-bit hashes of the 50-word windows that hold a gram at one of ``places``."""
+
+    def run(cols):
+        words, out = WordHashes(), {"w1": [], "w2": [], "doc_id": [], "start": []}
+        for doc, text, places in zip(cols["doc_id"], cols["text"], cols["places"]):
+            h = word_hashes(text, words)
+            starts = np.unique(np.concatenate([np.arange(p + GRAM - RUN, p + 1) for p in places]))
+            starts = starts[(starts >= 0) & (starts + RUN <= len(h))]
+            for name, powers in zip(("w1", "w2"), _LONG_POWERS):
+                total = np.zeros(len(starts), dtype=_U)
+                for k in range(RUN):
+                    total += h[starts + k] * powers[k]
+                out[name] += _mix(total).view(np.int64).tolist()
+            out["doc_id"] += [doc] * len(starts)
+            out["start"] += starts.tolist()
+        return out
+
+    return map_batches(texts.select("doc_id", "text", "places"), run, "w1 long, w2 long, doc_id long, start int", rows=512)
+
+
+def _uncovered(matched: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, s, e) of repeated windows around fingerprints that no run of ``found`` covers."""
+    covered = found.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
+    inside = F.exists("runs", lambda r: (r["s"] <= F.col("place")) & (r["e"] >= F.col("place") + GRAM))
+    rest = matched.join(covered, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).select("print").distinct()
+    again = matched.join(small_side(rest), "print", "left_semi")
+    places = again.select("doc_id", "place").unionAll(again.select("src", "src_place")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    places = small_side(places)
+    windows = durable(_windows(docs.join(places, "doc_id").dropDuplicates(["doc_id"])))
+    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    later = windows.join(first.select("w1", "w2", F.col("f.doc_id").alias("f_doc"), F.col("f.start").alias("f_start")), ["w1", "w2"])
+    later = later.where((F.col("doc_id") != F.col("f_doc")) | (F.col("start") - F.col("f_start") >= RUN))
+    return later.select("doc_id", F.col("start").alias("s"), (F.col("start") + RUN).alias("e"))
+
+
 def _prints(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, digest of the word sequence, fingerprints and their positions."""
 
@@ -147,7 +188,7 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     marks = sole.select("doc_id", F.explode(F.arrays_zip("prints", "places")).alias("m")).select("doc_id", F.col("m.prints").alias("print"), F.col("m.places").alias("place"))
     first = marks.groupBy("print").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).where("n > 1")
     first = first.select("print", F.col("f.doc_id").alias("src"), F.col("f.place").alias("src_place"))
-    matched = marks.join(first, "print").where("doc_id <> src or place <> src_place")
+    matched = durable(marks.join(first, "print").where("doc_id <> src or place <> src_place"))
     pairs = matched.select("src", "doc_id", (F.col("place") - F.col("src_place")).alias("shift")).distinct()
     pairs = durable(pairs.groupBy("src", "doc_id").agg(F.sort_array(F.collect_list("shift")).alias("shifts")))
     ids = pairs.select("doc_id").unionAll(pairs.select("src")).distinct()
@@ -168,8 +209,8 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
                 out["e"].append(e)
         return out
 
-    found = map_batches(both.select("src", "doc_id", "shifts", "src_text", "text"), extend, "doc_id long, s int, e int", rows=1024)
-    spans = found.unionAll(copied.distinct()).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("all"))
+    found = durable(map_batches(both.select("src", "doc_id", "shifts", "src_text", "text"), extend, "doc_id long, s int, e int", rows=1024))
+    spans = found.unionAll(_uncovered(matched, found, docs)).unionAll(copied.distinct()).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("all"))
 
     def join_up(cols):
         merged = [merge([(x["s"], x["e"]) for x in spans]) for spans in cols["all"]]
