@@ -49,6 +49,23 @@ def test_random_texts(spark):
     assert missed == 0 and not over
 
 
+def test_first_place_in_shorter_company(spark):
+    """Passages whose beginning or end an earlier document has alone."""
+    rng = random.Random(7)
+    rows, at = [], 0
+    for k in range(40):
+        passage = prose(rng, 60).split()
+        cut = rng.randrange(26, 50)
+        part = passage[:cut] if k % 2 else passage[-cut:]
+        for inner in (part, passage, passage):
+            rows.append((at, f"{prose(rng, 30)} {' '.join(inner)} {prose(rng, 30)}"))
+            at += 1
+    want, got = brute.repeated_words(rows), run(spark, rows)
+    assert sum(map(len, want.values())) >= 40 * 60
+    for i, text in rows:
+        assert got[i]["text"].split() == words_left(text, want[i]), i
+
+
 def test_monotonous_text(spark):
     rows = [(1, "la " * 4000), (2, ("one two three four five six seven. " * 300)), (3, "la " * 49)]
     got = run(spark, rows)
