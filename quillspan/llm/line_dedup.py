@@ -102,9 +102,14 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def delete_words(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the given word ranges. Where a range goes, one separator stays, a line end if there was one."""
+    """The text without the given word ranges. Where a range goes, one separator stays, a line end if there was one.
+
+    Ranges beyond the text's words belong to another text of the same id: then nothing is deleted.
+    """
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw)]
+    if spans and max(e for _, e in spans) > len(at):
+        return text
     out, done = [], 0
     for s, e in spans:
         if e <= s:

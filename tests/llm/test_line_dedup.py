@@ -94,3 +94,12 @@ def test_guarantee():
     for start in range(0, 500 - line_dedup.RUN):
         assert ((at >= start) & (at + line_dedup.GRAM <= start + line_dedup.RUN)).any()
     assert len(line_dedup.fingerprints(h[:49])[0]) == 0
+
+
+def test_ids_with_two_texts(spark):
+    rng = random.Random(8)
+    passage = prose(rng, 200)
+    got = line_dedup.drop_repeats(spark.createDataFrame([(1, passage), (2, "short"), (2, passage)], "doc_id long, text string")).collect()
+    assert len(got) == 3 and {r["text"] for r in got if r["doc_id"] == 1} == {passage} and "short" in {r["text"] for r in got}
+    assert line_dedup.delete_words("a b", [(1, 9)]) == "a b"
+    assert line_dedup.delete_words("a  b\nc d", [(1, 2)]) == "a\nc d"
