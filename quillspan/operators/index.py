@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stemmer import stem, with_stem
-from ..functions.text import spread, title, token_array
+from ..functions.text import SEPARATOR_PATTERN, fold, spread, title, token_array
 
 
 def tokens(docs: DataFrame, mode: str = "reference") -> DataFrame:
-    """(doc_id, token), one row per occurrence."""
-    return spread(docs.select("doc_id", "text")).select("doc_id", F.explode(token_array("text", mode)).alias("token"))
+    """(doc_id, token), one row per occurrence. Empty parts go after the explode, where the filter is compiled."""
+    parts = F.split(fold("text", mode), SEPARATOR_PATTERN)
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.explode(parts).alias("token")).where("token <> ''")
 
 
 def vocabulary(occurrences: DataFrame) -> DataFrame:
