@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -98,6 +99,8 @@ def map_batches(
                 part = batch.slice(at, rows)
                 out = fn({n: part.column(i).to_pylist() for i, n in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in arrow], schema=arrow)
+                del out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -119,12 +122,24 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def global_rank(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers live long and serve many operators."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def global_rank(
+    df: DataFrame, order: Sequence[str], extra: Sequence[T.StructField] = (T.StructField("rank", T.LongType()),), of_rank: Callable[[np.ndarray], list[np.ndarray]] = lambda rank: [rank]
+) -> tuple[DataFrame, int]:
     """(rows with ``rank`` (long, from 0) in the given total order, number of rows).
 
     Range-partitioned and sorted, then checkpointed: partition sizes - all that reaches the driver -
     and row positions agree even if an executor is lost in between. Hot keys spread as far as the
-    order tells their rows apart.
+    order tells their rows apart. ``extra`` and ``of_rank`` put columns made of the rank in its place,
+    in the same pass.
     """
     n = shuffle_partitions(df.sparkSession)
     laid = durable(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
@@ -134,7 +149,7 @@ def global_rank(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
         starts[p] = total
         total += counts[p]
     kept = [f for f in laid.schema.fields if f.name != "_part"]
-    schema = T.StructType([*kept, T.StructField("rank", T.LongType())])
+    schema = T.StructType([*kept, *extra])
     arrow = to_arrow(schema)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +160,8 @@ def global_rank(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, int]:
                 rank = starts[part] + seen.get(part, 0) + np.arange(batch.num_rows)
                 seen[part] = seen.get(part, 0) + batch.num_rows
                 columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(rank, pa.int64())], schema=arrow)
+                made = [pa.array(v, arrow.field(f.name).type) for f, v in zip(extra, of_rank(rank))]
+                yield pa.RecordBatch.from_arrays([*columns, *made], schema=arrow)
+        give_back()
 
     return laid.mapInArrow(number, schema), total

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, small_side
+from .common import durable, give_back, map_batches, small_side
 from .graph import components
 
 WORDS = 5
@@ -300,6 +300,7 @@ def _across(rows: DataFrame, first: int) -> DataFrame:
         if group:
             out += pairs_of(group)
         yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in out], schema=arrow)
+        give_back()
 
     return durable(dealt.mapInArrow(run, "a long, b long").distinct())
 

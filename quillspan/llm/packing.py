@@ -22,12 +22,11 @@ from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import durable, global_rank, map_batches, to_arrow
+from .common import durable, global_rank, map_batches
 
 CAPACITY = 1024
 END = 2
@@ -211,24 +210,15 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
     """
     pieces = durable(pieces)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    ranked, _ = global_rank(pieces, ["length", *order])
     at = placement(pack_histogram(counts, capacity), counts)
-    kept = [f for f in ranked.schema.fields if f.name != "rank"]
-    schema = T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    arrow = to_arrow(schema)
-
-    def place(batches):
-        for batch in batches:
-            rank = batch.column(batch.schema.get_field_index("rank")).to_numpy()
-            e = np.searchsorted(at["start"], rank, side="right") - 1
-            copy, turn = np.divmod(rank - at["start"][e], at["each"][e])
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            sequence, offset = at["sequence"][e] + copy, at["offset"][e] + turn * at["length"][e]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], schema=arrow)
-
-    return ranked.mapInArrow(place, schema)
 
+    def place(rank: np.ndarray) -> list[np.ndarray]:
+        e = np.searchsorted(at["start"], rank, side="right") - 1
+        copy, turn = np.divmod(rank - at["start"][e], at["each"][e])
+        return [at["sequence"][e] + copy, at["offset"][e] + turn * at["length"][e]]
 
+    extra = [T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    return global_rank(pieces, ["length", *order], extra, place)[0]
 
 
 class Tokenizer:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches
+from .common import durable, give_back, map_batches
 
 #: Labelled rows that a model is fitted on at most.
 TRAIN_ROWS = 20_000
@@ -295,6 +295,8 @@ def _key_counts(sample: DataFrame) -> DataFrame:
             if sum(map(len, counts.values())) > 300_000:
                 yield from flush()
         yield from flush()
+        known.clear()
+        give_back()
 
     return sample.mapInArrow(run, "key string, fold int, toxic int, n long").groupBy("key", "fold", "toxic").agg(F.sum("n").alias("n"))
 
