@@ -26,9 +26,9 @@ import re
 from collections import OrderedDict
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import durable, map_batches, small_side
 from .near_dedup import WordHashes, _mix
@@ -39,7 +39,43 @@ RUN = GRAM + WINDOW - 1
 
 _U = np.uint64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_POWERS = _mix(np.arange(1, GRAM + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)) | _U(1)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+class _Powers:
+    """Powers of an odd base modulo 2**64 and of its inverse, as far as they were needed."""
+
+    def __init__(self, base: int):
+        self.steps = base, pow(base, -1, 1 << 64)
+        self.tables = [np.ones(1, dtype=_U), np.ones(1, dtype=_U)]
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.tables[0]) < n:
+            for k, (table, step) in enumerate(zip(self.tables, self.steps)):
+                ahead = _U(pow(step, len(table), 1 << 64))
+                self.tables[k] = np.concatenate([table, table * ahead])
+        return self.tables[0][:n], self.tables[1][:n]
+
+
+_ROLLING = [_Powers(base) for base in _BASES]
+
+
+def rolling(h: np.ndarray, size: int, which: int) -> np.ndarray:
+    """Hashes of every ``size`` consecutive words, from prefix sums of a polynomial."""
+    n = len(h) - size + 1
+    up, down = _ROLLING[which].upto(len(h) + 1)
+    prefix = np.zeros(len(h) + 1, dtype=_U)
+    np.cumsum(h * up[: len(h)], out=prefix[1:])
+    return _mix((prefix[size:] - prefix[:-size]) * down[:n])
+
+
+def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
+    """Minimum or maximum of every ``width`` consecutive values, by doubling."""
+    reach = 1
+    while 2 * reach <= width:
+        x = best(x[:-reach], x[reach:])
+        reach *= 2
+    return best(x[: len(x) - (width - reach)], x[width - reach :]) if reach < width else x
 
 
 def word_hashes(text: str | None, words: WordHashes) -> np.ndarray:
@@ -58,11 +94,12 @@ def fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(h) - GRAM + 1
     if n < WINDOW:
         return np.empty(0, dtype=_U), np.empty(0, dtype=np.int64)
-    grams = np.zeros(n, dtype=_U)
-    for k in range(GRAM):
-        grams += h[k : k + n] * _POWERS[k]
-    grams = _mix(grams)
-    at = np.unique(np.lib.stride_tricks.sliding_window_view(grams, WINDOW).argmin(axis=1) + np.arange(n - WINDOW + 1))
+    grams = rolling(h, GRAM, 0)
+    least = sliding(grams, WINDOW, np.minimum)
+    # A gram is a minimum of some window that holds it if the largest of those windows' minima is it.
+    around = np.zeros(n + WINDOW - 1, dtype=_U)
+    around[WINDOW - 1 : n] = least
+    at = np.flatnonzero(sliding(around, WINDOW, np.maximum) == grams)
     found = grams[at]
     if not (found[1:] == found[:-1]).any():
         return found, at
@@ -124,9 +161,6 @@ def delete_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, raw[done:]]).decode("utf-8", "surrogatepass")
 
 
-_LONG_POWERS = [_mix(np.arange(1, RUN + 1, dtype=_U) * _U(k)) | _U(1) for k in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-
-
 def _windows(texts: DataFrame) -> DataFrame:
     """(w1, w2, doc_id, start): 128-bit hashes of the 50-word windows that hold a gram at one of ``places``."""
 
@@ -136,11 +170,8 @@ def _windows(texts: DataFrame) -> DataFrame:
             h = word_hashes(text, words)
             starts = np.unique(np.concatenate([np.arange(p + GRAM - RUN, p + 1) for p in places]))
             starts = starts[(starts >= 0) & (starts + RUN <= len(h))]
-            for name, powers in zip(("w1", "w2"), _LONG_POWERS):
-                total = np.zeros(len(starts), dtype=_U)
-                for k in range(RUN):
-                    total += h[starts + k] * powers[k]
-                out[name] += _mix(total).view(np.int64).tolist()
+            for k, name in ((1, "w1"), (2, "w2")):
+                out[name] += rolling(h, RUN, k)[starts].view(np.int64).tolist() if len(starts) else []
             out["doc_id"] += [doc] * len(starts)
             out["start"] += starts.tolist()
         return out
@@ -191,9 +222,10 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     copied = printed.join(heads.where("n > 1"), ["h1", "h2"]).where("doc_id <> head").select("doc_id", F.lit(0).alias("s"), F.col("n_words").alias("e"))
     sole = printed.join(heads.select("h1", "h2", F.col("head").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
     marks = sole.select("doc_id", F.explode(F.arrays_zip("prints", "places")).alias("m")).select("doc_id", F.col("m.prints").alias("print"), F.col("m.places").alias("place"))
-    first = marks.groupBy("print").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    first = first.select("print", F.col("f.doc_id").alias("src"), F.col("f.place").alias("src_place"))
-    matched = durable(marks.join(first, "print").where("doc_id <> src or place <> src_place"))
+    first = marks.groupBy("print").agg(F.min("doc_id").alias("src"), F.count("*").alias("n")).where("n > 1").select("print", "src")
+    repeated = durable(marks.join(first, "print"))
+    places = repeated.where("doc_id = src").groupBy("print").agg(F.min("place").alias("src_place"))
+    matched = repeated.join(places, "print").where("doc_id <> src or place <> src_place")
     pairs = matched.select("src", "doc_id", (F.col("place") - F.col("src_place")).alias("shift")).distinct()
     pairs = durable(pairs.groupBy("src", "doc_id").agg(F.sort_array(F.collect_list("shift")).alias("shifts")))
     ids = pairs.select("doc_id").unionAll(pairs.select("src")).distinct()
@@ -230,21 +262,22 @@ def drop_repeats(docs: DataFrame, report: bool = True, drop_emptied: bool = Fals
     With ``report``, ``spans`` (word ranges that went) and ``n_removed`` are added, in place of columns of
     that name. With ``drop_emptied``, documents that lose all their words go.
     """
-    kept = [f for f in docs.schema.fields if not report or f.name not in ("spans", "n_removed")]
-    names = [f.name for f in kept]
+    names = [n for n in docs.columns if not report or n not in ("spans", "n_removed")]
     found = repeated_runs(docs).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("n_removed").alias("_removed"))
-    joined = docs.select(*names).join(small_side(found), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-
-    def cut(cols):
-        spans = [s or "" for s in cols["_spans"]]
-        text = [delete_words(t, [tuple(map(int, x.split(":"))) for x in s.split(",")]) if t and s else t for t, s in zip(cols["text"], spans)]
-        out = {**{n: cols[n] for n in names}, "text": text}
-        if report:
-            out |= {"spans": spans, "n_removed": [n or 0 for n in cols["_removed"]]}
-        if drop_emptied:
-            stay = [i for i, (t, s) in enumerate(zip(text, spans)) if not s or t.strip(" \t\n\r\v\f")]
-            out = {n: [v[i] for i in stay] for n, v in out.items()}
-        return out
-
-    extra = [T.StructField("spans", T.StringType()), T.StructField("n_removed", T.LongType())] if report else []
-    return map_batches(joined, cut, T.StructType([*kept, *extra]))
+    joined = docs.select(*names).join(small_side(found), F.col("doc_id") == F.col("_id"), "left")
+    hit = F.col("_spans").isNotNull()
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        one = lambda t, s: t if t is None or s is None else delete_words(t, [tuple(map(int, x.split(":"))) for x in s.split(",")])
+        return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
+
+    # Texts that nothing is deleted from do not travel to Python.
+    text = F.when(hit, cut(F.when(hit, F.col("text")), F.col("_spans"))).otherwise(F.col("text"))
+    out = joined.withColumn("text", text)
+    if drop_emptied:
+        out = out.where(~hit | F.col("text").isNull() | F.col("text").rlike(r"[^ \t\n\r\x0B\f]"))
+    if report:
+        out = out.withColumns({"spans": F.coalesce("_spans", F.lit("")), "n_removed": F.coalesce("_removed", F.lit(0)).cast("long")})
+        names = [*names, "spans", "n_removed"]
+    return out.select(*names)
