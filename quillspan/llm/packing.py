@@ -16,9 +16,10 @@ their own. An empty table gives no rows. Only documents beyond the capacity are
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter, defaultdict
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -231,15 +232,22 @@ class Tokenizer:
     def __init__(self, json_path: str, rank_path: str, pattern: str):
         import regex
         import tiktoken
-        import tokenizers
 
         from .bpe import read_ranks
 
-        self.slow = tokenizers.Tokenizer.from_file(json_path)
+        self.json_path = json_path
         ranks = {token: i for i, token in enumerate(read_ranks(rank_path))}
         self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.plain = regex.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*").fullmatch
-        self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
+        with open(json_path, encoding="utf-8") as f:
+            self.special = [t["content"] for t in json.load(f)["added_tokens"]]
+
+    @cached_property
+    def slow(self):
+        """The named library's tokenizer; most workers never need it."""
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.json_path)
 
     def encode(self, text: str) -> list[int]:
         if self.plain(text) and not any(s in text for s in self.special):
