@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import random
 from collections import defaultdict
 
 import numpy as np
 
+WORDS = ["".join(random.Random(k).choices("aeioulnrst", k=3 + k % 6)) + str(k % 7) * (k % 11 == 0) for k in range(3000)]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
 
 def near_duplicates(rows):
     """{doc_id: (set size, component)} of (doc_id, text) rows with distinct ids."""

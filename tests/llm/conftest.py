@@ -6,12 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-WORDS = ["".join(random.Random(k).choices("aeioulnrst", k=3 + k % 6)) + str(k % 7) * (k % 11 == 0) for k in range(3000)]
-
-
-def prose(rng, n):
-    return " ".join(rng.choice(WORDS) for _ in range(n))
-
+from brute import prose  # noqa: E402
 
 @pytest.fixture(scope="session")
 def edge_rows():

@@ -28,7 +28,7 @@ def test_edges(spark, edge_docs, no_docs, edge_rows):
 def test_families_of_near_copies(spark, change):
     """Groups in which many pairs are near the limit on either side, and chains."""
     rng = random.Random(int(change * 1000))
-    from conftest import WORDS, prose
+    from brute import WORDS, prose
 
     rows, at = [], 0
     for _ in range(4):

@@ -4,7 +4,7 @@ from collections import Counter
 import brute
 import corpus_pipeline
 import pytest
-from conftest import prose
+from brute import prose
 
 from quillspan.llm import secrets
 

@@ -3,7 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import prose
+from brute import prose
 
 from quillspan.llm import toxicity
 
