@@ -77,7 +77,7 @@ def small_side(df: DataFrame) -> DataFrame:
     """
     df = durable(df)
     strings = [F.octet_length(f.name) for f in df.schema if isinstance(f.dataType, T.StringType)]
-    strings += [8 * F.size(f.name) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    strings += [16 * F.size(f.name) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
     width = 16 + 8 * len(df.columns)
     total = df.agg(F.coalesce(F.sum(sum((F.coalesce(s, F.lit(0)) for s in strings), F.lit(width)).cast("long")), F.lit(0)).alias("b")).first()["b"]
     return F.broadcast(df) if total <= BROADCAST_BYTES else df

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_batches, small_side
-from .near_dedup import WordHashes, _mix
+from .near_dedup import _mix
 
 GRAM = 25
 WINDOW = 26
@@ -39,6 +39,7 @@ RUN = GRAM + WINDOW - 1
 
 _U = np.uint64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -78,11 +79,39 @@ def sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(x[: len(x) - (width - reach)], x[width - reach :]) if reach < width else x
 
 
-def word_hashes(text: str | None, words: WordHashes) -> np.ndarray:
-    parts = (text or "").encode("utf-8", "surrogatepass").split()
-    out = np.fromiter(map(words.__getitem__, parts), dtype=_U, count=len(parts))
-    words.trim()
-    return out
+_BYTE = _mix(np.arange(1, 257, dtype=_U) * _U(0xD6E8FEB86659FD93))
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Bytes hashed at once; longer texts are cut at white space.
+CHUNK = 1 << 20
+
+
+def _hash_words(raw: bytes) -> np.ndarray:
+    """Hashes of the words of one piece, from prefix sums of a polynomial over its bytes."""
+    codes = np.frombuffer(raw, dtype=np.uint8)
+    edge = np.ones(len(codes) + 2, dtype=bool)
+    edge[1:-1] = _SPACE[codes]
+    at = np.flatnonzero(edge[1:] != edge[:-1])
+    start, end = at[::2], at[1::2]
+    up, down = _ROLLING[0].upto(len(codes) + 1)
+    prefix = np.zeros(len(codes) + 1, dtype=_U)
+    np.cumsum(_BYTE[codes] * up[: len(codes)], out=prefix[1:])
+    return _mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(_U))
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if len(raw) <= CHUNK:
+        return _hash_words(raw)
+    out, at = [], 0
+    while at < len(raw):
+        to = len(raw)
+        if at + CHUNK < len(raw):
+            gap = _GAP.search(raw, at + CHUNK)
+            to = gap.start() if gap else len(raw)
+        out.append(_hash_words(raw[at:to]))
+        at = to
+    return np.concatenate(out)
 
 
 def fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,14 +157,12 @@ def runs_of(source: np.ndarray, target: np.ndarray, shift: int, same: bool) -> l
     return found
 
 
-def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for s, e in sorted(spans):
-        if out and s <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], e)
-        else:
-            out.append([s, e])
-    return [(s, e) for s, e in out]
+def merge_packed(spans: np.ndarray) -> list[tuple[int, int]]:
+    """Disjoint ascending ranges of overlapping or touching ones, each packed as start * 2**32 + end."""
+    start, end = np.divmod(np.sort(spans), 1 << 32)
+    reach = np.maximum.accumulate(end)
+    first = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+    return list(zip(start[first].tolist(), reach[np.append(first[1:], len(start)) - 1].tolist()))
 
 
 def delete_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -165,18 +192,21 @@ def _windows(texts: DataFrame) -> DataFrame:
     """(w1, w2, doc_id, start): 128-bit hashes of the 50-word windows that hold a gram at one of ``places``."""
 
     def run(cols):
-        words, out = WordHashes(), {"w1": [], "w2": [], "doc_id": [], "start": []}
-        for doc, text, places in zip(cols["doc_id"], cols["text"], cols["places"]):
-            h = word_hashes(text, words)
+        out = {"w1": [], "w2": [], "doc_id": [], "start": []}
+        for doc, text, places, runs in zip(cols["doc_id"], cols["text"], cols["places"], cols["runs"]):
+            h = word_hashes(text)
             starts = np.unique(np.concatenate([np.arange(p + GRAM - RUN, p + 1) for p in places]))
             starts = starts[(starts >= 0) & (starts + RUN <= len(h))]
+            for r in runs or ():
+                # Within one run every window has an earlier place, and that place is here too.
+                starts = starts[(starts < r["s"]) | (starts + RUN > r["e"])]
             for k, name in ((1, "w1"), (2, "w2")):
                 out[name] += rolling(h, RUN, k)[starts].view(np.int64).tolist() if len(starts) else []
             out["doc_id"] += [doc] * len(starts)
             out["start"] += starts.tolist()
         return out
 
-    return map_batches(texts.select("doc_id", "text", "places"), run, "w1 long, w2 long, doc_id long, start int", rows=512)
+    return map_batches(texts.select("doc_id", "text", "places", "runs"), run, "w1 long, w2 long, doc_id long, start int", rows=512)
 
 
 def _uncovered(matched: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -186,7 +216,7 @@ def _uncovered(matched: DataFrame, found: DataFrame, docs: DataFrame) -> DataFra
     rest = matched.join(covered, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).select("print").distinct()
     again = matched.join(small_side(rest), "print", "left_semi")
     places = again.select("doc_id", "place").unionAll(again.select("src", "src_place")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    places = small_side(places)
+    places = small_side(places.join(covered, "doc_id", "left"))
     windows = durable(_windows(docs.join(places, "doc_id").dropDuplicates(["doc_id"])))
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(first.select("w1", "w2", F.col("f.doc_id").alias("f_doc"), F.col("f.start").alias("f_start")), ["w1", "w2"])
@@ -200,9 +230,9 @@ def _prints(docs: DataFrame) -> DataFrame:
     def run(cols):
         import xxhash
 
-        words, out = WordHashes(), {k: [] for k in ("n_words", "h1", "h2", "prints", "places")}
+        out = {k: [] for k in ("n_words", "h1", "h2", "prints", "places")}
         for text in cols["text"]:
-            h = word_hashes(text, words)
+            h = word_hashes(text)
             digest = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype=np.int64)
             prints, places = fingerprints(h)
             for name, value in zip(out, (len(h), int(digest[0]), int(digest[1]), prints.view(np.int64), places.astype(np.int32))):
@@ -233,24 +263,26 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     both = pairs.join(texts, "doc_id").join(texts.toDF("src", "src_text"), "src")
 
     def extend(cols):
-        words, sets, out = WordHashes(), OrderedDict(), {"doc_id": [], "s": [], "e": []}
+        sets, out = OrderedDict(), {"doc_id": [], "s": [], "e": []}
         for src, doc, shifts, src_text, text in zip(*(cols[k] for k in ("src", "doc_id", "shifts", "src_text", "text"))):
             if src not in sets:
-                sets[src] = word_hashes(src_text, words)
+                sets[src] = word_hashes(src_text)
                 if len(sets) > 32:
                     sets.popitem(last=False)
-            own = word_hashes(text, words)
-            for s, e in merge([r for shift in shifts for r in runs_of(sets[src], own, shift, src == doc)]):
+            own = word_hashes(text)
+            for s, e in {r for shift in shifts for r in runs_of(sets[src], own, shift, src == doc)}:
                 out["doc_id"].append(doc)
                 out["s"].append(s)
                 out["e"].append(e)
         return out
 
     found = durable(map_batches(both.select("src", "doc_id", "shifts", "src_text", "text"), extend, "doc_id long, s int, e int", rows=1024))
-    spans = found.unionAll(_uncovered(matched, found, docs)).unionAll(copied.distinct()).groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("all"))
+    spans = found.unionAll(_uncovered(matched, found, docs)).unionAll(copied.distinct())
+    packed = (F.col("s").cast("long") * (1 << 32) + F.col("e")).alias("span")
+    spans = spans.select("doc_id", packed).groupBy("doc_id").agg(F.collect_set("span").alias("all"))
 
     def join_up(cols):
-        merged = [merge([(x["s"], x["e"]) for x in spans]) for spans in cols["all"]]
+        merged = [merge_packed(np.array(spans, dtype=np.int64)) for spans in cols["all"]]
         return {"doc_id": cols["doc_id"], "spans": [",".join(f"{s}:{e}" for s, e in m) for m in merged], "n_removed": [sum(e - s for s, e in m) for m in merged]}
 
     return map_batches(spans, join_up, "doc_id long, spans string, n_removed long")
