@@ -103,3 +103,16 @@ def test_ids_with_two_texts(spark):
     assert len(got) == 3 and {r["text"] for r in got if r["doc_id"] == 1} == {passage} and "short" in {r["text"] for r in got}
     assert line_dedup.delete_words("a b", [(1, 9)]) == "a b"
     assert line_dedup.delete_words("a  b\nc d", [(1, 2)]) == "a\nc d"
+
+
+def test_word_hashes(monkeypatch):
+    rng = random.Random(11)
+    text = " \t".join(rng.choice(["a", "b", "ab", "ba", "é", "漢字", "aé"]) + str(rng.randrange(3)) for _ in range(500)) + "\n"
+    whole = line_dedup.word_hashes(text)
+    words = text.split()
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words))
+    assert len({(w, int(h)) for w, h in zip(words, whole)}) == len(set(words))
+    monkeypatch.setattr(line_dedup, "CHUNK", 64)
+    assert (line_dedup.word_hashes(text) == whole).all()
+    assert len(line_dedup.word_hashes(None)) == len(line_dedup.word_hashes(" \n ")) == 0
+    assert line_dedup.merge_packed(np.array([(5 << 32) + 9, (0 << 32) + 3, (3 << 32) + 4, (6 << 32) + 7])) == [(0, 4), (5, 9)]
