@@ -19,7 +19,7 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 
 
 #: Most bytes of one Arrow batch to a Python worker, which holds it several times over.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def _bytes(setting: str) -> int:
