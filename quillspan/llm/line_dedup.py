@@ -7,10 +7,11 @@ GRAM + WINDOW - 1 = 50 words has at least one, at the same place in each of its
 earliest position of a fingerprint - by doc_id, then by place - is joined to all its later
 positions; each match is extended both ways word by word, and where at least 50 words agree the
 run is deleted from the later place. The earliest place of a word always stays, because every
-deleted word was matched with an equal word at an earlier place. A fingerprint may occur first in
-shorter company than later (its first place shares fewer than 50 words with the others); later
-places that no run has covered are therefore grouped once more by the whole 50-word windows around the
-fingerprint, and every window that an earlier place has is deleted.
+deleted word was matched with an equal word at an earlier place. Later places may share more with
+each other than with the first place of their fingerprint, whether that shares 50 words or fewer.
+Then they differ from it at the same word and go on alike; agreements that end so are grouped once
+more by the whole 50-word windows across their ends, and every window that an earlier place has is
+deleted.
 
 Whole copies collapse first: a copy of 50 words or more loses all its text, shorter documents are
 left alone. A run that repeats within one document at a distance below 50 words keeps its first
@@ -36,6 +37,10 @@ from .near_dedup import _mix
 GRAM = 25
 WINDOW = 26
 RUN = GRAM + WINDOW - 1
+#: Numbers of words beyond an agreement by which other places may share its continuation.
+BEYOND = (1, 2, 4, 8, 16)
+#: By the last of ``BEYOND`` that is shared: words that a window with a gram in the agreement may hold beyond it.
+_MOST = [*(k - 1 for k in BEYOND[1:]), RUN - GRAM]
 
 _U = np.uint64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -139,22 +144,30 @@ def fingerprints(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[kept], at[kept]
 
 
-def runs_of(source: np.ndarray, target: np.ndarray, shift: int, same: bool) -> list[tuple[int, int]]:
-    """Word ranges of ``target`` that agree with ``source`` moved by ``shift``, at least RUN long."""
+def agreements(source: np.ndarray, target: np.ndarray, shift: int) -> list[tuple[int, int]]:
+    """Word ranges of ``target`` that agree with ``source`` moved by ``shift``, as far as they reach, at least GRAM long."""
     low = max(0, -shift)
     n = min(len(source), len(target) - shift) - low
-    if n < RUN:
+    if n < GRAM:
         return []
     equal = np.zeros(n + 2, dtype=np.int8)
     equal[1:-1] = source[low : low + n] == target[low + shift : low + shift + n]
     edge = np.flatnonzero(np.diff(equal))
-    found = []
-    for start, end in zip(edge[::2], edge[1::2]):
-        if end - start >= RUN:
-            first = start + low + (max(shift, RUN) if same else shift)
-            if first < end + low + shift:
-                found.append((int(first), int(end + low + shift)))
-    return found
+    long = edge[1::2] - edge[::2] >= GRAM
+    return [(int(s) + low + shift, int(e) + low + shift) for s, e in zip(edge[::2][long], edge[1::2][long])]
+
+
+def ends_of(words: np.ndarray, s: int, e: int, src: int, shift: int) -> tuple[list[int], list[int]]:
+    """Hashes of the ``BEYOND`` words before and after an agreement, with the place in ``src`` where it ends on that side."""
+    import xxhash
+
+    def key(side: int, at: int, beyond: np.ndarray) -> int:
+        value = xxhash.xxh3_64_intdigest(np.array([side, src, at], dtype=np.int64).tobytes() + beyond.tobytes())
+        return value - (1 << 64) if value >> 63 else value
+
+    left = [key(0, s - shift, words[s - k : s]) for k in BEYOND if k <= s]
+    right = [key(1, e - shift, words[e : e + k]) for k in BEYOND if e + k <= len(words)]
+    return left, right
 
 
 def merge_packed(spans: np.ndarray) -> list[tuple[int, int]]:
@@ -189,13 +202,17 @@ def delete_words(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def _windows(texts: DataFrame) -> DataFrame:
-    """(w1, w2, doc_id, start): 128-bit hashes of the 50-word windows that hold a gram at one of ``places``."""
+    """(w1, w2, doc_id, start): 128-bit hashes of the 50-word windows across the ``ends`` of agreements."""
 
     def run(cols):
         out = {"w1": [], "w2": [], "doc_id": [], "start": []}
-        for doc, text, places, runs in zip(cols["doc_id"], cols["text"], cols["places"], cols["runs"]):
+        for doc, text, ends, runs in zip(cols["doc_id"], cols["text"], cols["ends"], cols["runs"]):
             h = word_hashes(text)
-            starts = np.unique(np.concatenate([np.arange(p + GRAM - RUN, p + 1) for p in places]))
+            crossing = []
+            for r in ends:
+                starts = np.arange(r["low"] - (0 if r["left"] is None else _MOST[r["left"]]), r["high"] + (0 if r["right"] is None else _MOST[r["right"]]) - RUN + 1)
+                crossing.append(starts[(starts < r["low"]) | (starts + RUN > r["high"])])
+            starts = np.unique(np.concatenate(crossing))
             starts = starts[(starts >= 0) & (starts + RUN <= len(h))]
             for r in runs or ():
                 # Within one run every window has an earlier place, and that place is here too.
@@ -206,18 +223,24 @@ def _windows(texts: DataFrame) -> DataFrame:
             out["start"] += starts.tolist()
         return out
 
-    return map_batches(texts.select("doc_id", "text", "places", "runs"), run, "w1 long, w2 long, doc_id long, start int", rows=512)
+    return map_batches(texts.select("doc_id", "text", "ends", "runs"), run, "w1 long, w2 long, doc_id long, start int", rows=512)
+
 
+def _across(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, s, e) of repeated windows that hold a fingerprint and go beyond its agreement with the first place.
 
-def _uncovered(matched: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc_id, s, e) of repeated windows around fingerprints that no run of ``found`` covers."""
-    covered = found.groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("runs"))
-    inside = F.exists("runs", lambda r: (r["s"] <= F.col("place")) & (r["e"] >= F.col("place") + GRAM))
-    rest = matched.join(covered, "doc_id", "left").where(~F.coalesce(inside, F.lit(False))).select("print").distinct()
-    again = matched.join(small_side(rest), "print", "left_semi")
-    places = again.select("doc_id", "place").unionAll(again.select("src", "src_place")).groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    places = small_side(places.join(covered, "doc_id", "left"))
-    windows = durable(_windows(docs.join(places, "doc_id").dropDuplicates(["doc_id"])))
+    Two places with such a window differ from the first place at the same word of it, and share the words
+    of the window beyond. So only ends of agreements that have this in common are looked at.
+    """
+    keys = [found.select("doc_id", "low", "high", F.lit(side).alias("side"), F.posexplode(side).alias("shared", "key")) for side in ("left", "right")]
+    keys = keys[0].unionAll(keys[1])
+    common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    kept = keys.join(small_side(common), "key", "left_semi")
+    sides = [F.max(F.when(F.col("side") == side, F.col("shared"))).alias(side) for side in ("left", "right")]
+    ends = kept.groupBy("doc_id", "low", "high").agg(*sides).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "left", "right")).alias("ends"))
+    covered = found.where("s < e").groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
+    ends = small_side(ends.join(covered, "doc_id", "left"))
+    windows = durable(_windows(docs.join(ends, "doc_id").dropDuplicates(["doc_id"])))
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(first.select("w1", "w2", F.col("f.doc_id").alias("f_doc"), F.col("f.start").alias("f_start")), ["w1", "w2"])
     later = later.where((F.col("doc_id") != F.col("f_doc")) | (F.col("start") - F.col("f_start") >= RUN))
@@ -263,21 +286,26 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     both = pairs.join(texts, "doc_id").join(texts.toDF("src", "src_text"), "src")
 
     def extend(cols):
-        sets, out = OrderedDict(), {"doc_id": [], "s": [], "e": []}
+        names = ("doc_id", "s", "e", "low", "high", "left", "right")
+        sets, out = OrderedDict(), {name: [] for name in names}
         for src, doc, shifts, src_text, text in zip(*(cols[k] for k in ("src", "doc_id", "shifts", "src_text", "text"))):
             if src not in sets:
                 sets[src] = word_hashes(src_text)
                 if len(sets) > 32:
                     sets.popitem(last=False)
             own = word_hashes(text)
-            for s, e in {r for shift in shifts for r in runs_of(sets[src], own, shift, src == doc)}:
-                out["doc_id"].append(doc)
-                out["s"].append(s)
-                out["e"].append(e)
+            for shift in shifts:
+                for low, high in agreements(sets[src], own, shift):
+                    # Below RUN words, or where nothing is left of it, s is not below e.
+                    s = max(low, low - shift + RUN) if src == doc else low
+                    e = high if high - low >= RUN else s
+                    for name, value in zip(names, (doc, s, e, low, high, *ends_of(own, low, high, src, shift))):
+                        out[name].append(value)
         return out
 
-    found = durable(map_batches(both.select("src", "doc_id", "shifts", "src_text", "text"), extend, "doc_id long, s int, e int", rows=1024))
-    spans = found.unionAll(_uncovered(matched, found, docs)).unionAll(copied.distinct())
+    schema = "doc_id long, s int, e int, low int, high int, left array<long>, right array<long>"
+    found = durable(map_batches(both.select("src", "doc_id", "shifts", "src_text", "text"), extend, schema, rows=1024))
+    spans = found.where("s < e").select("doc_id", "s", "e").unionAll(_across(found, docs)).unionAll(copied.distinct())
     packed = (F.col("s").cast("long") * (1 << 32) + F.col("e")).alias("span")
     spans = spans.select("doc_id", packed).groupBy("doc_id").agg(F.collect_set("span").alias("all"))
 

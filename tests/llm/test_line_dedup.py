@@ -66,6 +66,21 @@ def test_first_place_in_shorter_company(spark):
         assert got[i]["text"].split() == words_left(text, want[i]), i
 
 
+def test_later_places_share_more(spark):
+    """Passages that the first document ends or begins early: the later ones share 1 to 25 words more."""
+    rng = random.Random(12)
+    rows, at = [], 0
+    for k in range(50):
+        passage, more = prose(rng, rng.randrange(50, 75)), prose(rng, k // 2 + 1)
+        longer = f"{passage} {more}" if k % 2 else f"{more} {passage}"
+        for inner in (passage, longer, longer):
+            rows.append((at, f"{prose(rng, 30)} {inner} {prose(rng, 30)}"))
+            at += 1
+    want, got = brute.repeated_words(rows), run(spark, rows)
+    for i, text in rows:
+        assert got[i]["text"].split() == words_left(text, want[i]), i
+
+
 def test_monotonous_text(spark):
     rows = [(1, "la " * 4000), (2, ("one two three four five six seven. " * 300)), (3, "la " * 49)]
     got = run(spark, rows)
