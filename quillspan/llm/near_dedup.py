@@ -318,8 +318,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = durable(bands.join(heads, "key"))
     pairs = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     pairs = durable(pairs)
-    links = durable(_confirmed(durable(_estimated(pairs, reps)), docs))
-    first, tried, sets = FIRST, pairs, None
+    likely = durable(_estimated(pairs, reps))
+    links = durable(_confirmed(likely, docs))
+    # Pairs that the estimate threw away were not compared on full sets.
+    first, tried, sets = FIRST, likely, None
     comp = durable(components(links))
     while True:
         labelled = shared.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))

@@ -52,6 +52,11 @@ def test_blocks_smaller_than_a_bucket(spark, monkeypatch):
     test_families_of_near_copies(spark, 0.035)
 
 
+def test_pairs_that_the_estimate_threw_away(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_estimated", lambda pairs, reps: pairs.limit(0))
+    test_families_of_near_copies(spark, 0.035)
+
+
 def test_estimates_and_intersections():
     rng = np.random.default_rng(1)
     for n, common in ((400, 300), (2000, 1200), (60, 50)):
