@@ -31,8 +31,6 @@ from .common import durable, global_rank, map_batches
 
 CAPACITY = 1024
 END = 2
-#: Exchanges that the local search may apply (each to all copies of two patterns).
-STEPS = 4000
 
 Pattern = tuple[int, ...]
 
@@ -133,13 +131,16 @@ def _exchange(donor: Pattern, receiver: Pattern, capacity: int) -> tuple[int, tu
     return best
 
 
-def local_search(bins: Counter[Pattern], capacity: int, steps: int = STEPS) -> Counter[Pattern]:
-    """Swap-based local search over the underfull patterns until no exchange helps, the bins are as few as can be, or ``steps`` are used."""
+def local_search(bins: Counter[Pattern], capacity: int) -> Counter[Pattern]:
+    """Swap-based local search over the underfull patterns until no exchange helps or the bins are as few as can be.
+
+    It ends: every exchange raises the sum of squared fills.
+    """
     least = -(-sum(sum(p) * n for p, n in bins.items()) // capacity)
     done = Counter({p: n for p, n in bins.items() if sum(p) == capacity})
     underfull = Counter({p: n for p, n in bins.items() if sum(p) < capacity})
     known: dict[tuple[Pattern, Pattern], tuple[int, tuple, tuple] | None] = {}
-    while steps > 0 and done.total() + underfull.total() > least:
+    while done.total() + underfull.total() > least:
         move = None
         by_fill = sorted(underfull, key=lambda p: (sum(p), p))
         for donor in by_fill:
@@ -165,7 +166,6 @@ def local_search(bins: Counter[Pattern], capacity: int, steps: int = STEPS) -> C
             if new:
                 (done if sum(new) == capacity else underfull)[new] += times
         underfull = +underfull
-        steps -= 1
     return done + underfull
 
 

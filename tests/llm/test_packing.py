@@ -33,6 +33,14 @@ def test_local_search_empties_bins():
     assert found.total() == 3 and sum(sum(p) * n for p, n in found.items()) == 30
 
 
+def test_local_search_goes_on_while_exchanges_help():
+    # Each of 4,100 different bins lacks one of 4,100 single pieces: as many exchanges.
+    n, capacity = 4100, 20_000
+    start = Counter({(capacity - 1 - k, k): 1 for k in range(2, n + 2)})
+    start[1,] = n
+    assert packing.local_search(start, capacity).total() == n
+
+
 def test_tokenizer_equals_the_library():
     own, library, rng = packing.Tokenizer(*FILES), Tokenizer.from_file(FILES[0]), random.Random(8)
     letters = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xA1, 0x250))]
