@@ -10,13 +10,16 @@ are then sorted by (length, id), and the rank of a row tells its bin and offset
 search in a table of a few thousand entries. One shuffle of small rows; no group is ever in one
 task, and hot lengths spread over tasks.
 
-Null texts count as empty (one piece with the end id alone). Repeated rows are packed as rows of
-their own. An empty table gives no rows. Only documents beyond the capacity are cut.
+Null texts count as empty (one piece with the end id alone). Texts of any length are encoded whole and
+only documents beyond the capacity are cut. Repeated rows are packed as rows of their own; rows that tie
+in length, id, piece and checksum are interchangeable. An empty table gives no rows. Columns other than
+doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter, defaultdict
 from functools import cached_property, lru_cache
@@ -31,6 +34,7 @@ from .common import durable, global_rank, map_batches
 
 CAPACITY = 1024
 END = 2
+_BLANKS = re.compile(r"\s+")
 
 Pattern = tuple[int, ...]
 
@@ -225,10 +229,14 @@ def pack(pieces: DataFrame, order: list[str], capacity: int = CAPACITY) -> DataF
 class Tokenizer:
     """Ids of the ``tokenizers`` library, through ``tiktoken`` where both give the same.
 
-    The rank file holds the same vocabulary. Texts that hold the special token's string, or a
-    character beyond printable Latin, go through ``tokenizers`` itself.
+    The rank file holds the same vocabulary. Texts that hold the special token's string, a character
+    beyond printable Latin, or a run of white space on which ``tiktoken``'s matcher would exhaust its
+    stack, go through ``tokenizers`` itself.
     """
 
+    #: White space in a row that is left to ``tokenizers``; the other library fails near a million.
+    RUN = 10_000
+
     def __init__(self, json_path: str, rank_path: str, pattern: str):
         import regex
         import tiktoken
@@ -250,7 +258,7 @@ class Tokenizer:
         return tokenizers.Tokenizer.from_file(self.json_path)
 
     def encode(self, text: str) -> list[int]:
-        if self.plain(text) and not any(s in text for s in self.special):
+        if self.plain(text) and not any(s in text for s in self.special) and (len(text) < self.RUN or max(map(len, _BLANKS.findall(text)), default=0) < self.RUN):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
@@ -267,12 +275,12 @@ def cut(ids: np.ndarray, capacity: int) -> list[np.ndarray]:
 
 
 def token_pieces(docs: DataFrame, json_path: str, rank_path: str, pattern: str, capacity: int = CAPACITY, end: int = END, keep_ids: bool = False) -> DataFrame:
-    """doc_id, piece, ids_before, length, ids_crc32 and, with ``keep_ids``, ids for every piece of every document."""
-    schema = "doc_id long, piece int, ids_before long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
+    """doc_id, piece, start, length, ids_crc32 and, with ``keep_ids``, ids for every piece of every document."""
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
 
     def run(cols):
         own = tokenizer(json_path, rank_path, pattern)
-        out = {k: [] for k in ("doc_id", "piece", "ids_before", "length", "ids_crc32", "ids")}
+        out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
         for doc, text in zip(cols["doc_id"], cols["text"]):
             before = 0
             for k, part in enumerate(cut(np.array([*own.encode(text or ""), end], dtype="<u4"), capacity)):

@@ -61,7 +61,7 @@ def check(rows, docs):
         for k, p in enumerate(parts):
             want[i, k, before, len(p), zlib.crc32(p.tobytes())] += 1
             before += len(p)
-    assert Counter((r["doc_id"], r["piece"], r["ids_before"], r["length"], r["ids_crc32"]) for r in rows) == want
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
     fill = defaultdict(list)
     for r in rows:
         fill[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -79,6 +79,11 @@ def test_documents(edge_docs, no_docs, edge_rows):
     assert packing.pack_documents(no_docs, *FILES).collect() == []
 
 
+def test_very_long_texts(spark):
+    rows = [(1, " " * 1_200_000), (2, "\n" * 1_200_000 + "x"), (3, "a" * 1_200_000), (4, "ab " * 400_000), (5, "x" + "\t " * 600_000)]
+    check(packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), *FILES).collect(), rows)
+
+
 def test_hot_length(spark):
     rows = [(i, "one two three") for i in range(500)] + [(i, "word " * (i % 300)) for i in range(500, 900)]
     packed = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string"), *FILES).collect()
