@@ -4,17 +4,21 @@ Base spans come from three patterns (assignments, access keys, hex runs). Beside
 token whose characters fit an encoding is tested against the hypothesis that it was drawn
 uniformly from that encoding's alphabet: chi-squared uniformity (over all characters, and over
 classes of them so that short tokens have power), a runs test and a lag-1 serial correlation.
-The smallest p-value, Bonferroni-corrected, is the token's p. Random tokens have uniform p,
-written language has p near 0.
+The smallest p-value is the statistic. Its law under the hypothesis is simulated for every encoding
+and length (a fixed seed, ``DRAWS`` tokens of that inferred encoding; from ``FAR`` characters on the law
+of that length), and the rank of a token in it is its p. So random tokens have uniform p, and written
+language has p near 0.
 
 False-discovery control is by (encoding, length class), over the distinct tokens of all
-documents: the p-values above one half estimate how many tokens of a class are random, and with
-them how many of those above any threshold are not. A class starts at the threshold ``ACCEPT``
-and gets a higher one as long as the estimated share of false finds exceeds ``FDR`` by more than
-two standard errors. Only that table of counts (encodings x length classes x bins) reaches the driver.
-
-Null texts count as empty and have no spans; repeated rows are scanned each; texts are scanned
-whole, whatever their length. An empty table gives no rows.
+documents: the number of p-values above ``SURE``, over 1 - ``SURE``, estimates how many tokens of a class
+are random, and with it how many of those above any threshold are not. A class gets the smallest threshold
+from ``ACCEPT`` on at which the estimated share of false finds is at most ``FDR``. Classes of fewer than
+``LEAST`` tokens are judged together. Only the table of counts (encodings x length classes x bins)
+reaches the driver.
+
+Null texts count as empty and have no spans; repeated rows are scanned each and equal tokens count once
+in the control; texts are scanned whole, whatever their length. Columns other than doc_id and text are
+not read by the scan and pass through redaction. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,13 +26,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches
+from .common import durable, map_batches, scratch
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -39,7 +46,15 @@ TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])
 MIN_BITS = 80.0
 ACCEPT = 0.01
 FDR = 0.1
-BINS = 50
+#: Cells of the histogram of p; ``ACCEPT`` is the edge of the first.
+BINS = 100
+#: Distinct tokens below which a class is judged together with the other small ones.
+LEAST = 40
+#: p-values above this are taken for those of random tokens.
+SURE = 0.25
+#: Simulated tokens of a null law, and the length from which on laws no longer change.
+DRAWS = 2000
+FAR = 512
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Encodings from the narrowest to the widest alphabet; a token gets the first that holds all its characters.
@@ -65,9 +80,10 @@ def _character_class(ch: str) -> int:
     return 5
 
 
-_CELLS = {name: Counter(map(_character_class, alphabet)) for name, alphabet in ENCODINGS.items()}
 _INDEX = {name: {ch: i for i, ch in enumerate(alphabet)} for name, alphabet in ENCODINGS.items()}
 _SETS = {name: frozenset(alphabet) for name, alphabet in ENCODINGS.items()}
+#: Rows of the alphabet by class of character.
+_CELLS = {name: np.array([[_character_class(ch) == k for ch in alphabet] for k in sorted(set(map(_character_class, alphabet)))], dtype=float) for name, alphabet in ENCODINGS.items()}
 
 
 def infer_encoding(token: str) -> str | None:
@@ -78,41 +94,64 @@ def infer_encoding(token: str) -> str | None:
     return next((name for name, chars in _SETS.items() if used <= chars), None)
 
 
-def _chi2_tail(x: float, df: float) -> float:
-    """Upper tail of chi-squared by the Wilson-Hilferty approximation."""
-    if x <= 0:
-        return 1.0
-    z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-    return 0.5 * math.erfc(z / math.sqrt(2))
+_erfc = np.vectorize(math.erfc, otypes=[float])
 
 
-def _two_sided(z: float) -> float:
-    return math.erfc(abs(z) / math.sqrt(2))
+def _chi2_tail(x: np.ndarray, df: float) -> np.ndarray:
+    """Upper tail of chi-squared by the Wilson-Hilferty approximation."""
+    z = (np.cbrt(np.maximum(x, 0) / df) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    return 0.5 * _erfc(z / math.sqrt(2))
+
+
+def battery(x: np.ndarray, encoding: str) -> np.ndarray:
+    """Smallest p of the four tests for each row of alphabet positions; comparable between tokens of one length."""
+    k, n = x.shape
+    m, cells = len(ENCODINGS[encoding]), _CELLS[encoding]
+    counts = np.bincount((np.arange(k)[:, None] * m + x).ravel(), minlength=k * m).reshape(k, m)
+    uniform = _chi2_tail(m / n * (counts**2).sum(axis=1) - n, m - 1)
+    expected = n * cells.sum(axis=1) / m
+    classes = _chi2_tail((((counts @ cells.T) - expected) ** 2 / expected).sum(axis=1), len(cells) - 1)
+    high = x >= m / 2
+    a = high.sum(axis=1)
+    b = n - a
+    runs = 1 + (high[:, 1:] != high[:, :-1]).sum(axis=1)
+    mean = 1 + 2 * a * b / n
+    var = (mean - 1) * (mean - 2) / (n - 1)
+    z = np.where(var > 0, (runs - mean) / np.sqrt(np.where(var > 0, var, 1)), 0)
+    run_test = np.where((a > 0) & (b > 0), _erfc(np.abs(z) / math.sqrt(2)), 2.0 ** (1 - min(n, 1000)))
+    d = x - x.mean(axis=1, keepdims=True)
+    total = (d * d).sum(axis=1)
+    lag = (d[:, 1:] * d[:, :-1]).sum(axis=1)
+    serial = np.where(total > 0, _erfc(np.abs(lag / np.where(total > 0, total, 1) + 1 / n) * math.sqrt(n / 2)), 0)
+    return np.minimum(np.minimum(uniform, classes), np.minimum(run_test, serial))
+
+
+@lru_cache(maxsize=4096)
+def null_law(encoding: str, length: int) -> np.ndarray:
+    """Sorted statistics of ``DRAWS`` random tokens whose inferred encoding is this one."""
+    alphabet, names = ENCODINGS[encoding], list(ENCODINGS)
+    rng = np.random.default_rng([names.index(encoding), length])
+    digit = np.array([ch in _DIGIT for ch in alphabet])
+    narrower = [np.array([ch in _SETS[name] for ch in alphabet]) for name in names[: names.index(encoding)]]
+    got, n = [], 0
+    while n < DRAWS:
+        x = rng.integers(0, len(alphabet), (DRAWS, length))
+        fits = digit[x].any(axis=1) & (np.array([ch.isalpha() for ch in alphabet])[x]).any(axis=1)
+        for inside in narrower:
+            fits &= ~inside[x].all(axis=1)
+        got.append(battery(x[fits], encoding))
+        n += int(fits.sum())
+    return np.sort(np.concatenate(got)[:DRAWS])
 
 
 def randomness_p(token: str, encoding: str) -> float:
-    """Corrected p-value of the battery under uniform draws from the encoding's alphabet."""
-    index, cells = _INDEX[encoding], _CELLS[encoding]
-    n, m = len(token), len(index)
-    x = [index[ch] for ch in token]
-    full = m / n * sum(c * c for c in Counter(x).values()) - n
-    p = [_chi2_tail(full, m - 1)]
-    got = Counter(map(_character_class, token))
-    p.append(_chi2_tail(sum((got[k] - n * c / m) ** 2 / (n * c / m) for k, c in cells.items()), len(cells) - 1))
-    high = [v >= m / 2 for v in x]
-    a, b = sum(high), n - sum(high)
-    runs = 1 + sum(u != v for u, v in zip(high, high[1:]))
-    if a and b:
-        mean = 1 + 2 * a * b / n
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        p.append(_two_sided((runs - mean) / math.sqrt(var)) if var > 0 else 1.0)
-    else:
-        p.append(2.0 ** (1 - n))
-    mean = sum(x) / n
-    total = sum((v - mean) ** 2 for v in x)
-    lag = sum((u - mean) * (v - mean) for u, v in zip(x, x[1:]))
-    p.append(_two_sided((lag / total + 1 / n) * math.sqrt(n)) if total else 0.0)
-    return min(1.0, len(p) * min(p))
+    """p of the battery under uniform draws from the encoding's alphabet: uniform for random tokens."""
+    index = _INDEX[encoding]
+    law = null_law(encoding, min(len(token), FAR))
+    value = battery(np.array([[index[ch] for ch in token]]), encoding)[0]
+    low, high = np.searchsorted(law, value, side="left"), np.searchsorted(law, value, side="right")
+    # Statistics of short tokens tie; the checksum of the token places it within its tie.
+    return float(low + (zlib.crc32(token.encode()) / (1 << 32)) * (high - low + 1)) / (len(law) + 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -167,23 +206,27 @@ def thresholds(scanned: DataFrame) -> dict[str, float]:
     """Smallest accepted p by class, from the counts of distinct tokens over all documents."""
     one = scanned.where(F.size("hashes") > 0).select(F.explode(F.arrays_zip("classes", "p", "hashes")).alias("c"))
     binned = one.select(F.col("c.classes").alias("cls"), F.least(F.floor(F.col("c.p") * BINS), F.lit(BINS - 1)).cast("int").alias("bin"), F.col("c.hashes").alias("h"))
-    fine = one.select(F.col("c.classes").alias("cls"), (F.col("c.p") >= ACCEPT).alias("ok"), F.col("c.hashes").alias("h"))
     counts: dict[str, Counter] = defaultdict(Counter)
     for r in binned.distinct().groupBy("cls", "bin").agg(F.count("*").alias("n")).collect():
         counts[r["cls"]][r["bin"]] = r["n"]
-    accepted = {r["cls"]: r["n"] for r in fine.where("ok").distinct().groupBy("cls").agg(F.count("*").alias("n")).collect()}
-    return {cls: class_threshold(bins, accepted.get(cls, 0)) for cls, bins in counts.items()}
+    return class_thresholds(counts)
+
+
+def class_thresholds(counts: dict[str, Counter]) -> dict[str, float]:
+    """Thresholds of all classes from their histograms of p; small classes share one."""
+    small = [cls for cls, bins in counts.items() if sum(n for b, n in bins.items() if b) < LEAST]
+    together = class_threshold(sum((counts[cls] for cls in small), Counter()))
+    return {cls: together if cls in small else class_threshold(bins) for cls, bins in counts.items()}
 
 
-def class_threshold(bins: Counter, accepted: int) -> float:
-    """Threshold of one class from its histogram of p and the number of tokens at or above ``ACCEPT``."""
-    half = sum(n for b, n in bins.items() if b >= BINS // 2)
-    random = 2 * half
-    for low, found in [(ACCEPT, accepted), *((b / BINS, sum(n for k, n in bins.items() if k >= b)) for b in range(1, BINS // 2))]:
-        false = found - random * (1 - low)
-        if found and false - 2 * math.sqrt(2 * random + found) <= FDR * found:
-            return low
-    return 0.5
+def class_threshold(bins: Counter) -> float:
+    """The smallest edge of the histogram above which the estimated share of false finds is within ``FDR``."""
+    random = sum(n for b, n in bins.items() if b >= SURE * BINS) / (1 - SURE)
+    for edge in range(round(ACCEPT * BINS), round(SURE * BINS)):
+        found = sum(n for b, n in bins.items() if b >= edge)
+        if found - random * (1 - edge / BINS) <= FDR * found:
+            return edge / BINS
+    return SURE
 
 
 def accept(base: str, starts: list[int], ends: list[int], classes: list[str], p: list[float], at: dict[str, float]) -> list[tuple[int, int, int]]:
@@ -224,7 +267,8 @@ def redact_text(text: str, at: dict[str, float]) -> str:
 
 def redact(docs: DataFrame, column: str = "text") -> DataFrame:
     """``docs`` with its secrets masked; null texts stay null. Thresholds come from all rows."""
-    at = thresholds(scan(docs.select("doc_id", F.col(column).alias("text"))))
+    with scratch(docs.sparkSession, collect=False):
+        at = thresholds(scan(docs.select("doc_id", F.col(column).alias("text"))))
 
     @F.pandas_udf("string")
     def mask(texts: pd.Series) -> pd.Series:
