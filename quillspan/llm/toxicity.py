@@ -10,8 +10,10 @@ here, on at most ``TRAIN_ROWS`` labelled rows (those of smallest hash); every do
 whole text.
 
 Null texts count as empty; empty texts get the score of a text without any sign. Labels that are
-null are not used; without labels of both kinds all scores are the base rate (0 without any).
-Repeated rows are scored each. An empty table gives no rows.
+null are not used; an id with both labels counts as toxic, and one that comes with several texts is learned
+from one of them (the smallest). Without labels of both kinds all scores are the base rate (0 without any).
+Repeated rows are scored each and alike; columns named score or predicted are replaced, others pass. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, give_back, map_batches
+from .common import durable, give_back, map_batches, scratch
 
 #: Labelled rows that a model is fitted on at most.
 TRAIN_ROWS = 20_000
 FOLDS = 4
-#: Least likelihood ratio of a lexicon entry and most entries kept (the strongest).
+#: Least likelihood ratio of a lexicon entry.
 EVIDENCE = 10.0
-ENTRIES = 5_000
 PREFIXES = (4, 5, 6)
 THRESHOLD = 0.7
 
@@ -163,8 +164,7 @@ def lexicon_from(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
             odds = math.log((t + 0.5) / (toxic + 1)) - math.log((c + 0.5) / (clean + 1))
             if odds > 0.7:
                 found[key] = (ratio, odds)
-    best = sorted(found, key=lambda k: (-found[k][0], k))[:ENTRIES]
-    return {k: (round(found[k][1], 4), round(min(found[k][0], 60.0), 3)) for k in best}
+    return {k: (round(odds, 4), round(min(ratio, 60.0), 3)) for k, (ratio, odds) in sorted(found.items())}
 
 
 class Trees:
@@ -259,8 +259,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS)
     usable = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out())
     usable = usable.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = durable(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "toxic", _fold().alias("fold")))
-    # At most ``rows`` rows of 16 bytes: small enough to broadcast whatever the input.
-    return durable(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic", "fold"))
+    # At most ``rows`` rows of 16 bytes: small enough to broadcast whatever the input. One text stands for an id.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return durable(texts.groupBy("doc_id", "toxic", "fold").agg(F.min("text").alias("text")).select("text", "toxic", "fold"))
 
 
 def _key_counts(sample: DataFrame) -> DataFrame:
@@ -301,8 +302,25 @@ def _key_counts(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "key string, fold int, toxic int, n long").groupBy("key", "fold", "toxic").agg(F.sum("n").alias("n"))
 
 
+def _evidence(t: Column, c: Column, toxic: int, clean: int) -> Column:
+    """Likelihood ratio of a key in t toxic and c clean rows, as ``lexicon_from`` has it; -1 where toxic rows are too few."""
+    if not toxic or not clean:
+        return F.lit(-1.0)
+    base, n = toxic / (toxic + clean), t + c
+    ratio = 2 * (t * F.log(t / n / F.lit(base)) + F.when(c > 0, c * F.log(c / n / F.lit(1 - base))).otherwise(0.0))
+    return F.when((t >= 3) & (t / n > F.lit(base)), ratio).otherwise(-1.0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """A model from the labels outside the held-out rows. What reaches the driver is bounded by ``rows``."""
+    """A model from the labels outside the held-out rows.
+
+    What reaches the driver is bounded by ``rows``: a row of features for each, and the keys with evidence.
+    """
+    with scratch(docs.sparkSession):
+        return _fit(docs, labels, rows)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, rows: int) -> Model:
     sample = training_sample(docs, labels, rows)
     size = {(r["fold"], r["toxic"]): r["n"] for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     toxic, clean = (sum(n for (_, y), n in size.items() if y == k) for k in (1, 0))
@@ -311,10 +329,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return Model({}, None, (np.zeros(1), np.zeros(1)), base)
     cells = [F.coalesce(F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == y), F.col("n"))), F.lit(0)).alias(f"c{f}_{y}") for f in range(FOLDS) for y in (0, 1)]
     wide = _key_counts(sample).groupBy("key").agg(*cells)
-    t = sum((F.col(f"c{f}_1") for f in range(FOLDS)), F.lit(0))
-    c = sum((F.col(f"c{f}_0") for f in range(FOLDS)), F.lit(0))
-    # Only keys that could pass in some choice of folds; the strongest share first.
-    keys = wide.where((t >= 3) & (t / (t + c) > base)).orderBy(F.desc(t * t / (t + c)), "key").limit(10 * ENTRIES).collect()
+    # Only keys that have the evidence in all folds or without one of them.
+    choices = [[f for f in range(FOLDS) if f != without] for without in (None, *range(FOLDS))]
+    evidence = [_evidence(*(sum((F.col(f"c{f}_{y}") for f in use), F.lit(0)) for y in (1, 0)), *(sum(size.get((f, y), 0) for f in use) for y in (1, 0))) for use in choices]
+    keys = wide.where(F.greatest(*evidence) >= EVIDENCE - 1e-6).collect()
 
     def lexicon(without: int | None) -> dict[str, float]:
         use = [f for f in range(FOLDS) if f != without]
