@@ -5,10 +5,12 @@ rank. Sentencepiece merges the adjacent pair of the best-scored result, leftmost
 the rule of rank-based byte-level BPE. Normalisation is the identity and no dummy prefix or white
 space handling is on, so only the mapping of bytes stands between text and pieces. Text is cut by
 the public pattern first and every match is encoded on its own; a match that is itself in the
-vocabulary is that token.
+vocabulary is that token. Decoding maps the characters of the model's pieces back to bytes.
 
 Null texts count as empty; an empty text has no ids and decodes to no bytes. Texts of any length
-are encoded whole. The cache of matches is bounded (``CACHE`` entries) and only saves time.
+are encoded whole. Every row is encoded on its own, so repeated rows and ties get equal results; an
+empty table gives no rows; further columns are not read. The cache of matches is bounded (``CACHE``
+entries) and only saves time: what has not been seen for a while goes, what comes again stays.
 """
 
 from __future__ import annotations
@@ -16,6 +18,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+import sys
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +28,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-CACHE = 400_000
+CACHE = 800_000
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 def byte_alphabet() -> list[str]:
@@ -83,41 +89,62 @@ class Codec:
         import regex
         import sentencepiece
 
-        self.tokens = vocabulary
         self.ids = {token: i for i, token in enumerate(vocabulary)}
         self.find = regex.compile(pattern).findall
         self.model = sentencepiece.SentencePieceProcessor()
         self.model.LoadFromSerializedProto(model_bytes(vocabulary))
-        self.letters = dict(enumerate(byte_alphabet()))
-        self.cache: dict[str, tuple[int, ...]] = {}
+        letters = byte_alphabet()
+        self.letters = dict(enumerate(letters))
+        back = {letter: b for b, letter in enumerate(letters)}
+        pieces = self.model.IdToPiece(list(range(len(vocabulary))))
+        self.bytes_of = [bytes([back[letter] for letter in piece]) for piece in pieces]
+        # Ids of a match as little-endian bytes; matches of late and of earlier batches.
+        self.late: dict[str, bytes] = {}
+        self.earlier: dict[str, bytes] = {}
 
     def _fill(self, words: set[str]) -> None:
-        """Encode the words that the cache lacks; a full cache starts anew."""
-        if len(self.cache) + len(words) > CACHE:
-            self.cache = {}
-        rest = []
+        """Make sure that ``late`` has these matches: from the earlier ones, or by one call of the model."""
+        if len(self.late) + len(words) > CACHE // 2:
+            self.late, self.earlier = {}, self.late
+        late, earlier, rest = self.late, self.earlier, []
         for word in words:
+            if word in late:
+                continue
+            known = earlier.get(word)
+            if known is not None:
+                late[word] = known
+                continue
             raw = word.encode("utf-8", "surrogatepass")
             whole = self.ids.get(raw)
             if whole is None:
                 rest.append((word, raw.decode("latin-1").translate(self.letters)))
             else:
-                self.cache[word] = (whole,)
+                late[word] = whole.to_bytes(4, "little")
         if rest:
             for (word, _), ids in zip(rest, self.model.EncodeAsIds([m for _, m in rest], num_threads=1)):
-                self.cache[word] = tuple(ids)
+                late[word] = array("I", ids).tobytes() if _LITTLE else np.array(ids, dtype="<u4").tobytes()
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [self.find(text) for text in texts]
+        at = 0
+        while at < len(cut):
+            # As many texts as have at most half a cache of matches between them, one at least.
+            words, to = set(cut[at]), at + 1
+            while to < len(cut) and len(words) + len(cut[to]) <= CACHE // 2:
+                words.update(cut[to])
+                to += 1
+            self._fill(words)
+            get = self.late.__getitem__
+            for k in range(at, to):
+                yield b"".join(map(get, cut[k]))
+            at = to
 
     def encode(self, text: str) -> list[int]:
-        words = self.find(text)
-        missing = {w for w in words if w not in self.cache}
-        if missing:
-            self._fill({*words} if len(self.cache) + len(missing) > CACHE else missing)
-        cache = self.cache
-        return [i for w in words for i in cache[w]]
+        return np.frombuffer(next(self.encode_all([text])), dtype="<u4").tolist()
 
-    def decode(self, ids) -> bytes:
-        tokens = self.tokens
-        return b"".join([tokens[i] for i in ids])
+    def decode(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 @lru_cache(maxsize=2)
@@ -133,11 +160,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, keep_ids: bool =
 
     def run(cols):
         own, out = codec(path, pattern), {"doc_id": cols["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": [], "decoded": []}
-        for text in cols["text"]:
-            ids = own.encode(text or "")
+        for raw in own.encode_all([text or "" for text in cols["text"]]):
+            ids = np.frombuffer(raw, dtype="<u4").tolist()
             back = own.decode(ids)
             out["n_tokens"].append(len(ids))
-            out["ids_sha256"].append(hashlib.sha256(np.array(ids, dtype="<u4").tobytes()).hexdigest())
+            out["ids_sha256"].append(hashlib.sha256(raw).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
             if keep_ids:
                 out["ids"].append(ids)

@@ -25,11 +25,26 @@ def test_codec_equals_the_library():
         assert codec.decode(ids) == text.encode()
 
 
-def test_full_cache_starts_anew(monkeypatch):
+def test_cache_smaller_than_a_text(monkeypatch):
     codec = bpe.Codec(bpe.read_ranks(PATH), P.PATTERN)
     monkeypatch.setattr(bpe, "CACHE", 5)
     for text in ("one two three four five six seven", "eight nine", "one two"):
         assert codec.encode(text) == plain(codec).encode_ordinary(text)
+    texts = ["one two", "", "two three four five", "one"] * 3
+    assert [list(np.frombuffer(b, dtype="<u4")) for b in codec.encode_all(texts)] == [plain(codec).encode_ordinary(t) for t in texts]
+    assert len(codec.late) + len(codec.earlier) <= 10
+
+
+def test_very_long_runs():
+    codec = bpe.codec(PATH, P.PATTERN)
+    for text in (" " * 1_200_000, "\n" * 1_200_000 + "x", "é" * 1_000_000):
+        assert codec.decode(codec.encode(text)) == text.encode()
+    assert codec.encode(" " * 1_200_000)[:9] == plain(codec).encode_ordinary(" " * 1000)[:9]
+
+
+def test_decoding_inverts_the_pieces():
+    codec = bpe.codec(PATH, P.PATTERN)
+    assert codec.bytes_of == bpe.read_ranks(PATH)
 
 
 def test_documents(edge_docs, no_docs, edge_rows):
