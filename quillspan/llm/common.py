@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import os
 import shutil
 import tempfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,9 @@ def prepare(spark: SparkSession) -> SparkSession:
 
     Batches of long texts are bounded by bytes (``BATCH_BYTES``), not only by rows.
 
-    ``spark.checkpoint.dir`` is honoured where it is set. Where it is unset, a local
-    master gets a temporary folder and any other master a folder in the (shared) warehouse.
+    ``spark.checkpoint.dir`` is honoured where it is set. Where it is unset, a local master gets a
+    temporary folder; any other master is refused, because its executors share no local folder. The
+    bound on batches stays set: results are planned when the caller reads them, not here.
     """
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH", "")
@@ -47,10 +50,12 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and sc.master.startswith("local") and "cluster" not in sc.master:
+        if not folder:
+            if not sc.master.startswith("local") or "cluster" in sc.master:
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="quillspan-ckpt-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+        sc.setCheckpointDir(folder)
     return spark
 
 
@@ -60,10 +65,69 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+#: Checkpoint files of the operators that are running, innermost last.
+_SCOPES: list[list[str]] = []
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder; partitions and their order are then fixed."""
     prepare(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cut = df.checkpoint(eager=True)
+    if _SCOPES:
+        _SCOPES[-1].append(_file_of(cut))
+    return cut
+
+
+def _file_of(cut: DataFrame) -> str:
+    """The checkpoint file of a DataFrame that ``durable`` made."""
+    return cut._jdf.queryExecution().analyzed().rdd().getCheckpointFile().get()
+
+
+def release(*cuts: DataFrame | None) -> None:
+    """Delete checkpoints that nothing reads any more."""
+    for cut in cuts:
+        if cut is not None:
+            path = _file_of(cut)
+            for scope in _SCOPES:
+                if path in scope:
+                    scope.remove(path)
+            remove_folder(cut.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession, collect: bool = True) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Scope of an operator: what it checkpoints inside is deleted at its end, but for what it passes to ``keep``.
+
+    A result that leaves the scope must read nothing but inputs and kept checkpoints. Shuffle files go when
+    the driver's JVM finds their plans unreachable; ``collect`` asks it to look at the end of the scope,
+    instead of at the half-hourly turn of Spark's cleaner.
+    """
+    files: list[str] = []
+    kept: list[str] = []
+    _SCOPES.append(files)
+
+    def keep(df: DataFrame) -> DataFrame:
+        cut = durable(df)
+        kept.append(_file_of(cut))
+        return cut
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.remove(files)
+        for path in files:
+            if path not in kept:
+                remove_folder(spark, path)
+        if _SCOPES:
+            _SCOPES[-1].extend(kept)
+        if collect:
+            collect_garbage(spark)
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles of plans that are no longer held."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 #: Raw bytes up to which a measured table is broadcast.
@@ -75,7 +139,11 @@ def small_side(df: DataFrame) -> DataFrame:
 
     Beyond the bound the join shuffles both sides; the result is the same.
     """
-    df = durable(df)
+    return hinted(durable(df))
+
+
+def hinted(df: DataFrame) -> DataFrame:
+    """``small_side`` for a table that is checkpointed already."""
     strings = [F.octet_length(f.name) for f in df.schema if isinstance(f.dataType, T.StringType)]
     strings += [16 * F.size(f.name) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
     width = 16 + 8 * len(df.columns)

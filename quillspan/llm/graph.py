@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def components(edges: DataFrame) -> DataFrame:
 
     The component is the smallest node reachable. Steps alternate until the edge set, compared by
     count and hash sum, is a set of stars; that takes a number of rounds logarithmic in the size of a
-    component. Each round is checkpointed, nothing but the two numbers reaches the driver.
+    component. Each round is checkpointed and replaces the one before; nothing but the two numbers
+    reaches the driver. Edges with a null end are left out; without edges there are no rows. The result
+    reads the last round's checkpoint.
     """
     edges = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
@@ -36,4 +38,6 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(edges.select("b", "b").distinct().toDF("node", "component"))
         before = now
-        edges = durable(_small_star(_large_star(edges)))
+        after = durable(_small_star(_large_star(edges)))
+        release(edges)
+        edges = after

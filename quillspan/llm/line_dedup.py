@@ -17,8 +17,10 @@ Whole copies collapse first: a copy of 50 words or more loses all its text, shor
 left alone. A run that repeats within one document at a distance below 50 words keeps its first
 50 words.
 
-Null texts stay null; empty texts stay empty; texts are read whole. Rows with one doc_id are one
-document. An empty table gives no rows. Further columns pass through unchanged.
+Null texts stay null; empty texts stay empty; texts are read whole. Repeated rows of one document are
+one document: all keep or lose the same words. An id that comes with several different texts stands for
+one of them (that of smallest digest among those it is the smallest id of); its other texts lose
+nothing, unless they are whole copies of another id's text, and are no one's earlier place. Rows without id lose nothing and are no one's earlier place. An empty table gives no rows. Further columns pass through unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,14 +33,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_batches, small_side
-from .near_dedup import _mix
+from .common import collect_garbage, durable, hinted, map_batches, scratch, small_side
+from .near_dedup import _mix, left_out
 
 GRAM = 25
 WINDOW = 26
 RUN = GRAM + WINDOW - 1
 #: Numbers of words beyond an agreement by which other places may share its continuation.
 BEYOND = (1, 2, 4, 8, 16)
+#: Places from which on a fingerprint counts as hot, and later texts that share one copy of their source.
+HOT = 1000
+SHARE = 256
 #: By the last of ``BEYOND`` that is shared: words that a window with a gram in the agreement may hold beyond it.
 _MOST = [*(k - 1 for k in BEYOND[1:]), RUN - GRAM]
 
@@ -179,14 +184,9 @@ def merge_packed(spans: np.ndarray) -> list[tuple[int, int]]:
 
 
 def delete_words(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the given word ranges. Where a range goes, one separator stays, a line end if there was one.
-
-    Ranges beyond the text's words belong to another text of the same id: then nothing is deleted.
-    """
+    """The text without the given word ranges. Where a range goes, one separator stays, a line end if there was one."""
     raw = text.encode("utf-8", "surrogatepass")
     at = [m.span() for m in _WORD.finditer(raw)]
-    if spans and max(e for _, e in spans) > len(at):
-        return text
     out, done = [], 0
     for s, e in spans:
         if e <= s:
@@ -223,7 +223,7 @@ def _windows(texts: DataFrame) -> DataFrame:
             out["start"] += starts.tolist()
         return out
 
-    return map_batches(texts.select("doc_id", "text", "ends", "runs"), run, "w1 long, w2 long, doc_id long, start int", rows=512)
+    return map_batches(texts, run, "w1 long, w2 long, doc_id long, start int", rows=512)
 
 
 def _across(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -240,7 +240,8 @@ def _across(found: DataFrame, docs: DataFrame) -> DataFrame:
     ends = kept.groupBy("doc_id", "low", "high").agg(*sides).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high", "left", "right")).alias("ends"))
     covered = found.where("s < e").groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("runs"))
     ends = small_side(ends.join(covered, "doc_id", "left"))
-    windows = durable(_windows(docs.join(ends, "doc_id").dropDuplicates(["doc_id"])))
+    texts = docs.join(ends, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "ends", "runs")
+    windows = durable(_windows(texts))
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
     later = windows.join(first.select("w1", "w2", F.col("f.doc_id").alias("f_doc"), F.col("f.start").alias("f_start")), ["w1", "w2"])
     later = later.where((F.col("doc_id") != F.col("f_doc")) | (F.col("start") - F.col("f_start") >= RUN))
@@ -248,42 +249,93 @@ def _across(found: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _prints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, digest of the word sequence, fingerprints and their positions."""
+    """doc_id, t (hash of the text), n (words), digest of the word sequence, fingerprints and their positions."""
 
     def run(cols):
         import xxhash
 
-        out = {k: [] for k in ("n_words", "h1", "h2", "prints", "places")}
+        out = {k: [] for k in ("n", "h1", "h2", "prints", "places")}
         for text in cols["text"]:
             h = word_hashes(text)
             digest = np.frombuffer(xxhash.xxh3_128_digest(h.tobytes()), dtype=np.int64)
             prints, places = fingerprints(h)
             for name, value in zip(out, (len(h), int(digest[0]), int(digest[1]), prints.view(np.int64), places.astype(np.int32))):
                 out[name].append(value)
-        return {"doc_id": cols["doc_id"], **out}
+        return {"doc_id": cols["doc_id"], "t": cols["t"], **out}
 
-    schema = "doc_id long, n_words int, h1 long, h2 long, prints array<long>, places array<int>"
-    return map_batches(docs.select("doc_id", "text"), run, schema, rows=2048)
+    schema = "doc_id long, t long, n int, h1 long, h2 long, prints array<long>, places array<int>"
+    return map_batches(docs.select("doc_id", F.xxhash64("text").alias("t"), "text"), run, schema, rows=2048)
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(doc_id, spans): the word ranges to delete from each document that has any. Ranges are disjoint and ascending."""
+def _first_places(marks: DataFrame) -> DataFrame:
+    """(doc_id, place, src, src_place): the marks whose fingerprint an earlier place has, with the first such place.
+
+    Fingerprints of many places are few; where they are few enough to be sent to every task, their marks
+    never gather in one. The rest, and all where they are not, is joined by fingerprint.
+    """
+    first = durable(marks.groupBy("print").agg(F.min("doc_id").alias("src"), F.count("*").alias("n")).where("n > 1"))
+    hot = small_side(first.where(F.col("n") > HOT).select("print", "src"))
+    if hot.isEmpty():
+        met = durable(marks.join(first.select("print", "src"), "print"))
+        places = met.where("doc_id = src").groupBy("print").agg(F.min("place").alias("src_place"))
+        return met.join(places, "print").where("doc_id <> src or place <> src_place").select("doc_id", "place", "src", "src_place")
+    cold = marks.join(hot.select("print"), "print", "left_anti").join(first.where(F.col("n") <= HOT).select("print", "src"), "print")
+    met = durable(marks.join(hot, "print").unionAll(cold.select("print", "doc_id", "place", "src")))
+    places = met.where("doc_id = src").groupBy("print").agg(F.min("place").alias("src_place"))
+    busy = small_side(places.join(hot.select("print"), "print", "left_semi"))
+    quiet = met.join(hot.select("print"), "print", "left_anti").join(places, "print")
+    matched = met.join(busy, "print").unionAll(quiet.select("print", "doc_id", "place", "src", "src_place"))
+    return matched.where("doc_id <> src or place <> src_place").select("doc_id", "place", "src", "src_place")
+
+
+def _repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, t, spans, n_removed): the word ranges to delete from each text that has any; reads one checkpoint, the others are gone."""
     docs = docs.select("doc_id", "text")
-    printed = durable(_prints(docs).where(F.col("n_words") >= RUN))
-    heads = printed.groupBy("h1", "h2").agg(F.min("doc_id").alias("head"), F.count("*").alias("n"))
-    heads = durable(heads)
-    copied = printed.join(heads.where("n > 1"), ["h1", "h2"]).where("doc_id <> head").select("doc_id", F.lit(0).alias("s"), F.col("n_words").alias("e"))
-    sole = printed.join(heads.select("h1", "h2", F.col("head").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
-    marks = sole.select("doc_id", F.explode(F.arrays_zip("prints", "places")).alias("m")).select("doc_id", F.col("m.prints").alias("print"), F.col("m.places").alias("place"))
-    first = marks.groupBy("print").agg(F.min("doc_id").alias("src"), F.count("*").alias("n")).where("n > 1").select("print", "src")
-    repeated = durable(marks.join(first, "print"))
-    places = repeated.where("doc_id = src").groupBy("print").agg(F.min("place").alias("src_place"))
-    matched = repeated.join(places, "print").where("doc_id <> src or place <> src_place")
-    pairs = matched.select("src", "doc_id", (F.col("place") - F.col("src_place")).alias("shift")).distinct()
-    pairs = durable(pairs.groupBy("src", "doc_id").agg(F.sort_array(F.collect_list("shift")).alias("shifts")))
+    with scratch(docs.sparkSession) as keep:
+        every = durable(_prints(docs).where("doc_id is not null"))
+        printed = every.where(F.col("n") >= RUN)
+        heads = printed.groupBy("h1", "h2").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies")).where("copies > 1")
+        copies = printed.select("doc_id", "t", "h1", "h2", "n").join(heads, ["h1", "h2"]).where("doc_id <> head")
+        copied = durable(copies.select("doc_id", "t", F.concat(F.lit("0:"), F.col("n")).alias("spans"), F.col("n").cast("long").alias("n_removed")).distinct())
+        gone, odd = copied.select("doc_id", "t"), left_out(every, RUN)
+        if odd is not None:
+            gone = gone.unionAll(odd)
+        gone = small_side(gone)
+        if odd is not None:
+            docs = docs.withColumn("t", F.xxhash64("text")).join(gone, ["doc_id", "t"], "left_anti").drop("t")
+        sole = printed.join(gone, ["doc_id", "t"], "left_anti")
+        marks = sole.select("doc_id", F.explode(F.arrays_zip("prints", "places")).alias("m")).select(F.col("m.prints").alias("print"), "doc_id", F.col("m.places").alias("place"))
+        pairs = _first_places(marks).select("src", "doc_id", (F.col("place") - F.col("src_place")).alias("shift")).distinct()
+        pairs = durable(pairs.groupBy("src", "doc_id").agg(F.sort_array(F.collect_list("shift")).alias("shifts")))
+        found = durable(_extended(pairs, docs))
+        collect_garbage(docs.sparkSession)
+        runs = found.where("s < e").select("doc_id", "s", "e").unionAll(_across(found, docs))
+        packed = (F.col("s").cast("long") * (1 << 32) + F.col("e")).alias("span")
+        runs = runs.select("doc_id", packed).groupBy("doc_id").agg(F.collect_set("span").alias("all"))
+
+        def join_up(cols):
+            merged = [merge_packed(np.array(spans, dtype=np.int64)) for spans in cols["all"]]
+            return {"doc_id": cols["doc_id"], "spans": [",".join(f"{s}:{e}" for s, e in m) for m in merged], "n_removed": [sum(e - s for s, e in m) for m in merged]}
+
+        merged = small_side(map_batches(runs, join_up, "doc_id long, spans string, n_removed long"))
+        # Rows of one id and one word sequence may differ in white space: each gets the ranges.
+        own = sole.select("doc_id", "t").join(merged, "doc_id").distinct()
+        return keep(own.select("doc_id", "t", "spans", "n_removed").unionAll(copied))
+
+
+def _extended(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc_id, s, e, low, high, left, right): agreements of later texts with first ones, and what is to go of each.
+
+    A source that many texts repeat is sent once for every ``SHARE`` of them, so neither it nor they gather in one task.
+    """
+    cells = pairs.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16))).groupBy("src", "cell").agg(F.count("*").alias("c"))
+    parts = cells.groupBy("src").agg(F.ceil(F.sum("c") / SHARE).alias("parts"))
+    placed = cells.join(parts, "src").select("src", "cell", F.pmod("cell", "parts").alias("part"))
+    dealt = pairs.withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 16))).join(placed, ["src", "cell"])
     ids = pairs.select("doc_id").unionAll(pairs.select("src")).distinct()
     texts = docs.join(small_side(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = pairs.join(texts, "doc_id").join(texts.toDF("src", "src_text"), "src")
+    sources = placed.select("src", "part").distinct().join(texts.toDF("src", "src_text"), "src")
+    both = dealt.join(texts, "doc_id").join(sources, ["src", "part"])
 
     def extend(cols):
         names = ("doc_id", "s", "e", "low", "high", "left", "right")
@@ -304,16 +356,12 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
         return out
 
     schema = "doc_id long, s int, e int, low int, high int, left array<long>, right array<long>"
-    found = durable(map_batches(both.select("src", "doc_id", "shifts", "src_text", "text"), extend, schema, rows=1024))
-    spans = found.where("s < e").select("doc_id", "s", "e").unionAll(_across(found, docs)).unionAll(copied.distinct())
-    packed = (F.col("s").cast("long") * (1 << 32) + F.col("e")).alias("span")
-    spans = spans.select("doc_id", packed).groupBy("doc_id").agg(F.collect_set("span").alias("all"))
+    return map_batches(both.select("src", "doc_id", "shifts", "src_text", "text"), extend, schema, rows=1024)
 
-    def join_up(cols):
-        merged = [merge_packed(np.array(spans, dtype=np.int64)) for spans in cols["all"]]
-        return {"doc_id": cols["doc_id"], "spans": [",".join(f"{s}:{e}" for s, e in m) for m in merged], "n_removed": [sum(e - s for s, e in m) for m in merged]}
 
-    return map_batches(spans, join_up, "doc_id long, spans string, n_removed long")
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, spans, n_removed): the word ranges to delete from each document that has any. Ranges are disjoint and ascending."""
+    return _repeated(docs).select("doc_id", "spans", "n_removed")
 
 
 def drop_repeats(docs: DataFrame, report: bool = True, drop_emptied: bool = False) -> DataFrame:
@@ -322,10 +370,10 @@ def drop_repeats(docs: DataFrame, report: bool = True, drop_emptied: bool = Fals
     With ``report``, ``spans`` (word ranges that went) and ``n_removed`` are added, in place of columns of
     that name. With ``drop_emptied``, documents that lose all their words go.
     """
-    names = [n for n in docs.columns if not report or n not in ("spans", "n_removed")]
-    found = repeated_runs(docs).select(F.col("doc_id").alias("_id"), F.col("spans").alias("_spans"), F.col("n_removed").alias("_removed"))
-    joined = docs.select(*names).join(small_side(found), F.col("doc_id") == F.col("_id"), "left")
-    hit = F.col("_spans").isNotNull()
+    found = hinted(_repeated(docs)).toDF("_id", "_t", "_spans", "_removed").alias("f")
+    d = docs.alias("d")
+    joined = d.join(found, (F.col("d.doc_id") == F.col("f._id")) & (F.xxhash64("d.text") == F.col("f._t")), "left")
+    hit = F.col("f._spans").isNotNull()
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -333,11 +381,12 @@ def drop_repeats(docs: DataFrame, report: bool = True, drop_emptied: bool = Fals
         return pd.Series([one(t, s) for t, s in zip(texts, spans)], dtype=object)
 
     # Texts that nothing is deleted from do not travel to Python.
-    text = F.when(hit, cut(F.when(hit, F.col("text")), F.col("_spans"))).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
-    if drop_emptied:
-        out = out.where(~hit | F.col("text").isNull() | F.col("text").rlike(r"[^ \t\n\r\x0B\f]"))
+    text = F.when(hit, cut(F.when(hit, F.col("d.text")), F.col("f._spans"))).otherwise(F.col("d.text"))
+    columns = [text.alias(n) if n == "text" else F.col(f"d.`{n}`") for n in docs.columns if not report or n not in ("spans", "n_removed")]
     if report:
-        out = out.withColumns({"spans": F.coalesce("_spans", F.lit("")), "n_removed": F.coalesce("_removed", F.lit(0)).cast("long")})
-        names = [*names, "spans", "n_removed"]
-    return out.select(*names)
+        columns += [F.coalesce("f._spans", F.lit("")).alias("spans"), F.coalesce("f._removed", F.lit(0)).cast("long").alias("n_removed")]
+    if not drop_emptied:
+        return joined.select(*columns)
+    hit_column = "_hit_" + "_".join(docs.columns)
+    out = joined.select(*columns, hit.alias(hit_column))
+    return out.where(~F.col(hit_column) | F.col("text").isNull() | F.col("text").rlike(r"[^ \t\n\r\x0B\f]")).drop(hit_column)

@@ -16,7 +16,11 @@ limit is confirmed the same way, so no link that a bucket holds is lost and no o
 
 Null or empty texts, and texts without words, have an empty set and link with nothing. Texts of
 fewer than five words have their whole word sequence as one shingle. Repeated rows are equal
-sets. Rows with one doc_id count as one document. An empty table gives no rows.
+sets and get the same answer, so both stay or both go. An id that comes with several different sets
+stands for one of them (that of smallest digest among those it is the smallest id of); its other texts
+are copies of other ids or stand alone.
+Rows without id are never heads and never go. Further columns, whatever their names, pass through. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, give_back, map_batches, small_side
+from .common import collect_garbage, durable, give_back, hinted, map_batches, release, scratch, small_side
 from .graph import components
 
 WORDS = 5
@@ -37,8 +41,11 @@ LIMIT = (75, 100)
 BUCKETS = 128
 MANTISSA = 10
 ROWS, BANDS = 4, 32
-#: Rows of one side of a block in which sets across components are compared.
+#: Rows and bytes of one side of a block in which sets across components are compared.
 BLOCK = 512
+BLOCK_BYTES = 8 << 20
+#: Pairs of one head that share one copy of its text.
+HEAD = 256
 #: Links of one block and pair of components that are taken before the components are joined anew.
 FIRST = 2
 
@@ -142,7 +149,7 @@ def may_link(matches: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarra
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n, h1, h2 (digest of the set), regs for every row."""
+    """doc_id, t (hash of the text), n, h1, h2 (digest of the set), regs for every row."""
 
     def run(cols):
         import xxhash
@@ -153,9 +160,10 @@ def signatures(docs: DataFrame) -> DataFrame:
             digest = np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), dtype=np.int64)
             for name, value in zip(out, (len(s), int(digest[0]), int(digest[1]), registers(s).tobytes() if len(s) else b"")):
                 out[name].append(value)
-        return {"doc_id": cols["doc_id"], **out}
+        return {"doc_id": cols["doc_id"], "t": cols["t"], **out}
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, h1 long, h2 long, regs binary", rows=4096)
+    named = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    return map_batches(named, run, "doc_id long, t long, n long, h1 long, h2 long, regs binary", rows=4096)
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -191,11 +199,25 @@ def _estimated(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return two.select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a long, b long")
 
 
+def _dealt(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs with ``part``, distinct (a, part)): a head of many pairs is cut into parts of about ``HEAD`` pairs.
+
+    The parts are made of cells of (a, hash of b), so no step has all pairs of a head in one task.
+    """
+    celled = pairs.withColumn("cell", F.pmod(F.xxhash64("b"), F.lit(1 << 16)))
+    cells = celled.groupBy("a", "cell").agg(F.count("*").alias("c"))
+    parts = cells.groupBy("a").agg(F.ceil(F.sum("c") / HEAD).alias("parts"))
+    placed = cells.join(parts, "a").select("a", "cell", F.pmod("cell", "parts").alias("part"))
+    return celled.join(placed, ["a", "cell"]).select("a", "b", "part"), placed.select("a", "part").distinct()
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose full shingle sets reach the limit."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
     texts = docs.select("doc_id", "text").join(small_side(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+    dealt, heads = _dealt(pairs)
+    heads = heads.join(texts.toDF("a", "text_a"), "a")
+    both = dealt.join(texts.toDF("b", "text_b"), "b").join(heads, ["a", "part"])
 
     def run(cols):
         words, sets, out = WordHashes(), OrderedDict(), {"a": [], "b": []}
@@ -252,12 +274,15 @@ def _across(rows: DataFrame, first: int) -> DataFrame:
 
     ``rows`` has key, node, comp, n, set. Every pair across components has a row outside the bucket's
     largest component. Those rows in blocks meet all rows in blocks; every pair of blocks is one group
-    of at most about two blocks of rows, and a bucket ruled by one component is sent about once. Whole
+    of at most about two blocks of rows and bytes, and a bucket ruled by one component is sent about once. Whole
     sets are compared inside the group, so pairs below the limit are never rows.
     """
-    per_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    sizes = per_comp.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("n_rows"))
-    sizes = sizes.select("key", F.col("most.comp").alias("major"), F.ceil(F.col("n_rows") / BLOCK).cast("int").alias("g"), F.ceil((F.col("n_rows") - F.col("most.c")) / BLOCK).cast("int").alias("gm"))
+    per_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("c"), F.sum(F.octet_length("set")).alias("v"))
+    sizes = per_comp.groupBy("key").agg(F.max(F.struct("c", "comp", "v")).alias("most"), F.sum("c").alias("n_rows"), F.sum("v").alias("n_bytes"))
+    blocks = lambda n, v: F.ceil(F.greatest(n / BLOCK, v / BLOCK_BYTES)).cast("int")
+    sizes = sizes.select(
+        "key", F.col("most.comp").alias("major"), blocks(F.col("n_rows"), F.col("n_bytes")).alias("g"), blocks(F.col("n_rows") - F.col("most.c"), F.col("n_bytes") - F.col("most.v")).alias("gm")
+    )
     cut = rows.join(sizes, "key")
     every = cut.select("key", F.explode(F.sequence(F.lit(0), F.col("gm") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("g")).cast("int").alias("j"), F.lit(0).alias("minor"), "node", "comp", "n", "set")
     minor = cut.where("comp <> major").select(
@@ -305,57 +330,108 @@ def _across(rows: DataFrame, first: int) -> DataFrame:
     return durable(dealt.mapInArrow(run, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id long, text string)."""
+def left_out(rows: DataFrame, least: int) -> DataFrame | None:
+    """(doc_id, t) of texts that are not their id's document, where an id comes with several digests; None if no id does.
+
+    ``rows`` has doc_id, t, n, h1, h2. Heads are, per digest of at least ``least`` elements, the smallest id; the
+    document of an id is the smallest digest that it heads, or none.
+    """
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(*[f(h).alias(f"{k}{h}") for h in ("h1", "h2") for k, f in (("lo", F.min), ("hi", F.max))])
+    several = durable(ids.where("loh1 <> hih1 or loh2 <> hih2").select("doc_id"))
+    if several.isEmpty():
+        return None
+    several = hinted(several)
+    own = durable(rows.select("doc_id", "t", "n", "h1", "h2").join(several, "doc_id", "left_semi"))
+    heads = rows.where(F.col("n") >= least).join(hinted(durable(own.select("h1", "h2").distinct())), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.min("doc_id").alias("head"))
+    chosen = heads.join(several, F.col("head") == F.col("doc_id"), "left_semi").groupBy("head").agg(F.min(F.struct("h1", "h2")).alias("d"))
+    chosen = chosen.select(F.col("head").alias("doc_id"), "d.h1", "d.h2")
+    return small_side(own.join(chosen, ["doc_id", "h1", "h2"], "left_anti").select("doc_id", "t").distinct())
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, t, n, component for every row of ``docs``; reads one checkpoint, the others are gone."""
     docs = docs.select("doc_id", "text")
-    signed = durable(signatures(docs))
-    classes = durable(signed.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
-    nodes = classes.select(F.col("node").alias("doc_id"), "h1", "h2")
-    reps = signed.join(nodes, ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("node"), "n", "regs").dropDuplicates(["node"])
-    reps = durable(reps)
-    bands = _bands(reps)
-    heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
-    shared = durable(bands.join(heads, "key"))
-    pairs = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = durable(pairs)
-    likely = durable(_estimated(pairs, reps))
-    links = durable(_confirmed(likely, docs))
-    # Pairs that the estimate threw away were not compared on full sets.
-    first, tried, sets = FIRST, likely, None
+    with scratch(docs.sparkSession) as keep:
+        signed = durable(signatures(docs))
+        classes = durable(signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
+        own, odd = signed, left_out(signed, 1)
+        if odd is not None:
+            docs = docs.withColumn("t", F.xxhash64("text")).join(odd, ["doc_id", "t"], "left_anti").drop("t")
+            own = signed.join(odd, ["doc_id", "t"], "left_anti")
+        nodes = classes.select(F.col("node").alias("doc_id"), "h1", "h2")
+        reps = durable(own.join(nodes, ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("node"), "n", "regs").dropDuplicates(["node"]))
+        bands = _bands(reps)
+        heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
+        shared = durable(bands.join(heads, "key"))
+        pairs = durable(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+        likely = durable(_estimated(pairs, reps))
+        release(pairs, reps)
+        links = durable(_confirmed(likely, docs))
+        collect_garbage(docs.sparkSession)
+        comp = _linked(shared, docs, likely, links)
+        named = signed.select("doc_id", "t", "n", "h1", "h2").join(classes, ["h1", "h2"], "left")
+        if odd is not None:
+            # A set whose head stands for another one is linked with nothing but its copies.
+            named = named.join(own.select(F.col("doc_id").alias("node"), "h1", "h2").distinct().withColumn("is_own", F.lit(True)), ["node", "h1", "h2"], "left")
+            named = named.withColumn("node", F.when(F.col("is_own"), F.col("node")))
+        named = named.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+        component = F.when(F.col("n") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
+        return keep(named.select("doc_id", "t", "n", component.alias("component")))
+
+
+def _linked(shared: DataFrame, docs: DataFrame, tried: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) by the confirmed star pairs and by what buckets link across their components.
+
+    ``tried`` holds the pairs that were compared on full sets; pairs that the estimate threw away were not.
+    """
+    first, sets = FIRST, None
     comp = durable(components(links))
     while True:
         labelled = shared.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
         open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         rows = durable(labelled.join(open_keys, "key", "left_semi"))
         if rows.isEmpty():
-            break
+            return comp
         if sets is None:
             sets = durable(_short_sets(docs, rows.select("node").distinct()))
         reached = _across(rows.join(sets, "node").select("key", "node", "comp", "n", "set"), first)
+        release(rows)
         n_reached = reached.count()
         if not n_reached:
-            break
+            return comp
         fresh = durable(reached.join(tried, ["a", "b"], "left_anti"))
         more = durable(_confirmed(fresh, docs))
         n_more = more.count()
         if n_more:
+            before = links, comp
             links = durable(links.unionAll(more))
             comp = durable(components(links))
+            release(*before)
         if n_more == n_reached:
             # Every pair of components that a bucket links is joined now.
-            break
+            return comp
         if not n_more:
             if not first:
-                break
+                return comp
             first = 0
+        before = tried
         tried = durable(tried.unionAll(fresh))
-    named = signed.join(classes, ["h1", "h2"], "left").join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
-    component = F.when(F.col("n") > 0, F.coalesce("component", "node")).otherwise(F.col("doc_id"))
-    out = named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+        release(before, reached, fresh, more)
+        collect_garbage(docs.sparkSession)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id long, text string)."""
+    out = _grouped(docs).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with the document of smallest id of each component only. Rows without id stay."""
-    gone = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(small_side(gone), "doc_id", "left_anti").select(*docs.columns)
+    grouped = _grouped(docs)
+    with scratch(docs.sparkSession, collect=False) as keep:
+        gone = keep(grouped.where("doc_id <> component").select(F.col("doc_id").alias("gone_id"), F.col("t").alias("gone_t")).distinct())
+        release(grouped)
+    d = docs.alias("d")
+    match = (F.col("d.doc_id") == F.col("g.gone_id")) & (F.xxhash64("d.text") == F.col("g.gone_t"))
+    return d.join(hinted(gone).alias("g"), match, "left_anti")

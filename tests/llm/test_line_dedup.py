@@ -113,13 +113,42 @@ def test_guarantee():
 
 def test_ids_with_two_texts(spark):
     rng = random.Random(8)
-    passage = prose(rng, 200)
-    got = line_dedup.drop_repeats(spark.createDataFrame([(1, passage), (2, "short"), (2, passage)], "doc_id long, text string")).collect()
-    assert len(got) == 3 and {r["text"] for r in got if r["doc_id"] == 1} == {passage} and "short" in {r["text"] for r in got}
-    assert line_dedup.delete_words("a b", [(1, 9)]) == "a b"
+    passage, other = prose(rng, 60), prose(rng, 250)
+    for rows in ([(1, passage), (2, passage), (2, other)], [(1, passage), (2, "short"), (2, passage)], [(1, passage), (1, other), (2, other), (3, passage + " " + other)]):
+        df = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, _id int")
+        got = sorted((r["doc_id"], r["text"]) for r in line_dedup.drop_repeats(df).collect())
+        left = {t: i for i, t in reversed(rows)}
+        want = [(i, t if left.get(t) == i and i != 3 else "") for i, t in rows]
+        if rows[-1][0] == 3:
+            # Only one of the two texts of id 1 is its document; its other text and what repeats that stay.
+            assert got[:3] == sorted([(1, passage), (1, other), (2, "")]) and got[3][1] in (passage, other)
+        else:
+            assert got == sorted(want)
     assert line_dedup.delete_words("a  b\nc d", [(1, 2)]) == "a\nc d"
 
 
+def test_clashing_names_and_white_space(spark):
+    rng = random.Random(18)
+    passage, tail = prose(rng, 60), prose(rng, 20)
+    rows = [(1, passage, 5), (2, f"{passage} {tail}", 6), (2, f"{passage}\n{tail}", 7), (None, passage, 8), (3, passage, 9)]
+    names = ("_id", "_t", "_spans", "_removed", "f", "src", "t")
+    df = spark.createDataFrame([(i, t, *[x] * len(names)) for i, t, x in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = line_dedup.drop_repeats(df, report=False, drop_emptied=True)
+    assert got.columns == df.columns
+    assert sorted((tuple(r)[:3] for r in got.collect()), key=repr) == sorted([(1, passage, 5), (2, tail, 6), (2, tail, 7), (None, passage, 8)], key=repr)
+
+
+def test_hot_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    monkeypatch.setattr(line_dedup, "SHARE", 2)
+    rng = random.Random(28)
+    passage, rare = prose(rng, 90), prose(rng, 55)
+    rows = [(i, f"{prose(rng, 20)} {passage if i % 3 else rare + ' ' + prose(rng, 9)} {prose(rng, 30)}") for i in range(40)] + [(50, passage), (51, rare)]
+    want, got = brute.repeated_words(rows), run(spark, rows)
+    for i, text in rows:
+        assert got[i]["text"].split() == words_left(text, want[i]), i
+
+
 def test_word_hashes(monkeypatch):
     rng = random.Random(11)
     text = " \t".join(rng.choice(["a", "b", "ab", "ba", "é", "漢字", "aé"]) + str(rng.randrange(3)) for _ in range(500)) + "\n"

@@ -57,6 +57,24 @@ def test_pairs_that_the_estimate_threw_away(spark, monkeypatch):
     test_families_of_near_copies(spark, 0.035)
 
 
+def test_small_parts_and_blocks_of_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "HEAD", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 4000)
+    test_families_of_near_copies(spark, 0.035)
+
+
+def test_ids_with_several_texts(spark):
+    rng = random.Random(5)
+    p, u, v = brute.prose(rng, 60), brute.prose(rng, 60), brute.prose(rng, 60)
+    rows = [(1, p), (2, p), (2, u), (3, u + " more"), (4, v), (4, p + " x"), (5, v), (5, v)]
+    df = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, gone_id int, d int")
+    left = sorted(map(tuple, near_dedup.drop_near_duplicates(df).select("doc_id", "text").collect()))
+    # Of the two texts of 4 one is its document; the other stands alone. Nothing that no other row has is lost.
+    assert {(1, p), (2, u)} <= set(left) and (2, p) not in left and (3, u + " more") not in left
+    assert {(4, v)} & set(left) and not {(5, v)} & set(left)
+    assert near_dedup.drop_near_duplicates(df).columns == df.columns
+
+
 def test_estimates_and_intersections():
     rng = np.random.default_rng(1)
     for n, common in ((400, 300), (2000, 1200), (60, 50)):
