@@ -53,7 +53,7 @@ LEAST = 40
 #: p-values above this are taken for those of random tokens.
 SURE = 0.25
 #: Simulated tokens of a null law, and the length from which on laws no longer change.
-DRAWS = 2000
+DRAWS = 10_000
 FAR = 512
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -135,7 +135,7 @@ def null_law(encoding: str, length: int) -> np.ndarray:
     narrower = [np.array([ch in _SETS[name] for ch in alphabet]) for name in names[: names.index(encoding)]]
     got, n = [], 0
     while n < DRAWS:
-        x = rng.integers(0, len(alphabet), (DRAWS, length))
+        x = rng.integers(0, len(alphabet), (1000, length))
         fits = digit[x].any(axis=1) & (np.array([ch.isalpha() for ch in alphabet])[x]).any(axis=1)
         for inside in narrower:
             fits &= ~inside[x].all(axis=1)
