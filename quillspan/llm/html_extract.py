@@ -2,21 +2,24 @@
 
 The standard-library parser streams events; block-level tags end a line, so a line is one block
 of text with the tags that belong to it. Its ratio is text characters over tags (link text does
-not count). The ratios are smoothed with a Gaussian over neighbouring lines and split into
-content and rest by threshold clustering (two means in log space). The lines of the content
-cluster choose the region: the article or main element, or else the deepest element, that holds
-most of their text. The result is every block of that region in page order, short ones included,
-without those inside menus, headers, footers, side bars, notices, adverts, forms, scripts, styles
-and reader comments.
-
-Null or empty html gives an empty text; a page of any length is parsed whole; broken markup is
-read as the parser reads it. Repeated pages are extracted each; an empty table gives no rows.
+not count); lines inside furniture - menus, headers, footers, side bars, notices, adverts, forms, reader
+comments, known by tag, role or name - keep ``AGAINST`` of theirs. The ratios of all lines are smoothed
+with a Gaussian over neighbours in page order and split into content and rest by threshold clustering
+(two means in log space). The region is the deepest element that holds ``HOLD`` of the text of the
+content lines outside furniture (the page if there are none), or the article or main element around it. The result is every block of that region in
+page order, short ones included, without furniture.
+
+Null or empty html gives an empty text; a page of any length and depth is parsed whole, in time linear
+in both; broken markup is read as the parser reads it. Elements of equal text: the deeper, then the
+later one. Repeated pages are extracted each; columns other than page_id, url and html are not read; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -26,13 +29,19 @@ from .common import map_batches
 SIGMA = 1.0
 #: Share of the content cluster's text that the region must hold.
 HOLD = 0.8
+#: What furniture keeps of its ratios.
+AGAINST = 0.1
 
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIP = frozenset("head script style noscript template iframe object svg math nav footer aside form button select textarea input dialog menu canvas audio video".split())
+#: Never text: their content is not collected.
+_SKIP = frozenset("head script style noscript template iframe svg button select textarea input audio video".split())
+_FURNITURE = frozenset("nav footer aside form dialog".split())
+#: Elements that are too small to be a region.
+_INLINE = frozenset("p span b i em strong li td".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner menu nav navbar navigation breadcrumb breadcrumbs sidebar "
@@ -51,21 +60,21 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Lines(HTMLParser):
-    """Collects lines: (element, text parts, tags, link characters). Elements are (parent, tag, hard, soft).
+    """Collects lines: (element, text, tags, link characters). Elements are (parent, tag, furniture).
 
-    Hard: never text. Soft: named like furniture, 1 anywhere, 2 only outside an article.
+    Furniture: 0 no, 1 by tag or role, 2 by name, 3 by a name that counts outside an article only.
     """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.elements: list[list] = [[-1, "", False, 0]]
+        self.elements: list[tuple[int, str, int]] = [(-1, "", 0)]
         self.stack = [0]
+        self.open: Counter[str] = Counter()
         self.lines: list[tuple[int, str, int, int]] = []
         self.parts: list[str] = []
         self.tags = 0
         self.links = 0
-        self.in_link = 0
-        self.hard = 0
+        self.silent = 0
 
     def _end_line(self) -> None:
         if self.parts:
@@ -77,12 +86,14 @@ class _Lines(HTMLParser):
 
     def _close(self, depth: int) -> None:
         while len(self.stack) > depth:
-            e = self.elements[self.stack.pop()]
-            self.hard -= e[2]
-            self.in_link -= e[1] == "a"
+            tag = self.elements[self.stack.pop()][1]
+            self.open[tag] -= 1
+            self.silent -= tag in _SKIP
 
     def _find(self, tags: tuple[str, ...], within: tuple[str, ...] = ()) -> int:
         """Depth of the innermost open element of these tags, not looking beyond ``within``; 0 if none."""
+        if not any(self.open[tag] for tag in tags):
+            return 0
         for depth in range(len(self.stack) - 1, 0, -1):
             tag = self.elements[self.stack[depth]][1]
             if tag in tags:
@@ -105,25 +116,29 @@ class _Lines(HTMLParser):
             self.parts.append(" ")
         if tag in _VOID:
             return
-        hard, soft = tag in _SKIP, 0
+        kind = int(tag in _FURNITURE)
+        named = 3 if tag == "menu" else 0
         for name, value in attrs:
             if name in ("class", "id") and value:
                 names = _WORDS.findall(value.lower())
                 if not _NAMES.isdisjoint(names) or _NAME_PARTS.search(" ".join(names)):
-                    soft = 1
-                elif not soft and not _OUTSIDE.isdisjoint(names):
-                    soft = 2
+                    named = 2
+                elif not named and not _OUTSIDE.isdisjoint(names):
+                    named = 3
             elif name == "role" and value:
-                hard = hard or value.strip().lower() in _ROLES
+                kind = kind or int(value.strip().lower() in _ROLES)
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                hard = True
+                kind = 1
             elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                hard = True
-        hard = hard and tag not in ("html", "body")
-        self.elements.append([self.stack[-1], tag, hard, soft * (tag not in ("html", "body", "main", "h1"))])
+                kind = 1
+        if tag in ("html", "body"):
+            kind = named = 0
+        elif tag in ("main", "h1"):
+            named = 0
+        self.elements.append((self.stack[-1], tag, kind or named))
         self.stack.append(len(self.elements) - 1)
-        self.hard += hard
-        self.in_link += tag == "a"
+        self.open[tag] += 1
+        self.silent += tag in _SKIP
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
@@ -138,9 +153,9 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data: str) -> None:
-        if not self.hard:
+        if not self.silent:
             self.parts.append(data)
-            if self.in_link:
+            if self.open["a"]:
                 self.links += len(data)
 
     def finish(self) -> None:
@@ -177,6 +192,46 @@ def threshold(values: list[float]) -> float:
     return math.expm1((low + high) / 2)
 
 
+def furniture(elements: list[tuple[int, str, int]]) -> list[bool]:
+    """Whether each element is furniture or inside it. What holds the article or the heading is a frame, whatever its name."""
+    holds = [tag in ("main", "h1") or (tag == "article" and kind != 2) for _, tag, kind in elements]
+    for i in range(len(elements) - 1, 0, -1):
+        holds[elements[i][0]] |= holds[i]
+    out, within = [False] * len(elements), [False] * len(elements)
+    for i, (parent, tag, kind) in enumerate(elements):
+        inner = parent >= 0 and within[parent]
+        named = kind == 2 or ((kind == 3 or tag == "header") and not inner)
+        out[i] = (parent >= 0 and out[parent]) or kind == 1 or (named and not holds[i])
+        within[i] = inner or tag in ("article", "main")
+    return out
+
+
+def content(lines: list[tuple[int, str, int, int]], out: list[bool]) -> list[bool]:
+    """Whether each line is content: smoothed text-to-tag ratio at or above the threshold of the two clusters."""
+    ratio = smooth([(AGAINST if out[e] else 1.0) * max(0, len(text) - links) / max(1, tags) for e, text, tags, links in lines])
+    at = threshold(ratio)
+    return [value >= at for value in ratio]
+
+
+def region_of(elements: list[tuple[int, str, int]], mass: list[int], out: list[bool]) -> int:
+    """The deepest element that holds ``HOLD`` of the mass, or the article or main element around it."""
+    depth = [0] * len(elements)
+    for i, (parent, _, _) in enumerate(elements):
+        depth[i] = depth[parent] + 1 if parent >= 0 else 0
+    held = [e for e in range(len(elements)) if mass[e] and mass[e] >= HOLD * mass[0] and elements[e][1] not in _INLINE]
+    region = max(held, key=lambda e: (depth[e], e), default=0)
+    up = region
+    while up > 0:
+        if elements[up][1] in ("article", "main") and not out[up]:
+            return up
+        up = elements[up][0]
+    # The heading of the page belongs to the text even if it stands beside the region.
+    parent = elements[region][0]
+    if parent > 0 and elements[parent][1] != "body" and any(p == parent and tag == "h1" for p, tag, _ in elements):
+        return parent
+    return region
+
+
 def extract(html: str | None) -> str:
     """Main text of one page."""
     if not html:
@@ -184,48 +239,21 @@ def extract(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.finish()
-    elements = parser.elements
-    holds = [tag in ("main", "h1") or (tag == "article" and soft != 1) for _, tag, _, soft in elements]
-    for i in range(len(elements) - 1, 0, -1):
-        holds[elements[i][0]] |= holds[i]
-    # An element named like a side bar that holds the article is a frame, not a side bar.
-    blocked, within = [False] * len(elements), [False] * len(elements)
-    for i, (parent, tag, hard, soft) in enumerate(elements):
-        inner = parent >= 0 and within[parent]
-        header = tag == "header" and not inner
-        blocked[i] = (parent >= 0 and blocked[parent]) or hard or (soft == 1 and not holds[i]) or (soft == 2 and not inner and not holds[i]) or (header and not holds[i])
-        within[i] = inner or tag in ("article", "main")
-    lines = [line for line in parser.lines if not blocked[line[0]]]
+    elements, lines = parser.elements, parser.lines
     if not lines:
         return ""
-    ratio = smooth([max(0, len(text) - links) / max(1, tags) for _, text, tags, links in lines])
-    at = threshold(ratio)
-    mass: dict[int, int] = {}
-    everything = 0
-    for (e, text, _, links), value in zip(lines, ratio):
-        weight = max(0, len(text) - links) if value >= at else 0
-        everything += weight
-        while e >= 0:
-            mass[e] = mass.get(e, 0) + weight
-            e = elements[e][0]
-    articles = [e for e in mass if elements[e][1] in ("article", "main")]
-    region = max(articles, key=lambda e: (mass[e], e), default=None)
-    if region is None or mass[region] == 0 < everything:
-        region = max((e for e in mass if mass[e] >= HOLD * everything and elements[e][1] not in ("p", "span", "b", "i", "em", "strong", "li", "td")), default=0)
-        # The heading of the page belongs to the text even if it stands beside the region.
-        region = _with_heading(elements, region)
+    out = furniture(elements)
+    mass = [0] * len(elements)
+    for (e, text, _, links), is_content in zip(lines, content(lines, out)):
+        if is_content and not out[e]:
+            mass[e] += max(0, len(text) - links)
+    for i in range(len(elements) - 1, 0, -1):
+        mass[elements[i][0]] += mass[i]
+    region = region_of(elements, mass, out)
     inside = [False] * len(elements)
     for i, (parent, *_) in enumerate(elements):
         inside[i] = i == region or (parent >= 0 and inside[parent])
-    return "\n".join(text for e, text, _, _ in lines if inside[e])
-
-
-def _with_heading(elements: list[list], region: int) -> int:
-    """The parent of the region if a level-one heading stands directly in it, else the region."""
-    parent = elements[region][0]
-    if parent > 0 and elements[parent][1] != "body" and any(p == parent and tag == "h1" for p, tag, _, _ in elements):
-        return parent
-    return region
+    return "\n".join(text for e, text, _, _ in lines if inside[e] and not out[e])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
