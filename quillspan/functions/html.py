@@ -49,15 +49,21 @@ class Node:
     children: list = field(default_factory=list)
     parent: Node | None = None
 
-    def walk(self):
-        for child in self.children:
+    def below(self):
+        """Nodes and strings below, in page order; pages may be nested deeper than Python's stack."""
+        left = self.children[::-1]
+        while left:
+            child = left.pop()
+            yield child
             if isinstance(child, Node):
-                yield child
-                yield from child.walk()
+                left += child.children[::-1]
+
+    def walk(self):
+        return (child for child in self.below() if isinstance(child, Node))
 
     def text(self) -> str:
         """Text below the node, the pieces stripped and joined without gaps."""
-        return "".join(c.strip() if isinstance(c, str) else c.text() for c in self.children)
+        return "".join(c.strip() for c in self.below() if isinstance(c, str))
 
     def matches(self, simple: str) -> bool:
         """Whether a simple selector (tag, .class, #id, [attr=value], combined) holds."""

@@ -13,15 +13,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The suffix lists.
+# The suffix lists of the rule set that results must match, in its order.
 REFLEXIVE = "ся сь".split()
-ADJECTIVE = "ая ее ей ем ею ие ий им их ого ое ой ом ому ою ую ые ый ым ых юю яя его ему ими ыми".split()
-PARTICIPLE = "вш ем ивш нн ующ щ ывш ющ".split()
+ADJECTIVE = "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ому ему их ых ую юю ая яя ою ею".split()
+PARTICIPLE = "ивш ывш ующ ем нн вш ющ щ".split()
 VERB = (
-    "ал ала али ало ей ейте ел ела ели ело ен ена ено ены ил ила или ило им ит ите ить ишь ует уй уйте уют ую "
-    "ыл ыла ыли ыло ым ыт ыть ю ял яла яли яло ят"
+    "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю "
+    "ала яла ела али яли ели ало яло ело ал ял ел"
 ).split()
-NOUN = "а ам ами ах е ев еи ей ем и ие ией ием ии ий ию ия иям иями иях й о ов ой ом у ы ь ье ью ья ю я ям ями ях".split()
+NOUN = "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я".split()
 SUPERLATIVE = "ейш ейше".split()
 #: Bytes that must remain, plus one.
 GUARD = 4

@@ -40,7 +40,19 @@ def title(text: Column | str = "text") -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(NO_TITLE)).otherwise(F.regexp_replace(F.substring_index(text, "\n", 1), r"\r\z", ""))
 
 
+#: Largest table that is dealt out anew, and bytes that a task should have at least.
+SPREAD_BYTES = 256 << 20
+TASK_BYTES = 1 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when there are fewer input splits than cores (one small file); a no-op on large inputs."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the rows of a small table in few splits out to more tasks; larger tables stay as they are split.
+
+    The planner's size estimate decides, so no table beyond ``SPREAD_BYTES`` is ever shuffled, however
+    many cores there are.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_BYTES:
+        return df
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
+    return df.repartition(tasks) if df.rdd.getNumPartitions() * 2 <= tasks else df

@@ -19,6 +19,11 @@ def tokens(docs: DataFrame, mode: str = "reference") -> DataFrame:
     return spread(docs.select("doc_id", "text")).select("doc_id", F.explode(parts).alias("token")).where("token <> ''")
 
 
+def positioned_tokens(docs: DataFrame, mode: str = "reference") -> DataFrame:
+    """(doc_id, place, token): the tokens of every document in order, places from 0. Nothing is shuffled."""
+    return spread(docs.select("doc_id", "text")).select("doc_id", F.posexplode(token_array("text", mode)).alias("place", "token"))
+
+
 def vocabulary(occurrences: DataFrame) -> DataFrame:
     """(token, frequency, term): distinct tokens with counts and stems."""
     return with_stem(occurrences.groupBy("token").agg(F.count("*").alias("frequency")), "token", "term")
@@ -31,8 +36,9 @@ def term_frequencies(docs: DataFrame, mode: str = "reference") -> DataFrame:
 
 def frequency_of(frequencies: DataFrame, terms: list[str]) -> DataFrame:
     """Frequency of each asked term, 0 where it is absent."""
+    # As many rows as the caller names; the planner broadcasts them where they are few.
     asked = frequencies.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    return F.broadcast(asked).join(frequencies.where(F.col("term").isin(terms)), "term", "left").select("term", F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"))
+    return asked.join(frequencies.where(F.col("term").isin(terms)), "term", "left").select("term", F.coalesce("frequency", F.lit(0)).cast("long").alias("frequency"))
 
 
 def postings_flat(docs: DataFrame, mode: str = "reference") -> DataFrame:
@@ -50,19 +56,29 @@ def postings_for(docs: DataFrame, terms: list[str], mode: str = "reference") ->
     """(term, doc_id) of a few terms straight from texts.
 
     Stemming only removes endings, so a token can become a term only if it begins with it: that test
-    discards nearly all tokens before any stemming, and what is left needs no further shuffle.
+    discards nearly all tokens before any stemming. The rest is stemmed and made distinct inside the
+    row, so a document has each term once and nothing is shuffled.
     """
     if not terms:
         return docs.sparkSession.createDataFrame([], "term string, doc_id long")
     begins = lambda t: F.exists(F.array(*map(F.lit, terms)), lambda p: t.startswith(p))
-    found = F.filter(F.array_distinct(token_array("text", mode)), begins)
-    some = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(found).alias("token"))
-    return with_stem(some, "token", "term").where(F.col("term").isin(terms)).select("term", "doc_id")
+    found = F.transform(F.filter(F.array_distinct(token_array("text", mode)), begins), stem)
+    asked = F.array_intersect(found, F.array(*map(F.lit, terms)))
+    return spread(docs.select("doc_id", "text")).select(F.explode(asked).alias("term"), "doc_id")
+
 
+#: Width of the range of ids that one row of a list-shaped index covers.
+ID_BLOCK = 1 << 16
 
-def inverted_index(postings: DataFrame) -> DataFrame:
-    """(term, doc_freq, postings): ascending document lists, for terms whose lists fit a row."""
-    return postings.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sort_array(F.collect_list("doc_id")).alias("postings"))
+
+def inverted_index(postings: DataFrame, width: int = ID_BLOCK) -> DataFrame:
+    """(term, block, doc_freq, postings): ascending document lists, cut at multiples of ``width`` ids.
+
+    Blocks in order make a term's whole list, and their frequencies its document frequency. A row holds at
+    most ``width`` ids, and a term that every document has spreads over as many rows and tasks as there are blocks.
+    """
+    block = F.floor(F.col("doc_id") / F.lit(width)).cast("long")
+    return postings.groupBy("term", block.alias("block")).agg(F.count("*").alias("doc_freq"), F.sort_array(F.collect_list("doc_id")).alias("postings"))
 
 
 def document_frequencies(postings: DataFrame) -> DataFrame:

@@ -7,6 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Characters of a term that tell apart the tasks that number terms of one frequency.
+SALT = 4
+
+
 def ranked(frequencies: DataFrame) -> DataFrame:
     """(term, frequency, rank): ranks from 1 by falling frequency, ties by term.
 
@@ -16,8 +20,8 @@ def ranked(frequencies: DataFrame) -> DataFrame:
     by_frequency = frequencies.groupBy("frequency").agg(F.count("*").alias("n"))
     above = W.orderBy(F.desc("frequency")).rowsBetween(W.unboundedPreceding, -1)
     before = by_frequency.select("frequency", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
-    # Salted places: rank within (frequency, first byte), plus the terms of that frequency with smaller first bytes.
-    salt = F.substring(F.encode("term", "UTF-8"), 1, 2)
+    # Salted places: rank within (frequency, first characters), plus the terms of that frequency with smaller ones.
+    salt = F.encode(F.substring("term", 1, SALT), "UTF-8")
     salted = frequencies.withColumn("salt", salt)
     cells = salted.groupBy("frequency", "salt").agg(F.count("*").alias("m"))
     earlier = W.partitionBy("frequency").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,10 @@ from ..functions import urls as U
 from ..functions.stemmer import stem_word, with_stem
 from ..functions.text import fold
 from ..operators import crawl, index, search, zipf
+from ..sources import readers
 from ..sources.readers import table
 from ..sources.writers import results_json
+from ..streaming import ingest
 from . import fixtures, sql
 from .query_language import rpn_text
 
@@ -69,8 +72,13 @@ def doc_by_id(spark, sf_dir):
 # Tokens and stems
 
 
-@register("tokenize", f"SELECT doc_id, token, count(*) AS n FROM ({sql.TOKENS}) GROUP BY ALL")
+@register("tokenize", sql.PLACED)
 def tokenize(spark, sf_dir):
+    return index.positioned_tokens(_docs(spark, sf_dir))
+
+
+@register("doc_token_counts", f"SELECT doc_id, token, count(*) AS n FROM ({sql.TOKENS}) GROUP BY ALL")
+def doc_token_counts(spark, sf_dir):
     return index.tokens(_docs(spark, sf_dir)).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
@@ -127,9 +135,10 @@ def zipf_rank(spark, sf_dir):
     return zipf.ranked(term_freq(spark, sf_dir))
 
 
-@register("zipf_expected", f"SELECT term, frequency, rank, (max(frequency) OVER ())::DOUBLE / rank AS zipf_expected FROM ({_RANKED})")
+@register("zipf_expected", f"SELECT term, frequency, rank, (max(frequency) OVER ())::DOUBLE / rank AS zipf_expected, round(log10(rank), 9) AS log_rank, round(log10(frequency), 9) AS log_frequency FROM ({_RANKED})")
 def zipf_expected(spark, sf_dir):
-    return zipf.with_expected(zipf_rank(spark, sf_dir)).select("term", "frequency", "rank", "zipf_expected")
+    logs = [F.round(c, 9).alias(c) for c in ("log_rank", "log_frequency")]
+    return zipf.with_expected(zipf_rank(spark, sf_dir)).select("term", "frequency", "rank", "zipf_expected", *logs)
 
 
 @register("top_terms", f"SELECT term, frequency FROM ({sql.FREQUENCIES}) ORDER BY frequency DESC, term LIMIT 10")
@@ -150,10 +159,10 @@ def postings_flat(spark, sf_dir):
     return index.postings_flat(_docs(spark, sf_dir))
 
 
-@register("inverted_index", _P + "SELECT term, count(*) AS doc_freq, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS postings FROM p GROUP BY term")
+@register("inverted_index", _P + "SELECT term, doc_id // 65536 AS block, count(*) AS doc_freq, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS postings FROM p GROUP BY ALL")
 def inverted_index(spark, sf_dir):
     built = index.inverted_index(postings_flat(spark, sf_dir))
-    return built.select("term", "doc_freq", F.array_join(F.col("postings").cast("array<string>"), ",").alias("postings"))
+    return built.select("term", "block", "doc_freq", F.array_join(F.col("postings").cast("array<string>"), ",").alias("postings"))
 
 
 @register("index_stats", _P + "SELECT count(*) AS n_terms, avg(strlen(term)) AS mean_term_bytes FROM (SELECT DISTINCT term FROM p)")
@@ -259,6 +268,95 @@ def parse_rpn(spark, sf_dir):
     return spark.createDataFrame([(q, rpn_text(q)) for q in fixtures.RPN_VECTORS], "query string, rpn string")
 
 
+# Search over a stored index: built once for each corpus and session, then only read
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> readers.Index:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        path = f"{readers.shared_folder(spark)}/index-{uuid.uuid4().hex}"
+        index.build_index(_docs(spark, sf_dir), path)
+        _INDEXES[key] = path
+    return readers.load_index(spark, _INDEXES[key])
+
+
+def _stored_searcher(spark: SparkSession, sf_dir: str) -> search.Searcher:
+    stored = _stored(spark, sf_dir)
+    return search.Searcher(stored.docs, stored.postings)
+
+
+@register("index_postings", sql.POSTINGS)
+def index_postings(spark, sf_dir):
+    return _stored(spark, sf_dir).postings
+
+
+@register("index_forward", f"SELECT doc_id, {sql.TITLE} AS title FROM documents")
+def index_forward(spark, sf_dir):
+    return _stored(spark, sf_dir).docs
+
+
+@register("index_lookup", _P + "SELECT doc_id FROM p WHERE term = 'the'")
+def index_lookup(spark, sf_dir):
+    return _stored_searcher(spark, sf_dir).lookup([search.normalize_term("The")]).select("doc_id")
+
+
+@register("index_search", ORACLES["search_titles"])
+def index_search(spark, sf_dir):
+    s = _stored_searcher(spark, sf_dir)
+    return s.with_titles(s.search(NESTED))
+
+
+@register("index_search_top10", ORACLES["search_top10"])
+def index_search_top10(spark, sf_dir):
+    s = _stored_searcher(spark, sf_dir)
+    return s.with_titles(search.first_hits(s.search(NESTED)))
+
+
+@register("index_search_json", ORACLES["search_json"])
+def index_search_json(spark, sf_dir):
+    return results_json(index_search(spark, sf_dir))
+
+
+@register("index_search_batch", ORACLES["search_batch"])
+def index_search_batch(spark, sf_dir):
+    return _stored_searcher(spark, sf_dir).search_batch(fixtures.BATCH)
+
+
+# Search in Cyrillic: the documents transliterated, so that different tokens share a stem
+
+
+def _cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.translate(fold("text"), *fixtures.LETTERS).alias("text"))
+
+
+_CYRILLIC = f"SELECT doc_id, translate(token, '{fixtures.LETTERS[0]}', '{fixtures.LETTERS[1]}') AS token FROM ({sql.TOKENS})"
+_PC = f"WITH v AS ({_CYRILLIC}), p AS (SELECT DISTINCT s.term, v.doc_id FROM v JOIN ({sql.stems('SELECT token FROM v')}) s USING (token)) "
+
+
+@register("cyrillic_lookup", _PC + "SELECT term, doc_id FROM p WHERE term IN ('тхе', 'еин', 'ерх')")
+def cyrillic_lookup(spark, sf_dir):
+    return search.Searcher(_cyrillic(spark, sf_dir)).lookup(["тхе", "еин", "ерх"])
+
+
+@register("cyrillic_and_not", _PC + "SELECT doc_id FROM p WHERE term = 'тхе' EXCEPT SELECT doc_id FROM p WHERE term = 'ерх'")
+def cyrillic_and_not(spark, sf_dir):
+    s = search.Searcher(_cyrillic(spark, sf_dir))
+    return search.difference(s.lookup(["тхе"]).select("doc_id"), s.lookup(["ерх"]).select("doc_id"))
+
+
+@register("cyrillic_nested", _PC + _ALL + f"(doc_id IN {sql.docs_with('тхх')} OR doc_id IN {sql.docs_with('еин')}) AND doc_id NOT IN {sql.docs_with('анд')}")
+def cyrillic_nested(spark, sf_dir):
+    return search.Searcher(_cyrillic(spark, sf_dir)).search("(тхх || Еин) && !анд")
+
+
+@register("cyrillic_postings", _PC + "SELECT term, doc_id FROM p")
+def cyrillic_postings(spark, sf_dir):
+    return index.postings_flat(_cyrillic(spark, sf_dir))
+
+
 # Crawl, corpus and HTML
 
 
@@ -342,6 +440,28 @@ def article_rules(spark, sf_dir):
     return rows.select("id", H.article_text("source", "html").alias("text"))
 
 
+_LINES = "SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r\\n\\f\\v\\x1c-\\x1f\\x85\\xa0]+|[ \\t\\r\\n\\f\\v\\x1c-\\x1f\\x85\\xa0]+$', '', 'g')), lambda x: x <> '') AS t FROM documents WHERE NOT regexp_matches(text, '[<>&]')"
+
+
+@register("article_documents", f"SELECT doc_id, 'x' || chr(10) || array_to_string(t, chr(10)) AS text FROM ({_LINES}) WHERE len(t) > 0")
+def article_documents(spark, sf_dir):
+    """Documents without mark-up characters, put into the first source's layout and extracted again."""
+    docs = _docs(spark, sf_dir).where(~F.col("text").rlike("[<>&]"))
+    body = F.concat(F.lit("<h1 class='news-page__title'>x</h1><div class='news-page__text'><p>"), F.replace("text", F.lit("\n"), F.lit("</p><p>")), F.lit("</p></div>"))
+    made = docs.select("doc_id", H.article_text(F.lit("consultant"), body).alias("text"))
+    return made.where(F.col("text") != "x")
+
+
+@register("stream_ingest", f"SELECT url_hash, min(page_id) AS page_id FROM ({_HASHED}) GROUP BY url_hash")
+def stream_ingest(spark, sf_dir):
+    """The pages landed as files, ingested by a stream, twice: the second run adds nothing."""
+    home = f"{readers.shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
+    _pages(spark, sf_dir).write.parquet(f"{home}/landing")
+    for run in range(2):
+        ingest.start_ingest(spark, f"{home}/landing", f"{home}/store", f"{home}/progress-{run}").awaitTermination()
+    return spark.read.parquet(f"{home}/store").select("url_hash", "page_id")
+
+
 @register("export_kept_skipped", f"SELECT count(*) FILTER (t <> '') AS kept, count(*) FILTER (t IS NULL OR t = '') AS skipped FROM (SELECT {sql.page_article('html')} AS t FROM pages)")
 def export_kept_skipped(spark, sf_dir):
     return crawl.export_corpus(_pages(spark, sf_dir), H.page_article("html"))[1]

@@ -1,11 +1,20 @@
-"""DuckDB SQL fragments that say the same as the Catalyst expressions, written independently of them."""
+"""DuckDB SQL fragments that say the same as the Catalyst expressions. Nothing of the engine is imported: all values are written out again."""
 
 from __future__ import annotations
 
-from ..functions.html import DROPPED, ENTITIES
-from ..functions.stemmer import ADJECTIVE, NOUN, PARTICIPLE, REFLEXIVE, SUPERLATIVE, VERB, suffix_pattern
-from ..functions.text import FOLDED, SEPARATOR_PATTERN
-from ..operators.crawl import BLOCK_MARKERS
+_UPPER = {"reference": "ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЖЗИЙКЛМНОПЁ", "cyrillic": "ABCDEFGHIJKLMNOPQRSTUVWXYZАБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯЁ"}
+_LOWER = {"reference": "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопё", "cyrillic": "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяё"}
+_SEPARATORS = "[ \\t\\n\\r.,!?:;\"'()\\[\\]{}<>/|\\\\*&^%$#@~`=-]+"
+# Alternatives from the longest to the shortest, as the pattern takes the first that fits.
+_REFLEXIVE = "ся|сь"
+_ADJECTIVE = "ими|ыми|его|ого|ому|ему|ее|ие|ые|ое|ей|ий|ый|ой|ем|им|ым|ом|их|ых|ую|юю|ая|яя|ою|ею"
+_PARTICIPLE = "ивш|ывш|ующ|ем|нн|вш|ющ|щ"
+_VERB = "ейте|уйте|ила|ыла|ена|ите|или|ыли|ило|ыло|ено|ует|уют|ены|ить|ыть|ишь|ала|яла|ела|али|яли|ели|ало|яло|ело|ей|уй|ил|ыл|им|ым|ен|ят|ит|ыт|ую|ал|ял|ел|ю"
+_NOUN = "иями|ями|ами|ией|иям|ием|иях|ев|ов|ие|ье|еи|ии|ей|ой|ий|ям|ем|ам|ом|ах|ях|ию|ью|ия|ья|а|е|и|й|о|у|ы|ь|ю|я"
+_SUPERLATIVE = "ейше|ейш"
+_DROPPED = ("script", "style", "header", "footer", "nav")
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+_MARKERS = ("captcha", "recaptcha", "g-recaptcha", "доступ ограничен", "security check", "подтвердите, что вы не робот", "403 forbidden", "waf")
 
 
 def quoted(text: str) -> str:
@@ -13,11 +22,11 @@ def quoted(text: str) -> str:
 
 
 def fold(x: str, mode: str = "reference") -> str:
-    return f"translate({x}, {quoted(FOLDED[mode])}, {quoted(FOLDED[mode].lower())})"
+    return f"translate({x}, {quoted(_UPPER[mode])}, {quoted(_LOWER[mode])})"
 
 
 #: Occurrences (doc_id, token) of all documents.
-TOKENS = f"SELECT doc_id, token FROM (SELECT doc_id, unnest(regexp_split_to_array({fold('text')}, {quoted(SEPARATOR_PATTERN)})) AS token FROM documents) WHERE token <> ''"
+TOKENS = f"SELECT doc_id, token FROM (SELECT doc_id, unnest(regexp_split_to_array({fold('text')}, {quoted(_SEPARATORS)})) AS token FROM documents) WHERE token <> ''"
 
 TITLE = "CASE WHEN text = '' THEN 'No Title' ELSE regexp_replace(split_part(text, chr(10), 1), '\\r$', '') END"
 
@@ -25,24 +34,27 @@ TITLE = "CASE WHEN text = '' THEN 'No Title' ELSE regexp_replace(split_part(text
 def stems(source: str, token: str = "token") -> str:
     """A relation (token, term) of the distinct tokens of ``source``."""
 
-    def strip(relation: str, suffixes: list[str], when: str = "TRUE", flag: str | None = None) -> str:
-        hit = f"regexp_extract(w, '{suffix_pattern(suffixes)}$', 1)"
+    def strip(relation: str, suffixes: str, when: str = "TRUE", flag: str | None = None) -> str:
+        hit = f"regexp_extract(w, '({suffixes})$', 1)"
         ok = f"({when}) AND {hit} <> '' AND strlen(w) - strlen({hit}) > 4"
         extra = f", ({ok}) AS {flag}" if flag else ""
         return f"SELECT * EXCLUDE (w), CASE WHEN {ok} THEN left(w, length(w) - length({hit})) ELSE w END AS w{extra} FROM ({relation})"
 
     q = f"SELECT DISTINCT {token} AS token, {token} AS w FROM ({source})"
-    q = strip(q, REFLEXIVE)
-    q = strip(q, ADJECTIVE, flag="adj")
-    q = strip(q, PARTICIPLE, when="adj")
-    q = strip(q, VERB, when="NOT adj", flag="verb")
-    q = strip(q, NOUN, when="NOT adj AND NOT verb")
-    q = strip(q, ["и"])
+    q = strip(q, _REFLEXIVE)
+    q = strip(q, _ADJECTIVE, flag="adj")
+    q = strip(q, _PARTICIPLE, when="adj")
+    q = strip(q, _VERB, when="NOT adj", flag="verb")
+    q = strip(q, _NOUN, when="NOT adj AND NOT verb")
+    q = strip(q, "и")
     q = f"SELECT * EXCLUDE (w), regexp_replace(w, '([^аеиоуыэюя])ость$', '\\1') AS w FROM ({q})"
-    q = strip(q, SUPERLATIVE)
+    q = strip(q, _SUPERLATIVE)
     return f"SELECT token, w AS term FROM ({q})"
 
 
+#: Occurrences (doc_id, place, token) in order, places from 0.
+PLACED = f"SELECT doc_id, unnest(range(len(t)))::INTEGER AS place, unnest(t) AS token FROM (SELECT doc_id, list_filter(regexp_split_to_array({fold('text')}, {quoted(_SEPARATORS)}), lambda x: x <> '') AS t FROM documents)"
+
 #: Distinct (term, doc_id) of all documents.
 POSTINGS = f"SELECT DISTINCT s.term, t.doc_id FROM ({TOKENS}) t JOIN ({stems(TOKENS)}) s USING (token)"
 #: (term, frequency) of all documents.
@@ -55,14 +67,14 @@ def docs_with(term: str) -> str:
 
 def clean_html(x: str) -> str:
     text = f"coalesce({x}, '')"
-    for tag in DROPPED:
+    for tag in _DROPPED:
         text = f"regexp_replace({text}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
     text = f"regexp_replace(regexp_replace({text}, '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
     return f"trim(regexp_replace({decoded(text)}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 
 
 def decoded(text: str) -> str:
-    for name, char in ENTITIES.items():
+    for name, char in _ENTITIES:
         text = f"replace({text}, {quoted(name)}, {quoted(char)})"
     return text
 
@@ -83,5 +95,5 @@ def normalize_url(x: str) -> str:
 
 
 def blocked(status: str, html: str) -> str:
-    marks = " OR ".join(f"contains(lower(coalesce({html}, '')), {quoted(m)})" for m in BLOCK_MARKERS)
+    marks = " OR ".join(f"contains(lower(coalesce({html}, '')), {quoted(m)})" for m in _MARKERS)
     return f"(coalesce({status} = 403, FALSE) OR (length(coalesce({html}, '')) < 5000 AND ({marks})))"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
+import tempfile
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -43,8 +46,34 @@ def numbered_documents(files: DataFrame) -> DataFrame:
 
 
 def frequency_csv(spark: SparkSession, path: str) -> DataFrame:
-    """word, frequency from a CSV with header; bytes that are not UTF-8 become replacement characters."""
-    return spark.read.csv(path, header=True, schema=FREQUENCIES, mode="DROPMALFORMED")
+    """word, frequency from a CSV with header; bytes that are not UTF-8 become replacement characters.
+
+    A file that cannot be read so is read as windows-1251. No row is dropped: what is not a number is null.
+    """
+    from pyspark.errors import PySparkException
+
+    read = lambda encoding: spark.read.csv(path, header=True, schema=FREQUENCIES, mode="PERMISSIVE", encoding=encoding)
+    try:
+        frequencies = read("UTF-8")
+        frequencies.first()
+        return frequencies
+    except PySparkException:
+        return read("windows-1251")
+
+
+_HOMES: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for tables that several queries read: ``spark.checkpoint.dir``, or on a local master a temporary one."""
+    sc = spark.sparkContext
+    home = sc.getConf().get("spark.checkpoint.dir") or _HOMES.get(sc.applicationId)
+    if not home:
+        if not sc.master.startswith("local") or "cluster" in sc.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        home = _HOMES[sc.applicationId] = tempfile.mkdtemp(prefix="quillspan-")
+        atexit.register(shutil.rmtree, home, ignore_errors=True)
+    return home
 
 
 @dataclass
@@ -68,11 +97,11 @@ def load_index(spark: SparkSession, path: str) -> Index:
 
 
 def raw_documents_jdbc(spark: SparkSession, url: str, table_name: str = "documents", fetch: int = 1000, parts: int = 16, bounds: tuple[int, int] | None = None) -> DataFrame:
-    """The raw document table over JDBC: three columns, read in ranges of id, fetched in batches."""
+    """The raw document table over JDBC: four columns, read in ranges of id, fetched in batches."""
     reader = spark.read.format("jdbc").option("url", url).option("dbtable", table_name).option("fetchsize", fetch)
     if bounds:
         reader = reader.option("partitionColumn", "id").option("lowerBound", bounds[0]).option("upperBound", bounds[1]).option("numPartitions", parts)
-    return reader.load().select("id", "source_name", "raw_html")
+    return reader.load().select("id", "url", "source_name", "raw_html")
 
 
 def query_lines(lines: list[str]) -> list[str]:

@@ -1,14 +1,16 @@
 """The crawl as bounded batches: listing pages are followed on the driver, their articles are DataFrames.
 
 Fetching is a parameter: ``fetch`` takes a DataFrame with ``url`` and returns ``url, status, html`` (a table of
-stored pages, a Python data source, a service). What it costs to wait between tries is its own affair;
-``delay`` gives the schedule.
+stored pages, a Python data source, a service); a null status is a network error. Network errors and block
+pages are asked for again, ``ATTEMPTS`` times in all, after the pause that ``delay`` gives.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +33,26 @@ def delay(base: float, attempt: int, was_blocked: bool = False, jitter: float =
     return BLOCK_PAUSE if was_blocked else base * BACKOFF * attempt + jitter
 
 
+def fetch_patiently(fetch: Fetch, urls: DataFrame, base: float = 1.0, pause: Callable[[float], None] = time.sleep) -> DataFrame:
+    """``fetch`` with retries: one row per answered URL, its last answer. Any other status than a block page's is final.
+
+    Batches are the articles of one listing page, so they are cached.
+    """
+    final, pending = None, urls
+    for attempt in range(1, ATTEMPTS + 1):
+        got = fetch(pending).select("url", "status", "html").cache()
+        bad = blocked(F.col("status"), F.col("html"))
+        again = F.col("status").isNull() | bad
+        counts = got.agg(F.count_if(again).alias("again"), F.count_if(bad).alias("bad")).first()
+        if not counts["again"] or attempt == ATTEMPTS:
+            return got if final is None else final.unionAll(got)
+        pause(delay(base, attempt, counts["bad"] > 0))
+        settled = got.where(~again)
+        final = settled if final is None else final.unionAll(settled)
+        pending = got.where(again).select("url")
+    raise AssertionError("the last attempt returns")
+
+
 @dataclass
 class PageCount:
     """What one listing page gave."""
@@ -51,12 +73,15 @@ def _listing(spark: SparkSession, fetch: Fetch, source: CrawlSource, url: str) -
     return (list(parsed["p"]["urls"]), parsed["p"]["next_url"]) if parsed else None
 
 
-def crawl_source(spark: SparkSession, source: CrawlSource, fetch: Fetch, store: str, crawled_at: int) -> list[PageCount]:
+def crawl_source(
+    spark: SparkSession, source: CrawlSource, fetch: Fetch, store: str, crawled_at: int, base_delay: float = 1.0, pause: Callable[[float], None] = time.sleep
+) -> list[PageCount]:
     """Follow one source's listing pages and append its new articles to ``store``.
 
     Ends after ``max_pages`` pages, at a page without a next one or whose next is itself, or when a
     listing cannot be had. The store's hashes are all the state: a second run skips what it has.
     """
+    fetch = partial(fetch_patiently, fetch, base=base_delay, pause=pause)
     counts, url, number = [], source.start_url, 0
     while url and number < source.max_pages:
         number += 1
@@ -82,6 +107,8 @@ def crawl_source(spark: SparkSession, source: CrawlSource, fetch: Fetch, store:
     return counts
 
 
-def crawl(spark: SparkSession, sources: list[CrawlSource], fetch: Fetch, store: str, crawled_at: int) -> list[PageCount]:
+def crawl(
+    spark: SparkSession, sources: list[CrawlSource], fetch: Fetch, store: str, crawled_at: int, base_delay: float = 1.0, pause: Callable[[float], None] = time.sleep
+) -> list[PageCount]:
     """All sources in sequence."""
-    return [c for s in sources for c in crawl_source(spark, s, fetch, store, crawled_at)]
+    return [c for s in sources for c in crawl_source(spark, s, fetch, store, crawled_at, base_delay, pause)]

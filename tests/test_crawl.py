@@ -85,6 +85,30 @@ def test_counters(spark):
     assert got == {1: (3, 1, 1, 1, 0), 2: (1, 0, 0, 0, 1)}
 
 
+def test_retries(spark):
+    from quillspan.streaming import crawl_loop
+
+    answers = [{"a": (None, None), "b": (403, "no"), "c": (500, "x"), "d": (200, "D")}, {"a": (200, "A"), "b": (403, "no")}, {"b": (200, "B")}]
+    asked, paused = [], []
+
+    def fetch(urls):
+        asked.append(sorted(r["url"] for r in urls.collect()))
+        return spark.createDataFrame([(u, *answers[len(asked) - 1][u]) for u in asked[-1]], "url string, status int, html string")
+
+    got = crawl_loop.fetch_patiently(fetch, spark.createDataFrame([(u,) for u in "abcd"], "url string"), 1.0, paused.append)
+    assert {r["url"]: r["html"] for r in got.collect()} == {"a": "A", "b": "B", "c": "x", "d": "D"}
+    assert asked == [["a", "b", "c", "d"], ["a", "b"], ["b"]] and paused == [60.0, 60.0]
+    lost = lambda urls: urls.selectExpr("url", "cast(null as int) as status", "cast(null as string) as html")
+    paused.clear()
+    assert [tuple(r) for r in crawl_loop.fetch_patiently(lost, spark.createDataFrame([("a",)], "url string"), 1.0, paused.append).collect()] == [("a", None, None)]
+    assert [round(p, 3) for p in paused] == [2.1, 4.1]
+
+
+def test_deep_pages():
+    page = "<div class='news-page__text'><p>a</p>" + "<div>" * 20_000 + "x" + "</div>" * 20_000 + "<p>b</p></div>"
+    assert html.extract_article(page, html.ARTICLE_RULES["consultant"]) == "\na\nb"
+
+
 def test_crawl_loop(spark, tmp_path):
     from quillspan.sources.readers import CrawlSource
     from quillspan.streaming import crawl_loop
@@ -102,10 +126,12 @@ def test_crawl_loop(spark, tmp_path):
     fetch = lambda urls: urls.join(pages, "url")
     store = str(tmp_path / "store")
     source = CrawlSource("s", "http://h/1", "a.t", "a.n", 5)
-    counts = crawl_loop.crawl(spark, [source], fetch, store, 1700000000)
+    paused = []
+    counts = crawl_loop.crawl(spark, [source], fetch, store, 1700000000, pause=paused.append)
+    assert paused == [60.0, 60.0]
     assert [(c.page, c.listed, c.known, c.saved, c.refused) for c in counts] == [(1, 3, 0, 2, 1), (2, 2, 1, 0, 1)]
     assert sorted(r["raw_html"] for r in spark.read.parquet(store).collect()) == ["A", "B"]
-    again = crawl_loop.crawl(spark, [source], fetch, store, 1700000001)
+    again = crawl_loop.crawl(spark, [source], fetch, store, 1700000001, pause=paused.append)
     assert [c.saved for c in again] == [0, 0] and spark.read.parquet(store).count() == 2
     assert crawl_loop.crawl(spark, [CrawlSource("x", "http://h/none", "a", "b", 3)], fetch, store, 0) == []
     assert (crawl_loop.delay(1.0, 2, jitter=0.0), crawl_loop.delay(1.0, 1, True)) == (4.0, 60.0)
