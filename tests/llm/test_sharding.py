@@ -30,8 +30,24 @@ def test_documents(edge_docs, no_docs, edge_rows):
 
 
 def test_shards_prune(spark):
-    rows = [(i, "x" * (i * 37 % 500), f"src{i % 20}", "en") for i in range(2000)]
+    # Distinct texts: equal ones would lie together, wherever their ids are.
+    rows = [(i, f"{i:04d}" + "x" * (i * 37 % 500), f"src{i % 20}", "en") for i in range(2000)]
     got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 24).collect()
-    for value in (lambda r: r["doc_id"] / 2000, lambda r: np.log2(r["size"]) / np.log2(508), lambda r: int(r["source"][3:]) / 20):
+    for value in (lambda r: r["doc_id"] / 2000, lambda r: np.log2(r["size"] / 12) / np.log2(511 / 12), lambda r: int(r["source"][3:]) / 20):
         spans = [max(v) - min(v) for k in range(24) if (v := [value(r) for r in got if r["shard"] == k])]
         assert np.mean(spans) < 0.75
+
+
+def test_outliers_and_equal_texts(spark):
+    rows = [(i, "x" * (i * 37 % 500) + f" {i}", f"src{i % 20}", "en") for i in range(1500)] + [(10**15, "far", None, None)]
+    rows += [(2000 + i, "the same text", f"src{i % 20}", "en") for i in range(100)]
+    got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string"), 24).collect()
+    # One far id does not crowd the others into one cell.
+    spans = [max(v) - min(v) for k in range(24) if (v := [r["doc_id"] for r in got if r["shard"] == k and r["doc_id"] < 1500])]
+    assert np.mean(spans) < 0.75 * 1500
+    same = sorted((r["shard"], r["slot"]) for r in got if r["doc_id"] in range(2000, 2100))
+    per = len(rows) / 24
+    assert len({s for s, _ in same}) <= -(-100 // int(per)) + 1
+    place = {(r["shard"], r["slot"]): k for k, r in enumerate(sorted(got, key=lambda r: (r["shard"], r["slot"])))}
+    at = [place[s] for s in same]
+    assert at[-1] - at[0] == 99
