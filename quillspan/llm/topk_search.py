@@ -12,8 +12,9 @@ merges them. The stated queries meet every row, as an exact search must.
 
 Components become floor(scale * x). Vectors that are null or empty or hold null or non-finite
 components, and rows without id, take no part. Vectors of different lengths are not compared. Rows
-that share a query's id are not its candidates; of rows that share an id one serves as query. An
-empty table gives no rows.
+that share a query's id are not its candidates; of rows that share an id one serves as query. Scores
+beyond 64 bits are ranked by their exact values and shown as the nearest long. Columns other than the id and the vector are not read. An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,14 +30,16 @@ from .common import durable, global_rank
 
 SCALE = 256
 K = 5
-#: Rows of a block of candidates and of a block of queries.
-ROWS, QUERIES = 16384, 1024
+#: Most rows and bytes of a block of candidates and of a block of queries.
+ROWS, QUERIES = 16_384, 32_768
+BLOCK_BYTES = 8 << 20
 #: Segments at each resolution, coarse to fine.
 LEVELS = (4, 16)
 #: Components below this are multiplied as doubles without rounding (up to 4096 of them).
 EXACT = float(1 << 20)
 #: Relative margin of the bounds for rounding.
 SLACK = 1e-9
+_NINES = str.maketrans("0123456789", "9876543210")
 
 
 def quantise(df: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
@@ -64,7 +67,7 @@ def quantise(df: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> Da
 def _packed(rows: DataFrame, size: int) -> DataFrame:
     """One row per block of at most ``size`` vectors of one length: dim, blk, ids, raw."""
     ranked, _ = global_rank(rows.select("dim", "vec_id", "raw"), ["dim", "vec_id", "raw"])
-    blocked = ranked.withColumn("blk", F.expr(f"cast(rank div {size} as int)"))
+    blocked = ranked.withColumn("blk", F.expr(f"cast(rank div greatest(1, least({size}, {BLOCK_BYTES} div (8 * dim))) as int)"))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(key[0], key[1], pdf.vec_id.to_numpy(np.int64).tobytes(), b"".join(pdf.raw))], columns=["dim", "blk", "ids", "raw"])
@@ -95,14 +98,33 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def search_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
-    """(query id, row id, score) of the k best rows of a block for every query."""
+    """(query id, row id, score) of the k best rows of a block for every query, scores as longs."""
+    return [(i, j, as_long(s)) for i, j, s in exact_block(q, q_ids, x, x_ids, k)]
+
+
+def as_long(score: int) -> int:
+    return max(-(1 << 63), min((1 << 63) - 1, score))
+
+
+def beyond(score: int) -> str:
+    """Text that sorts scores beyond 64 bits as their values do; empty within."""
+    if as_long(score) == score:
+        return ""
+    digits = str(abs(score))
+    if score < 0:
+        return f"{99_999 - len(digits):05d}" + digits.translate(_NINES)
+    return f"{len(digits):05d}{digits}"
+
+
+def exact_block(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
+    """(query id, row id, score) of the k best rows of a block for every query, scores as whole numbers."""
     out = []
     if max(np.abs(q).max(initial=0), np.abs(x).max(initial=0)) >= EXACT or q.shape[1] > 4096:
         whole = [[int(v) for v in row] for row in x]
         for i, row in zip(q_ids, q):
             own = [int(v) for v in row]
             found = sorted((-sum(a * b for a, b in zip(own, y)), int(j)) for j, y in zip(x_ids, whole) if j != i)[:k]
-            out += [(int(i), j, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, j in found]
+            out += [(int(i), j, -s) for s, j in found]
         return out
     q_norm, x_norm = (q * q).sum(axis=1), (x * x).sum(axis=1)
     stats = [(segment_stats(q, s), segment_stats(x, s)) for s in LEVELS]
@@ -147,16 +169,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     x = _packed(vectors, ROWS)
     pairs = q.select("dim", "q_blk").join(x.select("dim", "blk"), "dim")
     both = pairs.join(q, ["dim", "q_blk"]).join(x, ["dim", "blk"]).repartition("dim", "q_blk", "blk")
-    arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+    arrow = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("side", pa.int32()), ("beyond", pa.string())])
 
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 a, b = (np.frombuffer(r[n], dtype=np.float64).reshape(-1, r["dim"]) for n in ("q_raw", "raw"))
-                found = search_block(a, np.frombuffer(r["q_ids"], dtype=np.int64), b, np.frombuffer(r["ids"], dtype=np.int64), k)
-                columns = zip(*found) if found else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=arrow)
+                found = exact_block(a, np.frombuffer(r["q_ids"], dtype=np.int64), b, np.frombuffer(r["ids"], dtype=np.int64), k)
+                rows = [(i, j, as_long(s), (s > as_long(s)) - (s < as_long(s)), beyond(s)) for i, j, s in found]
+                columns = zip(*rows) if rows else [()] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
-    found = both.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = both.mapInArrow(run, "query_id long, vec_id long, score long, side int, beyond string")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("side"), F.desc("beyond"), F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -27,8 +27,9 @@ from .common import durable, global_rank
 from .graph import components
 
 COSINE = 0.9
-#: Rows of a block. Two blocks and their distances must fit a worker.
+#: Most rows and bytes (of doubles) of a block. Two blocks and their distances must fit a worker.
 BLOCK = 8192
+BLOCK_BYTES = 16 << 20
 #: Vectors sampled as pivots for the layout.
 PIVOTS = 128
 #: Node pairs expanded at once.
@@ -43,7 +44,7 @@ TOP_RADIUS = 0.5
 
 
 def parse_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """vec_id, dim (0 if the vector takes no part), digest h1, h2, raw (doubles as bytes)."""
+    """vec_id, dim (0 if the vector takes no part), digest h1, h2, raw (components as bytes, see ``compact``)."""
     arrow = pa.schema([("vec_id", pa.int64()), ("dim", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("raw", pa.binary())])
 
     def run(batches):
@@ -57,7 +58,7 @@ def parse_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
                     x = value.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
                     if not np.isfinite(x).all() or not x.any():
                         x = np.empty(0)
-                raw = x.tobytes()
+                raw = compact(x)
                 digest = np.frombuffer(xxhash.xxh3_128_digest(raw), dtype=np.int64)
                 dims.append(len(x))
                 h1.append(int(digest[0]))
@@ -68,8 +69,23 @@ def parse_vectors(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddi
     return df.select(F.col(id_col).cast("long").alias("vec_id"), vec_col).mapInArrow(run, "vec_id long, dim int, h1 long, h2 long, raw binary")
 
 
-def unit(raw: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(raw), dtype=np.float64).reshape(len(raw), -1)
+def compact(x: np.ndarray) -> bytes:
+    """Components as single-precision bytes where that loses nothing, else as doubles."""
+    with np.errstate(over="ignore"):
+        small = x.astype(np.float32)
+    return small.tobytes() if (small == x).all() else x.tobytes()
+
+
+def components_of(raw: bytes, n: int) -> np.ndarray:
+    """The n components that ``compact`` wrote."""
+    return np.frombuffer(raw, dtype=np.float64 if len(raw) == 8 * n else np.float32).astype(np.float64)
+
+
+def stack(raws: list[bytes], dim: int) -> np.ndarray:
+    return np.stack([components_of(raw, dim) for raw in raws])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -256,7 +272,7 @@ class Join:
 def _packed(reps: DataFrame) -> DataFrame:
     """One row per block: dim, blk, ids, weights, raw, and a centre with its covering radius."""
     pivots = reps.orderBy(F.xxhash64("node"), "node").limit(PIVOTS).select("dim", "raw").collect()
-    by_dim: dict[int, np.ndarray] = {d: unit([bytes(r["raw"]) for r in pivots if r["dim"] == d]) for d in {r["dim"] for r in pivots}}
+    by_dim: dict[int, np.ndarray] = {d: unit(stack([bytes(r["raw"]) for r in pivots if r["dim"] == d], d)) for d in {r["dim"] for r in pivots}}
 
     @F.pandas_udf("int")
     def cell(dim: pd.Series, raw: pd.Series) -> pd.Series:
@@ -264,19 +280,20 @@ def _packed(reps: DataFrame) -> DataFrame:
         for d, own in by_dim.items():
             at = np.flatnonzero(dim.to_numpy() == d)
             if len(at):
-                out[at] = (unit([raw.iloc[i] for i in at]) @ own.T).argmax(axis=1)
+                out[at] = (unit(stack([raw.iloc[i] for i in at], d)) @ own.T).argmax(axis=1)
         return pd.Series(out)
 
     ranked, _ = global_rank(reps.withColumn("cell", cell("dim", "raw")).select("dim", "cell", "node", "weight", "raw"), ["dim", "cell", "node"])
-    blocked = ranked.withColumn("blk", F.expr(f"cast(rank div {BLOCK} as int)"))
+    blocked = ranked.withColumn("blk", F.expr(f"cast(rank div greatest(1, least({BLOCK}, {BLOCK_BYTES} div (8 * dim))) as int)"))
 
     def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        x = unit(list(pdf.raw))
+        rows = stack(list(pdf.raw), int(key[0]))
+        x = unit(rows)
         centre = x.mean(axis=0)
         reach = float(np.sqrt(((x - centre) ** 2).sum(axis=1)).max())
         ids, weights = pdf.node.to_numpy(np.int64).tobytes(), pdf.weight.to_numpy(np.int64).tobytes()
-        return pd.DataFrame([(key[0], key[1], ids, weights, b"".join(pdf.raw), centre.tolist(), reach)], columns=["dim", "blk", "ids", "weights", "raw", "centre", "reach"])
+        return pd.DataFrame([(key[0], key[1], ids, weights, compact(rows), centre.tolist(), reach)], columns=["dim", "blk", "ids", "weights", "raw", "centre", "reach"])
 
     return durable(blocked.groupBy("dim", "blk").applyInPandas(pack, "dim int, blk int, ids binary, weights binary, raw binary, centre array<double>, reach double"))
 
@@ -298,8 +315,8 @@ def threshold_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     arrow = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
     def tree(dim: int, weights: bytes, raw: bytes) -> CoverTree:
-        step = dim * 8
-        return CoverTree(unit([raw[k : k + step] for k in range(0, len(raw), step)]), np.frombuffer(weights, dtype=np.int64))
+        own = np.frombuffer(weights, dtype=np.int64)
+        return CoverTree(unit(components_of(raw, dim * len(own)).reshape(-1, dim)), own)
 
     def join(batches):
         kept: dict[tuple, CoverTree] = {}

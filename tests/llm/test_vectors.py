@@ -1,6 +1,7 @@
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillspan.llm import topk_search, vector_dedup
 
@@ -85,3 +86,14 @@ def test_large_components():
     exact = lambda a, b: sum(int(u) * int(v) for u, v in zip(a, b))
     top = (1 << 63) - 1
     assert [(i, j) for i, j, _ in got] == [(0, 6), (0, 5)] and got[0][2] == min(top, exact(q[0], x[1]))
+
+
+def test_scores_beyond_64_bits_keep_their_order(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "ROWS", 1)
+    rows = [(0, [1e18, 1.0])] + [(k, [sign * (1e18 + k * 1e15), 0.0]) for k, sign in ((1, 1), (2, 1), (3, 1), (4, -1), (5, -1))] + [(6, [0.0, 1.0])]
+    vectors = topk_search.quantise(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = topk_search.top_k(vectors, F.col("vec_id") == 0, 6).collect()
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == [3, 2, 1, 6, 4, 5]
+    assert [topk_search.beyond(s) for s in (5, -5)] == ["", ""]
+    values = [-(10**30), -(10**25), -(1 << 63) - 1]
+    assert sorted(values, key=topk_search.beyond) == values
