@@ -8,6 +8,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
@@ -125,8 +126,12 @@ def scratch(spark: SparkSession, collect: bool = True) -> Iterator[Callable[[Dat
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark's cleaner find the shuffles of plans that are no longer held."""
+    """Let Spark's cleaner find the shuffles of plans that are no longer held.
+
+    Python tells the JVM of dropped plans from a thread that looks once a second, so the JVM is asked after that.
+    """
     gc.collect()
+    time.sleep(1.2)
     spark._jvm.System.gc()
 
 
