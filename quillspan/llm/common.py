@@ -147,13 +147,32 @@ def small_side(df: DataFrame) -> DataFrame:
     return hinted(durable(df))
 
 
-def hinted(df: DataFrame) -> DataFrame:
+def measured(cut: DataFrame) -> int:
+    """Bytes of a checkpointed table: of its files, which hold each row with an overhead, or counted where files are compressed."""
+    spark = cut.sparkSession
+    if spark.conf.get("spark.checkpoint.compress", "false") != "true":
+        place = spark._jvm.org.apache.hadoop.fs.Path(_file_of(cut))
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    wide = [F.octet_length(f.name) for f in cut.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    wide += [16 * F.size(f.name) for f in cut.schema if isinstance(f.dataType, T.ArrayType)]
+    width = 16 + 8 * len(cut.columns)
+    return cut.agg(F.coalesce(F.sum(sum((F.coalesce(s, F.lit(0)) for s in wide), F.lit(width)).cast("long")), F.lit(0)).alias("b")).first()["b"]
+
+
+def hinted(cut: DataFrame) -> DataFrame:
     """``small_side`` for a table that is checkpointed already."""
-    strings = [F.octet_length(f.name) for f in df.schema if isinstance(f.dataType, T.StringType)]
-    strings += [16 * F.size(f.name) for f in df.schema if isinstance(f.dataType, T.ArrayType)]
-    width = 16 + 8 * len(df.columns)
-    total = df.agg(F.coalesce(F.sum(sum((F.coalesce(s, F.lit(0)) for s in strings), F.lit(width)).cast("long")), F.lit(0)).alias("b")).first()["b"]
-    return F.broadcast(df) if total <= BROADCAST_BYTES else df
+    total = measured(cut)
+    return F.broadcast(fitted(cut, total)) if total <= BROADCAST_BYTES else cut
+
+
+def fitted(cut: DataFrame, total: int | None = None) -> DataFrame:
+    """A checkpointed table in no more partitions than its bytes need, one per ``BROADCAST_BYTES``.
+
+    Tables of pairs and links have as many partitions as the shuffle that made them; where these are nearly
+    empty they are read together, and a table that fits one partition needs no shuffle in further steps.
+    """
+    parts = -(-max(measured(cut) if total is None else total, 1) // BROADCAST_BYTES)
+    return cut.coalesce(parts) if parts < cut._jdf.queryExecution().analyzed().rdd().getNumPartitions() else cut
 
 
 def map_batches(

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, durable, give_back, hinted, map_batches, release, scratch, small_side
+from .common import collect_garbage, durable, fitted, give_back, hinted, map_batches, release, scratch, small_side
 from .graph import components
 
 WORDS = 5
@@ -353,29 +353,32 @@ def _grouped(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     with scratch(docs.sparkSession) as keep:
         signed = durable(signatures(docs))
-        classes = durable(signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("node")))
+        # Equal digests are equal sets, so any member's registers are the class's.
+        of_class = [F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("regs").alias("regs")]
+        reps = durable(signed.where("n > 0 and doc_id is not null").groupBy("h1", "h2").agg(*of_class))
+        classes = reps.select("h1", "h2", "node")
         own, odd = signed, left_out(signed, 1)
         if odd is not None:
             docs = docs.withColumn("t", F.xxhash64("text")).join(odd, ["doc_id", "t"], "left_anti").drop("t")
             own = signed.join(odd, ["doc_id", "t"], "left_anti")
-        nodes = classes.select(F.col("node").alias("doc_id"), "h1", "h2")
-        reps = durable(own.join(nodes, ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("node"), "n", "regs").dropDuplicates(["node"]))
+            heading = own.select(F.col("doc_id").alias("node"), "h1", "h2").distinct()
+            reps = durable(reps.join(heading, ["node", "h1", "h2"], "left_semi").dropDuplicates(["node"]))
         bands = _bands(reps)
         heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
         shared = durable(bands.join(heads, "key"))
         pairs = durable(shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
         likely = durable(_estimated(pairs, reps))
-        release(pairs, reps)
+        release(pairs)
         collect_garbage(docs.sparkSession)
-        links = durable(_confirmed(likely, docs))
+        links = durable(_confirmed(fitted(likely), docs))
         collect_garbage(docs.sparkSession)
         comp = _linked(shared, docs, likely, links)
         named = signed.select("doc_id", "t", "n", "h1", "h2").join(classes, ["h1", "h2"], "left")
         if odd is not None:
             # A set whose head stands for another one is linked with nothing but its copies.
-            named = named.join(own.select(F.col("doc_id").alias("node"), "h1", "h2").distinct().withColumn("is_own", F.lit(True)), ["node", "h1", "h2"], "left")
+            named = named.join(heading.withColumn("is_own", F.lit(True)), ["node", "h1", "h2"], "left")
             named = named.withColumn("node", F.when(F.col("is_own"), F.col("node")))
-        named = named.join(comp.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
+        named = named.join(hinted(comp).withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left")
         component = F.when(F.col("n") > 0, F.coalesce("component", "node", "doc_id")).otherwise(F.col("doc_id"))
         return keep(named.select("doc_id", "t", "n", component.alias("component")))
 
@@ -386,27 +389,27 @@ def _linked(shared: DataFrame, docs: DataFrame, tried: DataFrame, links: DataFra
     ``tried`` holds the pairs that were compared on full sets; pairs that the estimate threw away were not.
     """
     first, sets = FIRST, None
-    comp = durable(components(links))
+    comp = durable(components(fitted(links)))
     while True:
-        labelled = shared.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
+        labelled = shared.select("key", "node").join(hinted(comp), "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
         open_keys = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
         rows = durable(labelled.join(open_keys, "key", "left_semi"))
         if rows.isEmpty():
             return comp
         if sets is None:
-            sets = durable(_short_sets(docs, rows.select("node").distinct()))
-        reached = _across(rows.join(sets, "node").select("key", "node", "comp", "n", "set"), first)
+            sets = durable(_short_sets(docs, fitted(rows).select("node").distinct()))
+        reached = _across(fitted(rows).join(fitted(sets), "node").select("key", "node", "comp", "n", "set"), first)
         release(rows)
         n_reached = reached.count()
         if not n_reached:
             return comp
-        fresh = durable(reached.join(tried, ["a", "b"], "left_anti"))
-        more = durable(_confirmed(fresh, docs))
+        fresh = durable(fitted(reached).join(fitted(tried), ["a", "b"], "left_anti"))
+        more = durable(_confirmed(fitted(fresh), docs))
         n_more = more.count()
         if n_more:
             before = links, comp
-            links = durable(links.unionAll(more))
-            comp = durable(components(links))
+            links = durable(fitted(links).unionAll(fitted(more)))
+            comp = durable(components(fitted(links)))
             release(*before)
         if n_more == n_reached:
             # Every pair of components that a bucket links is joined now.
@@ -416,7 +419,7 @@ def _linked(shared: DataFrame, docs: DataFrame, tried: DataFrame, links: DataFra
                 return comp
             first = 0
         before = tried
-        tried = durable(tried.unionAll(fresh))
+        tried = durable(fitted(tried).unionAll(fitted(fresh)))
         release(before, reached, fresh, more)
         collect_garbage(docs.sparkSession)
 

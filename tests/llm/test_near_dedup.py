@@ -89,8 +89,9 @@ def test_estimates_and_intersections():
     assert 0 < near_dedup.collision_rate(np.array([300]), np.array([300]))[0] < 0.002
 
 
-def test_components(spark):
+@pytest.mark.parametrize("in_task", [0, 1 << 24])
+def test_components(spark, in_task):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, x) for x in range(101, 140)] + [(7, 7)]
-    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long"), in_task).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
-    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+    assert components(spark.createDataFrame([], "a long, b long"), in_task).collect() == []
