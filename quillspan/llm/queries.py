@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, html_extract, line_dedup, near_dedup, packing, secrets, sharding, topk_search, toxicity, vector_dedup
+from . import bpe, decontaminate, html_extract, lexical, line_dedup, near_dedup, packing, secrets, sharding, topk_search, toxicity, vector_dedup, whitening
 from .common import table
 
 
@@ -73,6 +73,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the first 16 whitened components."""
+    points = whitening.quantise(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return whitening.whiten(points, whitening.fit(points))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document shares with the benchmark, in windows of ten words."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
@@ -84,7 +103,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hilbert_sharding": op8_hilbert_sharding,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_whitening": op11_whitening,
+    "op12_decontamination": op12_decontamination,
+    "op13_lexical_search": op13_lexical_search,
 }
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 ORACLES: dict[str, str] = {
     "op5_topk_search": """
         WITH v AS (
@@ -100,4 +124,43 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op12_decontamination": f"""
+        WITH i AS (
+            SELECT item_id, w, least(len(w), 10) AS m FROM (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL) WHERE len(w) > 0
+        ), g AS (
+            SELECT DISTINCT item_id, m, array_to_string(list_slice(w, p, p + m - 1), ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS p FROM i)
+        ), d AS (
+            SELECT row_number() OVER () AS row, doc_id, coalesce({_WORDS}, []) AS w FROM documents
+        ), h AS (
+            SELECT d.row, p, m, array_to_string(list_slice(w, p, p + m - 1), ' ') AS gram
+            FROM (SELECT row, w, m, unnest(range(1, len(w) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM i)) d
+        ), f AS (
+            SELECT row, p, h.m, item_id FROM h JOIN g ON h.gram = g.gram AND h.m = g.m
+        ), n AS (
+            SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(range(p, p + m)) AS place FROM f) GROUP BY row
+        ), t AS (
+            SELECT row, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS ids FROM (SELECT DISTINCT row, coalesce(item_id::VARCHAR, '') AS x FROM f) GROUP BY row
+        )
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN n USING (row) LEFT JOIN t USING (row)
+    """,
+    "op13_lexical_search": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL
+        ), s AS (
+            SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS total FROM d WHERE len(w) > 0
+        ), i AS (
+            SELECT DISTINCT item, item_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL)
+        ), tf AS (
+            SELECT row, doc_id, n, term, count(*)::BIGINT AS tf FROM (SELECT row, doc_id, len(w)::BIGINT AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM i) GROUP BY ALL
+        ), df AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY term, n_docs
+        ), sc AS (
+            SELECT i.item, i.item_id, tf.row, tf.doc_id, sum(df.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // total))))::BIGINT AS score
+            FROM i JOIN tf USING (term) JOIN df USING (term), s GROUP BY ALL
+        ), r AS (
+            SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM sc WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+    """,
 }
