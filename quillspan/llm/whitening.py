@@ -9,7 +9,7 @@ and a low part. The parts of all tasks are merged, high and low, ``FAN`` at a ti
 dropped lies 2**-100 below the largest square.
 
 The d x d matrix that remains goes to the driver. ``numpy.linalg.eigh`` is LAPACK's ``syevd``: reduction to tridiagonal form,
-divide and conquer. Its vectors are then refined against the double-double matrix in extended precision, so that
+divide and conquer. Its vectors are then polished against the merged matrix in extended precision, so that
 components of very small variance are whitened as well as large ones. The covariance of the whitened fit list is
 accumulated in the same way, in a pass of its own, to report its distance from the identity.
 
@@ -242,20 +242,34 @@ def _merged(rows) -> Parts:
 
 
 def eigen(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues, falling, and unit eigenvectors (columns) of a symmetric matrix in extended precision."""
+    """Eigenvalues, falling, and unit eigenvectors (columns) of a symmetric matrix in extended precision.
+
+    In the basis of the double-precision vectors, made orthonormal to extended precision, the matrix is diagonal but for rounding;
+    a few sweeps of plane rotations remove that, relative to each pair of values.
+    """
     x = np.linalg.eigh(v.astype(np.float64))[1].astype(np.longdouble)
-    one = np.eye(len(v), dtype=np.longdouble)
     for _ in range(2):
-        lost, s = one - x.T @ x, x.T @ v @ x
-        e = np.diag(s) / (1 - np.diag(lost))
-        noise = 2 * (np.abs(s - np.diag(e)).sum(axis=1).max() + np.abs(v).sum(axis=1).max() * np.abs(lost).sum(axis=1).max())
-        gap = e[None, :] - e[:, None]
-        apart = np.abs(gap) > noise
-        x = x + x @ np.where(apart, (s + e[None, :] * lost) / np.where(apart, gap, 1), lost / 2)
-    e = np.diag(x.T @ v @ x) / np.diag(x.T @ x)
-    order = np.argsort(-e, kind="stable")
-    x = x[:, order] / np.sqrt((x[:, order] ** 2).sum(axis=0))
-    return e[order], x
+        x = x @ (3 * np.eye(len(v), dtype=np.longdouble) - x.T @ x) / 2
+    s = x.T @ v @ x
+    eps = np.finfo(np.longdouble).eps
+    least = RANK * np.abs(np.diag(s)).max()
+    for _ in range(8):
+        turned = False
+        for p in range(len(v) - 1):
+            for q in range(p + 1, len(v)):
+                if abs(s[p, q]) > eps * max(np.sqrt(abs(s[p, p] * s[q, q])), least):
+                    turned = True
+                    half = (s[q, q] - s[p, p]) / (2 * s[p, q])
+                    t = (1 if half >= 0 else -1) / (abs(half) + np.sqrt(half * half + 1))
+                    c = 1 / np.sqrt(t * t + 1)
+                    turn = np.array([[c, t * c], [-t * c, c]], dtype=np.longdouble)
+                    s[:, [p, q]] = s[:, [p, q]] @ turn
+                    s[[p, q]] = turn.T @ s[[p, q]]
+                    x[:, [p, q]] = x[:, [p, q]] @ turn
+        if not turned:
+            break
+    order = np.argsort(-np.diag(s), kind="stable")
+    return np.diag(s)[order], x[:, order]
 
 
 @dataclass

@@ -17,6 +17,9 @@ CONTRACTS = {
     "op7_vector_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
     "op8_hilbert_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op11_whitening": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
+    "op12_decontamination": "doc_id bigint, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean",
+    "op13_lexical_search": "item_id bigint, rank int, doc_id bigint, score bigint",
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are missing")
