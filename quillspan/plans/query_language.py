@@ -1,6 +1,10 @@
 """The boolean query language: lexer, implicit AND, shunting-yard, and a stack machine over any algebra.
 
 Malformed queries have a definite answer unless ``strict`` is set, in which case they raise.
+
+The extended language adds atoms where the plain one has terms: ``"a b c"`` (a phrase), ``"a b"~3`` (the words within
+3 further tokens, in any order), ``title:a`` (in the title), ``ab*``, ``*ab``, ``a*b`` (patterns) and ``abc~1``, ``abc~2``
+(terms within that many edits). Only the quotation mark changes how a query is cut; plain queries keep their meaning.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ class Token:
     value: str
 
 
-def lex(query: str) -> list[Token]:
+def lex(query: str, extended: bool = False) -> list[Token]:
     tokens, i = [], 0
     while i < len(query):
         c = query[i]
@@ -42,6 +46,13 @@ def lex(query: str) -> list[Token]:
         elif c in "!()":
             tokens.append(Token(c, c))
             i += 1
+        elif extended and c == '"':
+            end = query.find('"', i + 1)
+            end = len(query) if end < 0 else end + 1
+            while end < len(query) and query[end] in "~0123456789":
+                end += 1
+            tokens.append(Token(TERM, query[i:end]))
+            i = end
         else:
             start = i
             while i < len(query) and query[i] not in SPACE and query[i] not in _OPERATORS:
@@ -59,9 +70,9 @@ def with_implied_and(tokens: list[Token]) -> list[Token]:
     return out
 
 
-def to_rpn(query: str, strict: bool = False) -> list[Token]:
+def to_rpn(query: str, strict: bool = False, extended: bool = False) -> list[Token]:
     """Reverse Polish form. All operators, NOT included, give way to waiting ones of equal precedence."""
-    tokens = with_implied_and(lex(query))
+    tokens = with_implied_and(lex(query, extended))
     if strict:
         _validate(tokens)
     out: list[Token] = []
@@ -106,6 +117,38 @@ def _validate(tokens: list[Token]) -> None:
         raise QuerySyntaxError("query ends early")
 
 
+@dataclass(frozen=True)
+class Atom:
+    """A term of the extended language: its kind, the words as written, and the slack or the edits."""
+
+    kind: str
+    words: tuple[str, ...]
+    slack: int = 0
+
+
+def atom(value: str, words: Callable[[str], list[str]]) -> Atom:
+    """Read one term of the extended language; ``words`` cuts the inside of a phrase into words.
+
+    What does not fit the syntax is a plain term, so that no query fails: a ``*`` alone, more than two edits, a ``~`` after something
+    that is no word. A phrase of one word is that word; one without words is never found.
+    """
+    if value.startswith('"'):
+        inside, _, rest = value[1:].partition('"')
+        found = tuple(words(inside))
+        near = rest[1:] if rest.startswith("~") else ""
+        if near.isdigit():
+            return Atom("near", found, int(near))
+        return Atom("phrase", found)
+    if value.startswith("title:") and len(value) > 6:
+        return Atom("title", (value[6:],))
+    head, mark, edits = value.rpartition("~")
+    if mark and head and edits in ("1", "2"):
+        return Atom("fuzzy", (head,), int(edits))
+    if "*" in value and value.strip("*"):
+        return Atom("pattern", (value,))
+    return Atom("term", (value,))
+
+
 def rpn_text(query: str) -> str:
     return " ".join(t.value for t in to_rpn(query))
 
