@@ -40,19 +40,42 @@ def title(text: Column | str = "text") -> Column:
     return F.when(F.coalesce(text, F.lit("")) == "", F.lit(NO_TITLE)).otherwise(F.regexp_replace(F.substring_index(text, "\n", 1), r"\r\z", ""))
 
 
-#: Largest table that is dealt out anew, and bytes that a task should have at least.
+#: Largest table that is dealt out anew, bytes that a task should have at least, and most files whose footers are read.
 SPREAD_BYTES = 256 << 20
 TASK_BYTES = 1 << 20
+FOOTERS = 32
+
+
+def _row_groups(df: DataFrame) -> tuple[int, int] | None:
+    """(row groups, their uncompressed bytes) of the parquet files behind a frame; None if they are no parquet files or too many."""
+    files = df.inputFiles()
+    if not files or len(files) > FOOTERS or not all(f.endswith(".parquet") for f in files):
+        return None
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    groups = size = 0
+    for f in files:
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(f)), conf))
+        try:
+            rows = reader.getRowGroups()
+            groups, size = groups + rows.size(), size + sum(rows.get(k).getTotalByteSize() for k in range(rows.size()))
+        finally:
+            reader.close()
+    return groups, size
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small table in few splits out to more tasks; larger tables stay as they are split.
 
     The planner's size estimate decides, so no table beyond ``SPREAD_BYTES`` is ever shuffled, however
-    many cores there are.
+    many cores there are. A split that begins no row group of its file reads nothing, so a table has no more
+    splits than row groups, whose footers also tell its size before compression.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size > SPREAD_BYTES:
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if size > SPREAD_BYTES or cores < 2:
         return df
-    tasks = min(df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES)
-    return df.repartition(tasks) if df.rdd.getNumPartitions() * 2 <= tasks else df
+    splits = df.rdd.getNumPartitions()
+    if splits < 2 * cores and (known := _row_groups(df)):
+        splits, size = min(splits, known[0]), max(size, known[1])
+    tasks = min(cores, size // TASK_BYTES)
+    return df.repartition(tasks) if splits * 2 <= tasks else df

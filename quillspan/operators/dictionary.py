@@ -1,7 +1,7 @@
 """Patterns and fuzzy terms over the index's dictionary.
 
 A pattern's first letters are a range of the sorted dictionary, which reaches the scan; a pattern that begins with a star is
-looked up by the three-letter grams of its other parts. Fuzzy terms meet the dictionary by what is left of both after up to
+looked up by the three-letter grams of its other parts. Many words at once meet the dictionary by what is left of both after up to
 ``edits`` deletions - two words within that distance always share such a rest - and Levenshtein's distance confirms.
 """
 
@@ -83,11 +83,9 @@ def fuzzy_join(asked: DataFrame, terms: DataFrame, edits: int) -> DataFrame:
 
 
 def fuzzy_terms(index: SegmentIndex, word: str, edits: int) -> DataFrame:
-    """(term) of the dictionary within ``edits`` edits of a word: the equality with a rest is a filter, as the word is known."""
-    rests = deletions(word, edits)
-    size = F.char_length("term")
-    could = size.between(len(word) - edits, len(word) + edits) & F.arrays_overlap(deletions_of(F.col("term"), edits), F.array(*map(F.lit, rests)))
-    return index.dictionary(could & (F.levenshtein(F.col("term"), F.lit(word)) <= edits)).select("term")
+    """(term) of the dictionary within ``edits`` edits of one word: the distance is tested for terms of about its length."""
+    size, distance = F.char_length("term"), F.levenshtein(F.col("term"), F.lit(word), edits)
+    return index.dictionary(size.between(len(word) - edits, len(word) + edits) & (distance >= 0)).select("term")
 
 
 def resolve(index: SegmentIndex, atom: Atom) -> DataFrame:

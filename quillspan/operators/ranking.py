@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stemmer import stem_word
 from ..functions.text import SEPARATORS, fold_word
-from .segments import SegmentIndex, few
+from .segments import SegmentIndex
 
 K1, B = 1.2, 0.75
 UNIT = 10**6
@@ -80,9 +80,18 @@ class Ranker:
         rows = self._blocks().select("segment", "term", "block", "max_tf", "min_length").join(F.broadcast(asked), "term")
         return rows.groupBy("query_id", "segment", "block").agg(F.sum(most).alias("bound"))
 
-    def scores(self, asked: DataFrame, units: DataFrame, blocks: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score) of the live documents in some blocks: ``units`` are (query_id, segment, block)."""
-        wanted = blocks.join(few(units.select("segment", "block").distinct()), ["segment", "block"], "left_semi")
+    def scores(self, asked: DataFrame, units: DataFrame) -> DataFrame:
+        """(query_id, doc_id, score) of the live documents in some blocks (segment, block).
+
+        Where the blocks are few, their numbers are a filter of the scan; otherwise they are joined.
+        """
+        known = units.select("segment", "block").distinct()
+        rows = known.limit(LISTED + 1).collect()
+        blocks = self._blocks()
+        if len(rows) <= LISTED:
+            known = F.broadcast(self.index.spark.createDataFrame([tuple(r) for r in rows], "segment string, block long"))
+            blocks = blocks.where(F.col("block").isin([r["block"] for r in rows]))
+        wanted = blocks.join(known, ["segment", "block"], "left_semi")
         found = self.index.matches(wanted, "tf", "length").join(F.broadcast(asked), "term")
         return found.groupBy("query_id", "doc_id").agg(F.sum(contribution(F.col("weight"), F.col("tf"), F.col("length"), self.mean)).alias("score"))
 
@@ -92,24 +101,18 @@ class Ranker:
         order = W.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block")
         seeds = bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SEEDS).select("query_id", "segment", "block")
         best = W.partitionBy("query_id").orderBy(F.desc("score"))
-        scored = self._filtered(seeds, lambda units, blocks: self.scores(asked, units, blocks))
+        scored = self.scores(asked, seeds)
         least = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
         # One row for each query; the plan below does not repeat the work for it.
         known = self.index.spark.createDataFrame([tuple(r) for r in least.collect()], "query_id long, least long")
         return bounds.join(F.broadcast(known), "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(1))).drop("least")
 
-    def _filtered(self, units: DataFrame, use) -> DataFrame:
-        """``use(units, blocks)`` with the blocks' numbers as a filter of the scan where they are few."""
-        numbers = [r["block"] for r in units.select("block").distinct().limit(LISTED + 1).collect()]
-        blocks = self._blocks()
-        return use(units, blocks.where(F.col("block").isin(numbers)) if 0 < len(numbers) <= LISTED else blocks)
-
     def search_batch(self, queries: dict[int, str], k: int = 10) -> DataFrame:
         """(query_id, rank, doc_id, score): the k best documents of every query, equal scores by id."""
         asked = self.query_terms(queries)
         if asked is None:
             return self.index.spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-        scored = self._filtered(self.survivors(asked, k), lambda units, blocks: self.scores(asked, units, blocks))
+        scored = self.scores(asked, self.survivors(asked, k))
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         ranked = scored.where(F.col("score") > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return ranked.select("query_id", "rank", "doc_id", (F.col("score") / UNIT).alias("score"))

@@ -35,12 +35,12 @@ class Searcher:
             return postings_for(self.docs, terms, self.mode)
         return self.postings.where(F.col("term").isin(terms)).select("term", "doc_id")
 
-    def flags(self, terms: list[str]) -> DataFrame:
-        """Every document with one boolean column per term, f0, f1, ..."""
-        universe = self.docs.select("doc_id").distinct()
+    def flags(self, terms: list[str], *keep: str) -> DataFrame:
+        """Every document with one boolean column per term, f0, f1, ..., and the columns ``keep`` of its row."""
+        universe = self.docs.select("doc_id", *keep) if keep else self.docs.select("doc_id").distinct()
         found = self.lookup(terms).groupBy("doc_id").agg(*[F.max(F.col("term") == t).alias(f"f{k}") for k, t in enumerate(terms)], F.lit(1).alias("any"))
         both = universe.join(found, "doc_id", "left")
-        return both.select("doc_id", *[F.coalesce(f"f{k}", F.lit(False)).alias(f"f{k}") for k in range(len(terms))])
+        return both.select("doc_id", *keep, *[F.coalesce(f"f{k}", F.lit(False)).alias(f"f{k}") for k in range(len(terms))])
 
     def _compile(self, query: str, at: dict[str, Column], strict: bool) -> Column:
         return evaluate(
@@ -56,6 +56,19 @@ class Searcher:
         at = {t: F.col(f"f{k}") for k, t in enumerate(terms)}
         return self.flags(terms).where(self._compile(query, at, strict)).select("doc_id")
 
+    def facets(self, query: str, by: list[str], strict: bool = False) -> DataFrame:
+        """(facet, value, n_hits): hits in all and by each of the columns ``by`` of the documents, in the pass that finds them.
+
+        A hit without a value counts for a null value; ``facet`` is 'all' for the total. Without hits there is the total only.
+        """
+        terms = self._terms([query])
+        at = {t: F.col(f"f{k}") for k, t in enumerate(terms)}
+        hits = self.flags(terms, *by).where(self._compile(query, at, strict)).select(*by)
+        sets = hits.groupingSets([[F.col(c)] for c in by] + [[]], *by).agg(F.count("*").alias("n_hits"), *[F.grouping(c).alias(f"_{c}") for c in by])
+        facet = F.coalesce(*[F.when(F.col(f"_{c}") == 0, F.lit(c)) for c in by], F.lit("all"))
+        value = F.coalesce(*[F.when(F.col(f"_{c}") == 0, F.col(c).cast("string")) for c in by])
+        return sets.select(facet.alias("facet"), value.alias("value"), "n_hits")
+
     def search_batch(self, queries: dict[int, str], strict: bool = False) -> DataFrame:
         """(query_id, doc_id) of many queries in one pass over the postings of all their terms."""
         terms = self._terms(list(queries.values()))

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from ..functions.stemmer import stem, stem_word
 from ..functions.text import spread, title, token_array
 from ..sources.commits import Commits
+from ..sources.readers import remove_folder
 
 #: Ids of one block of postings.
 WIDTH = 256
@@ -120,10 +121,11 @@ def digest(text: str = "text") -> Column:
 GRAM, BEGIN, END = 3, "<", ">"
 
 
-def grams(term: str) -> Column:
-    """The grams of a term with its ends."""
-    marked = F.concat(F.lit(BEGIN), F.col(term), F.lit(END))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(marked) - (GRAM - 1), F.lit(1))), lambda k: F.substring(marked, k, F.lit(GRAM))))
+def grams(terms: DataFrame) -> DataFrame:
+    """(gram, term): the grams of every term with its ends."""
+    marked = terms.select("term", F.concat(F.lit(BEGIN), F.col("term"), F.lit(END)).alias("m"))
+    places = marked.select("term", "m", F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("m") - (GRAM - 1), F.lit(1)))).alias("k"))
+    return places.select(F.substring("m", F.col("k"), F.lit(GRAM)).alias("gram"), "term")
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -306,17 +308,19 @@ class SegmentIndex:
         source = self.spark.read.schema("doc_id long, text string").parquet(f"{home}/source")
         if source.isEmpty():
             return False
-        blocked(placed_terms(source, self.mode), self.width).write.parquet(f"{home}/postings")
+        placed_terms(source, self.mode).write.parquet(f"{home}/placed")  # read for the ranges and again for the rows
+        placed = self.spark.read.schema(_PLACED).parquet(f"{home}/placed")
+        blocked(placed, self.width).write.parquet(f"{home}/postings")
         document_rows(source, self.mode).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{home}/docs")
         self._write_terms(name)
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{home}/source")
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        for kind in ("source", "placed"):
+            remove_folder(self.spark, f"{home}/{kind}")
         return True
 
     def _write_terms(self, name: str) -> None:
         counts = self._table(name, "postings", _POSTINGS).groupBy("term").agg(F.sum("n").alias("doc_freq"))
         counts.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.commits.folder(name)}/terms")
-        words = self._table(name, "terms", "term string, doc_freq long").select(F.explode(grams("term")).alias("gram"), "term")
+        words = grams(self._table(name, "terms", "term string, doc_freq long"))
         words.repartitionByRange("gram", "term").sortWithinPartitions("gram", "term").write.parquet(f"{self.commits.folder(name)}/grams")
 
     def _bury(self, ids: DataFrame, name: str) -> None:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,22 +18,7 @@ from ..sources.writers import results_json
 from ..streaming import ingest
 from . import fixtures, sql
 from .query_language import rpn_text
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(name: str, oracle: str | None = None):
-    """Put a query, and its SQL if it has one, into the registry."""
-
-    def put(query):
-        QUERIES[name] = query
-        if oracle is not None:
-            ORACLES[name] = oracle
-        return query
-
-    return put
-
+from .registry import ORACLES, QUERIES, register  # noqa: F401
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text")
@@ -268,63 +252,6 @@ def parse_rpn(spark, sf_dir):
     return spark.createDataFrame([(q, rpn_text(q)) for q in fixtures.RPN_VECTORS], "query string, rpn string")
 
 
-# Search over a stored index: built once for each corpus and session, then only read
-
-
-_INDEXES: dict[tuple[str, str], str] = {}
-
-
-def _stored(spark: SparkSession, sf_dir: str) -> readers.Index:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        path = f"{readers.shared_folder(spark)}/index-{uuid.uuid4().hex}"
-        index.build_index(_docs(spark, sf_dir), path)
-        _INDEXES[key] = path
-    return readers.load_index(spark, _INDEXES[key])
-
-
-def _stored_searcher(spark: SparkSession, sf_dir: str) -> search.Searcher:
-    stored = _stored(spark, sf_dir)
-    return search.Searcher(stored.docs, stored.postings)
-
-
-@register("index_postings", sql.POSTINGS)
-def index_postings(spark, sf_dir):
-    return _stored(spark, sf_dir).postings
-
-
-@register("index_forward", f"SELECT doc_id, {sql.TITLE} AS title FROM documents")
-def index_forward(spark, sf_dir):
-    return _stored(spark, sf_dir).docs
-
-
-@register("index_lookup", _P + "SELECT doc_id FROM p WHERE term = 'the'")
-def index_lookup(spark, sf_dir):
-    return _stored_searcher(spark, sf_dir).lookup([search.normalize_term("The")]).select("doc_id")
-
-
-@register("index_search", ORACLES["search_titles"])
-def index_search(spark, sf_dir):
-    s = _stored_searcher(spark, sf_dir)
-    return s.with_titles(s.search(NESTED))
-
-
-@register("index_search_top10", ORACLES["search_top10"])
-def index_search_top10(spark, sf_dir):
-    s = _stored_searcher(spark, sf_dir)
-    return s.with_titles(search.first_hits(s.search(NESTED)))
-
-
-@register("index_search_json", ORACLES["search_json"])
-def index_search_json(spark, sf_dir):
-    return results_json(index_search(spark, sf_dir))
-
-
-@register("index_search_batch", ORACLES["search_batch"])
-def index_search_batch(spark, sf_dir):
-    return _stored_searcher(spark, sf_dir).search_batch(fixtures.BATCH)
-
-
 # Search in Cyrillic: the documents transliterated, so that different tokens share a stem
 
 
@@ -480,3 +407,6 @@ def corpus_stats(spark, sf_dir):
 @register("source_examples", "SELECT source, min(doc_id) AS doc_id, left(arg_min(text, doc_id), 1000) AS example FROM documents GROUP BY source")
 def source_examples(spark, sf_dir):
     return crawl.source_examples(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "source", "doc_id", "text")
+
+
+from . import retrieval  # noqa: E402, F401

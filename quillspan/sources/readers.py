@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import json
 import shutil
 import tempfile
@@ -76,6 +77,23 @@ def shared_folder(spark: SparkSession) -> str:
     return home
 
 
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Names, sizes and times of the files of a table; it changes when the table is rewritten. Only the listing is read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+    seen = []
+    while files.hasNext():
+        f = files.next()
+        seen.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more, through Hadoop's file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @dataclass
 class Index:
     """A stored index: one row per document, one row per (term, document)."""

@@ -8,7 +8,7 @@ import pytest
 from quillspan.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "pages")
+TABLES = ("documents", "pages", "benchmark")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are missing")
 
@@ -25,7 +25,7 @@ def canonical(rows):
     return sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, duck, name):
     got = QUERIES[name](spark, SF)
     columns = sorted(got.columns)
