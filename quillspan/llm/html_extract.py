@@ -5,10 +5,16 @@ of text with the tags that belong to it. Its ratio is text characters over tags
 not count); lines inside furniture - menus, headers, footers, side bars, notices, adverts, forms, reader
 comments, known by tag, role or name - keep ``AGAINST`` of theirs. The ratios of all lines are smoothed
 with a Gaussian over neighbours in page order and split into content and rest by threshold clustering
-(two means in log space). The region is the deepest element that holds ``HOLD`` of the text of the
-content lines outside furniture (the page if there are none), or the article or main element around it. The result is every block of that region in
+(two means in log space).
+
+The region is the article or main element that holds ``HOLD`` of the text of the content lines outside furniture - within it the
+deepest that holds as much - or, without one, the deepest element that holds all of these lines but outliers: those outside the deepest
+element with ``HOLD`` of the text whose own ratio is below ``OUTLIER`` of the median inside. The result is every block of that region in
 page order, short ones included, without furniture.
 
+A name alone makes no furniture of an element that holds the article, the heading, or half of the page's text in several lines of running text (nine tenths in one line; reader
+comments excepted), nor of one inside an article that has running text, if the name is one of many meanings (``_VAGUE``).
+
 Null or empty html gives an empty text; a page of any length and depth is parsed whole, in time linear
 in both; broken markup is read as the parser reads it. Elements of equal text: the deeper, then the
 later one. Repeated pages are extracted each; columns other than page_id, url and html are not read; an
@@ -27,8 +33,14 @@ from pyspark.sql import DataFrame
 from .common import map_batches
 
 SIGMA = 1.0
-#: Share of the content cluster's text that the region must hold.
+#: Share of the content cluster's text that an article holds, or the core against which outliers are measured.
 HOLD = 0.8
+#: Share of the core's median ratio below which a content line elsewhere is an outlier.
+OUTLIER = 0.5
+#: Factor between the centres of two clusters; lines of one kind are not split.
+APART = 2.0
+#: Characters from which on a line is running text, and the most of them that may be links.
+PROSE, LINKED = 60, 0.3
 #: What furniture keeps of its ratios.
 AGAINST = 0.1
 
@@ -49,6 +61,10 @@ _NAMES = frozenset(
     "newsletter subscribe subscription signup cookie cookies consent gdpr notice notices notification popup modal overlay login toolbar pager pagination copyright".split()
 )
 _NAME_PARTS = re.compile(r"comments?(?!ar)|sidebar|advert|cookie|newsletter|breadcrumb|navbar|footer|masthead|sponsor")
+#: Names of reader comments.
+_COMMENTS = frozenset("comment comments commentlist usercomments disqus respond replies reply".split())
+#: Names with other meanings: inside an article they need a second sign.
+_VAGUE = frozenset("share sharing social related recommended recommendations copyright login signup widget widgets banner notice notices promo toolbar overlay popup subscription menu".split())
 #: Names that mark furniture outside an article and parts of it inside.
 _OUTSIDE = frozenset("header topbar hero".split())
 #: Tags whose start ends an open paragraph, as browsers do.
@@ -62,7 +78,8 @@ _SPACE = re.compile(r"\s+")
 class _Lines(HTMLParser):
     """Collects lines: (element, text, tags, link characters). Elements are (parent, tag, furniture).
 
-    Furniture: 0 no, 1 by tag or role, 2 by name, 3 by a name that counts outside an article only.
+    Furniture: 0 no, 1 by tag or role, 2 by name, 3 by a name that counts outside an article only, 4 by a name of
+    reader comments, 5 by names of many meanings.
     """
 
     def __init__(self) -> None:
@@ -121,8 +138,10 @@ class _Lines(HTMLParser):
         for name, value in attrs:
             if name in ("class", "id") and value:
                 names = _WORDS.findall(value.lower())
-                if not _NAMES.isdisjoint(names) or _NAME_PARTS.search(" ".join(names)):
-                    named = 2
+                marks = [w for w in names if w in _NAMES or _NAME_PARTS.search(w)]
+                if marks or _NAME_PARTS.search(" ".join(names)):
+                    comment = any(w in _COMMENTS or "comment" in w for w in names)
+                    named = 4 if comment else 2 if named in (0, 3) and set(marks) - _VAGUE or named == 2 else named if named == 4 else 5
                 elif not named and not _OUTSIDE.isdisjoint(names):
                     named = 3
             elif name == "role" and value:
@@ -179,7 +198,7 @@ def smooth(values: list[float], sigma: float = SIGMA) -> list[float]:
 
 
 def threshold(values: list[float]) -> float:
-    """Boundary between the two clusters of the values (two means in log space)."""
+    """Boundary between the two clusters of the values (two means in log space); the least value if they lie within a factor of ``APART``."""
     logs = [math.log1p(v) for v in values]
     low, high = min(logs), max(logs)
     for _ in range(20):
@@ -189,42 +208,73 @@ def threshold(values: list[float]) -> float:
         if new == (low, high):
             break
         low, high = new
-    return math.expm1((low + high) / 2)
+    return math.expm1((low + high) / 2) if high - low >= math.log(APART) else min(values)
 
 
-def furniture(elements: list[tuple[int, str, int]]) -> list[bool]:
-    """Whether each element is furniture or inside it. What holds the article or the heading is a frame, whatever its name."""
-    holds = [tag in ("main", "h1") or (tag == "article" and kind != 2) for _, tag, kind in elements]
+def furniture(elements: list[tuple[int, str, int]], lines: list[tuple[int, str, int, int]]) -> list[bool]:
+    """Whether each element is furniture or inside it. What holds the article, the heading, or half of all text in several lines of running text is a frame, whatever its name."""
+    holds = [tag in ("main", "h1") or (tag == "article" and kind not in (2, 4)) for _, tag, kind in elements]
+    prose, plain = [0] * len(elements), [0] * len(elements)
+    for e, text, _, links in lines:
+        prose[e] += len(text) >= PROSE and links <= LINKED * len(text)
+        plain[e] += max(0, len(text) - links)
     for i in range(len(elements) - 1, 0, -1):
-        holds[elements[i][0]] |= holds[i]
+        parent = elements[i][0]
+        holds[parent] |= holds[i]
+        prose[parent] += prose[i]
+        plain[parent] += plain[i]
     out, within = [False] * len(elements), [False] * len(elements)
     for i, (parent, tag, kind) in enumerate(elements):
         inner = parent >= 0 and within[parent]
-        named = kind == 2 or ((kind == 3 or tag == "header") and not inner)
-        out[i] = (parent >= 0 and out[parent]) or kind == 1 or (named and not holds[i])
+        named = kind in (2, 4) or (kind == 5 and not (inner and prose[i])) or ((kind == 3 or tag == "header") and not inner)
+        frame = holds[i] or (kind != 4 and prose[i] > 0 and plain[i] >= (0.5 if prose[i] > 1 else 0.9) * plain[0])
+        out[i] = (parent >= 0 and out[parent]) or kind == 1 or (named and not frame)
         within[i] = inner or tag in ("article", "main")
     return out
 
 
-def content(lines: list[tuple[int, str, int, int]], out: list[bool]) -> list[bool]:
-    """Whether each line is content: smoothed text-to-tag ratio at or above the threshold of the two clusters."""
-    ratio = smooth([(AGAINST if out[e] else 1.0) * max(0, len(text) - links) / max(1, tags) for e, text, tags, links in lines])
-    at = threshold(ratio)
-    return [value >= at for value in ratio]
+def content(lines: list[tuple[int, str, int, int]], out: list[bool]) -> tuple[list[float], list[bool]]:
+    """Text-to-tag ratio of each line, and whether it is content: smoothed, at or above the threshold of the two clusters."""
+    ratio = [(AGAINST if out[e] else 1.0) * max(0, len(text) - links) / max(1, tags) for e, text, tags, links in lines]
+    even = smooth(ratio)
+    at = threshold(even)
+    return ratio, [value >= at for value in even]
+
+
+def _summed(elements: list[tuple[int, str, int]], own: list[int]) -> list[int]:
+    """What each element and all elements in it have."""
+    total = own[:]
+    for i in range(len(elements) - 1, 0, -1):
+        total[elements[i][0]] += total[i]
+    return total
 
 
-def region_of(elements: list[tuple[int, str, int]], mass: list[int], out: list[bool]) -> int:
-    """The deepest element that holds ``HOLD`` of the mass, or the article or main element around it."""
+def region_of(elements: list[tuple[int, str, int]], found: list[tuple[int, int, float]], out: list[bool]) -> int:
+    """The element whose blocks are the text; ``found`` has (element, characters, own ratio) of the content lines outside furniture."""
     depth = [0] * len(elements)
     for i, (parent, _, _) in enumerate(elements):
         depth[i] = depth[parent] + 1 if parent >= 0 else 0
-    held = [e for e in range(len(elements)) if mass[e] and mass[e] >= HOLD * mass[0] and elements[e][1] not in _INLINE]
-    region = max(held, key=lambda e: (depth[e], e), default=0)
-    up = region
-    while up > 0:
-        if elements[up][1] in ("article", "main") and not out[up]:
-            return up
-        up = elements[up][0]
+    own = [0] * len(elements)
+    for e, size, _ in found:
+        own[e] += size
+    mass = _summed(elements, own)
+    if not mass[0]:
+        return 0
+    deepest = lambda some: max(some, key=lambda e: (depth[e], e), default=0)
+    named = [e for e, (_, tag, _) in enumerate(elements) if tag in ("article", "main") and not out[e] and mass[e] >= HOLD * mass[0]]
+    if named:
+        outer = min(named, key=lambda e: depth[e])
+        return deepest([e for e in named if mass[e] == mass[outer]])
+    block = [tag not in _INLINE for _, tag, _ in elements]
+    core = deepest([e for e in range(len(elements)) if block[e] and mass[e] >= HOLD * mass[0]])
+    inside = _inside(elements, core)
+    ratios = sorted(ratio for e, _, ratio in found if inside[e])
+    least = OUTLIER * ratios[len(ratios) // 2]
+    own = [0] * len(elements)
+    for e, size, ratio in found:
+        own[e] += size if inside[e] or ratio >= least else 0
+    mass = _summed(elements, own)
+    region = deepest([e for e in range(len(elements)) if block[e] and mass[e] == mass[0]])
     # The heading of the page belongs to the text even if it stands beside the region.
     parent = elements[region][0]
     if parent > 0 and elements[parent][1] != "body" and any(p == parent and tag == "h1" for p, tag, _ in elements):
@@ -232,6 +282,14 @@ def region_of(elements: list[tuple[int, str, int]], mass: list[int], out: list[b
     return region
 
 
+def _inside(elements: list[tuple[int, str, int]], region: int) -> list[bool]:
+    """Whether each element is the region or in it."""
+    inside = [False] * len(elements)
+    for i, (parent, *_) in enumerate(elements):
+        inside[i] = i == region or (parent >= 0 and inside[parent])
+    return inside
+
+
 def extract(html: str | None) -> str:
     """Main text of one page."""
     if not html:
@@ -242,17 +300,9 @@ def extract(html: str | None) -> str:
     elements, lines = parser.elements, parser.lines
     if not lines:
         return ""
-    out = furniture(elements)
-    mass = [0] * len(elements)
-    for (e, text, _, links), is_content in zip(lines, content(lines, out)):
-        if is_content and not out[e]:
-            mass[e] += max(0, len(text) - links)
-    for i in range(len(elements) - 1, 0, -1):
-        mass[elements[i][0]] += mass[i]
-    region = region_of(elements, mass, out)
-    inside = [False] * len(elements)
-    for i, (parent, *_) in enumerate(elements):
-        inside[i] = i == region or (parent >= 0 and inside[parent])
+    out = furniture(elements, lines)
+    found = [(e, max(0, len(text) - links), ratio) for (e, text, _, links), ratio, is_content in zip(lines, *content(lines, out)) if is_content and not out[e]]
+    inside = _inside(elements, region_of(elements, found, out))
     return "\n".join(text for e, text, _, _ in lines if inside[e] and not out[e])
 
 
