@@ -27,8 +27,10 @@ import hashlib
 import math
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -171,11 +173,13 @@ def length_class(token: str) -> int:
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
     """(start, end, class, p) of the tokens outside base spans that fit an encoding."""
     found = []
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, _, e in base), max))  # base spans are sorted by start
     for m in TOKEN.finditer(text):
         encoding = infer_encoding(m[0])
         if encoding is None or len(m[0]) * math.log2(len(ENCODINGS[encoding])) < MIN_BITS:
             continue
-        if not any(s < m.end() and m.start() < e for s, _, e in base):
+        before = bisect_left(starts, m.end())
+        if not before or reach[before - 1] <= m.start():
             found.append((m.start(), m.end(), f"{encoding}:{length_class(m[0])}", randomness_p(m[0], encoding)))
     return found
 

@@ -99,3 +99,29 @@ def test_redact(spark):
     rows = [(1, "a password=abcdefgh b", 7), (2, None, 8), (3, "clean", 9), (3, "clean", 9)]
     df = spark.createDataFrame(rows, "doc_id long, text string, p long")
     assert sorted(map(tuple, secrets.redact(df).collect()), key=repr) == sorted([(1, "a [assign removed] b", 7), (2, None, 8), (3, "clean", 9), (3, "clean", 9)], key=repr)
+
+
+def test_spans_and_tokens_are_merged_in_linear_time():
+    import time
+
+    token = "q7Zp2LxV9sKd4TnB8wRm"
+    text = " ".join(f"password={token}{k} {token[::-1]}{k}" for k in range(5_000))
+    began = time.time()
+    base = secrets.base_spans(text)
+    found = [m for m in secrets.TOKEN.finditer(text)]
+    overlap = [c for c in secrets.candidates(text, base) if any(s < c[1] and c[0] < e for s, _, e in base[:50])]
+    assert len(base) == 5_000 and len(found) >= 10_000 and not overlap
+    assert time.time() - began < 30
+
+
+def test_candidates_lie_outside_base_spans():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(50):
+        parts = [rng.choice(["password=", "AKIA", "a1b2" * 9, "q7Zp2LxV9sKd4TnB8wRm", " ", "token: ", "x"]) for _ in range(60)]
+        text = "".join(parts)
+        base = secrets.base_spans(text)
+        got = [c[:2] for c in secrets.candidates(text, base)]
+        outside = [c[:2] for c in secrets.candidates(text, [])]
+        assert got == [(a, b) for a, b in outside if not any(s < b and a < e for s, _, e in base)]
