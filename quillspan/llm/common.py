@@ -11,6 +11,7 @@ import tempfile
 import time
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -66,16 +67,16 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-#: Checkpoint files of the operators that are running, innermost last.
-_SCOPES: list[list[str]] = []
+#: Checkpoint files of the operators that are running in this thread, innermost last.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared checkpoint folder; partitions and their order are then fixed."""
     prepare(df.sparkSession)
     cut = df.checkpoint(eager=True)
-    if _SCOPES:
-        _SCOPES[-1].append(_file_of(cut))
+    if scopes := _SCOPES.get():
+        scopes[-1].append(_file_of(cut))
     return cut
 
 
@@ -89,7 +90,7 @@ def release(*cuts: DataFrame | None) -> None:
     for cut in cuts:
         if cut is not None:
             path = _file_of(cut)
-            for scope in _SCOPES:
+            for scope in _SCOPES.get():
                 if path in scope:
                     scope.remove(path)
             remove_folder(cut.sparkSession, path)
@@ -105,7 +106,8 @@ def scratch(spark: SparkSession, collect: bool = True) -> Iterator[Callable[[Dat
     """
     files: list[str] = []
     kept: list[str] = []
-    _SCOPES.append(files)
+    outer = _SCOPES.get()
+    entered = _SCOPES.set((*outer, files))
 
     def keep(df: DataFrame) -> DataFrame:
         cut = durable(df)
@@ -115,12 +117,12 @@ def scratch(spark: SparkSession, collect: bool = True) -> Iterator[Callable[[Dat
     try:
         yield keep
     finally:
-        _SCOPES.remove(files)
+        _SCOPES.reset(entered)
         for path in files:
             if path not in kept:
                 remove_folder(spark, path)
-        if _SCOPES:
-            _SCOPES[-1].extend(kept)
+        if outer:
+            outer[-1].extend(kept)
         if collect:
             collect_garbage(spark)
 
