@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import html as H
 from ..functions import urls as U
@@ -14,8 +16,9 @@ from ..functions.text import fold
 from ..operators import crawl, index, search, zipf
 from ..sources import readers
 from ..sources.readers import table
+from ..sources.schemas import PAGES
 from ..sources.writers import results_json
-from ..streaming import ingest
+from ..streaming import ingest, recrawl
 from . import fixtures, sql
 from .query_language import rpn_text
 from .registry import ORACLES, QUERIES, register  # noqa: F401
@@ -86,15 +89,30 @@ def stem_vocabulary(spark, sf_dir):
     return index.vocabulary(letters)
 
 
-@register("stem_vectors", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}', '{s}')" for w, s in fixtures.STEM_VECTORS.items()) + ") v(word, stem, scalar)")
+_HEADS = f"SELECT DISTINCT left(translate(token, '{fixtures.LETTERS[0]}', '{fixtures.LETTERS[1]}'), 5) AS head FROM ({sql.TOKENS})"
+_FORMS = f"SELECT DISTINCT head || ending AS word FROM ({_HEADS}), (VALUES {', '.join(f'({sql.quoted(e)})' for e in fixtures.ENDINGS)}) e(ending)"
+
+
+@register("stem_vectors", f"SELECT token AS word, term AS stem, term AS scalar FROM ({sql.stems(f'SELECT word AS token FROM ({_FORMS})')})")
 def stem_vectors(spark, sf_dir):
-    words = spark.createDataFrame([(w, stem_word(w)) for w in fixtures.STEM_VECTORS], "word string, scalar string")
-    return with_stem(words, "word", "stem").select("word", "stem", "scalar")
+    """The documents' words, transliterated and put into Russian forms: stems by the columns and by the scalar twin."""
+    heads = index.tokens(_docs(spark, sf_dir)).select(F.substring(F.translate("token", *fixtures.LETTERS), 1, 5).alias("head")).distinct()
+    words = heads.select(F.explode(F.array(*[F.concat("head", F.lit(e)) for e in fixtures.ENDINGS])).alias("word")).distinct()
+
+    @F.pandas_udf("string")
+    def scalar(column: pd.Series) -> pd.Series:
+        return column.map(stem_word)
+
+    return with_stem(words, "word", "stem").withColumn("scalar", scalar("word"))
+
 
+_CAPITALS = f"SELECT DISTINCT upper(translate(token, '{fixtures.LETTERS[0]}', '{fixtures.LETTERS[1]}')) AS word FROM ({sql.TOKENS})"
 
-@register("fold_vectors", "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}', lower('{w}'))" for w, s in fixtures.FOLD_VECTORS.items() if w != "É") + ", ('É', 'É', 'É')) v(word, folded, cyrillic)")
+
+@register("fold_vectors", f"SELECT word, {sql.fold('word')} AS folded, {sql.fold('word', 'cyrillic')} AS cyrillic FROM ({_CAPITALS})")
 def fold_vectors(spark, sf_dir):
-    words = spark.createDataFrame([(w,) for w in fixtures.FOLD_VECTORS], "word string")
+    """The documents' words in Cyrillic capitals, folded in both modes."""
+    words = index.tokens(_docs(spark, sf_dir)).select(F.upper(F.translate("token", *fixtures.LETTERS)).alias("word")).distinct()
     return words.select("word", fold("word").alias("folded"), fold("word", "cyrillic").alias("cyrillic"))
 
 
@@ -135,6 +153,13 @@ def freq_of_freq(spark, sf_dir):
     return zipf.frequency_of_frequencies(term_freq(spark, sf_dir))
 
 
+@register("mandelbrot")
+def mandelbrot(spark, sf_dir):
+    """The Zipf-Mandelbrot law fitted to the documents' terms."""
+    fitted = zipf.mandelbrot(zipf.rank_classes(term_freq(spark, sf_dir)))
+    return spark.createDataFrame([(fitted.scale, fitted.shift, fitted.exponent, fitted.error)], "scale double, shift double, exponent double, error double")
+
+
 # Index
 
 
@@ -247,9 +272,20 @@ def total_docs(spark, sf_dir):
     return _searcher(spark, sf_dir).total_docs()
 
 
-@register("parse_rpn", "SELECT * FROM (VALUES " + ", ".join(f"({sql.quoted(q)}, {sql.quoted(r)})" for q, r in fixtures.RPN_VECTORS.items()) + ") v(query, rpn)")
+_FIRST = f"SELECT doc_id, max(token) FILTER (place = 0) AS a, max(token) FILTER (place = 1) AS b, max(token) FILTER (place = 2) AS c FROM ({sql.PLACED}) WHERE place < 3 GROUP BY doc_id HAVING count(*) = 3"
+
+
+@register("parse_rpn", " UNION ALL ".join(f"SELECT doc_id, {k} AS form, {rpn} AS rpn FROM ({_FIRST})" for k, (_, rpn) in enumerate(fixtures.FORMS)))
 def parse_rpn(spark, sf_dir):
-    return spark.createDataFrame([(q, rpn_text(q)) for q in fixtures.RPN_VECTORS], "query string, rpn string")
+    """Queries of several forms, malformed ones too, made of each document's first three tokens, in reverse Polish form."""
+    first = index.positioned_tokens(_docs(spark, sf_dir)).where("place < 3").groupBy("doc_id").agg(*[F.max(F.when(F.col("place") == k, F.col("token"))).alias(n) for k, n in enumerate("abc")])
+
+    @F.pandas_udf("string")
+    def rpn(queries: pd.Series) -> pd.Series:
+        return queries.map(rpn_text)
+
+    made = [F.struct(F.lit(k).alias("form"), F.format_string(form.format(a="%1$s", b="%2$s", c="%3$s"), "a", "b", "c").alias("query")) for k, (form, _) in enumerate(fixtures.FORMS)]
+    return first.where("c IS NOT NULL").select("doc_id", F.explode(F.array(*made)).alias("q")).select("doc_id", "q.form", rpn("q.query").alias("rpn"))
 
 
 # Search in Cyrillic: the documents transliterated, so that different tokens share a stem
@@ -297,10 +333,21 @@ def url_hash(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", U.url_hash("url").alias("url_hash"))
 
 
-@register("url_join", "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(sql.quoted, row)) + ")" for row in fixtures.LINKS) + ") v(page, href, url)")
+_LINKS = """SELECT page_id, h.href AS href, regexp_extract(url, '^([a-z]+):', 1) AS scheme, regexp_extract(url, '^[a-z]+://[^/?#]*') AS head, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path
+    FROM (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="/([^"]*)"', 1)) AS w FROM pages) p, LATERAL (SELECT unnest(['/' || w, w, '../' || w, '//h.example.org/' || w, '?q=' || w, 'https://h.example.org/' || w]) AS href) h"""
+
+
+@register(
+    "url_join",
+    f"""SELECT page_id, href, CASE WHEN href LIKE 'https:%' THEN href WHEN href LIKE '//%' THEN scheme || ':' || href WHEN href LIKE '/%' THEN head || href WHEN href LIKE '?%' THEN head || path || href
+    WHEN href LIKE '../%' THEN head || regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]+/$', '') || substr(href, 4) ELSE head || regexp_replace(path, '[^/]*$', '') || href END AS url FROM ({_LINKS})""",
+)
 def url_join(spark, sf_dir):
-    links = spark.createDataFrame([row[:2] for row in fixtures.LINKS], "page string, href string")
-    return links.select("page", "href", U.join_url("page", "href").alias("url"))
+    """Every link of the pages, in six ways to write one, as an absolute URL."""
+    words = _pages(spark, sf_dir).select("page_id", F.col("url").alias("page"), F.explode(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), 1)).alias("w"))
+    forms = F.array(*[F.concat(F.lit(before), "w") for before in ("/", "", "../", "//h.example.org/", "?q=", "https://h.example.org/")])
+    links = words.select("page_id", "page", F.explode(forms).alias("href"))
+    return links.select("page_id", "href", U.join_url("page", "href").alias("url"))
 
 
 _HASHED = f"SELECT page_id, url, md5({sql.normalize_url('url')}) AS url_hash FROM pages"
@@ -361,24 +408,39 @@ def page_article(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", H.page_article("html").alias("text"))
 
 
-@register("article_rules", "SELECT * FROM (VALUES " + ", ".join(f"({i}::BIGINT, {'NULL' if t is None else sql.quoted(t)})" for i, (_, _, t) in enumerate(fixtures.ARTICLES)) + ") v(id, text)")
-def article_rules(spark, sf_dir):
-    rows = spark.createDataFrame([(i, s, h) for i, (s, h, _) in enumerate(fixtures.ARTICLES)], "id long, source string, html string")
-    return rows.select("id", H.article_text("source", "html").alias("text"))
+_LINES = "SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r\\n\\f\\v\\x1c-\\x1f\\x85\\xa0]+|[ \\t\\r\\n\\f\\v\\x1c-\\x1f\\x85\\xa0]+$', '', 'g')), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL"
 
 
-_LINES = "SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^[ \\t\\r\\n\\f\\v\\x1c-\\x1f\\x85\\xa0]+|[ \\t\\r\\n\\f\\v\\x1c-\\x1f\\x85\\xa0]+$', '', 'g')), lambda x: x <> '') AS t FROM documents WHERE NOT regexp_matches(text, '[<>&]')"
+def _escaped(spark, sf_dir, before: str, after: str):
+    """(doc_id, body): the lines of each document as mark-up between two tags."""
+    text = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return _docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", F.concat(F.lit(before), F.replace(text, F.lit("\n"), F.lit(after + before)), F.lit(after)).alias("body"))
 
 
 @register("article_documents", f"SELECT doc_id, 'x' || chr(10) || array_to_string(t, chr(10)) AS text FROM ({_LINES}) WHERE len(t) > 0")
 def article_documents(spark, sf_dir):
-    """Documents without mark-up characters, put into the first source's layout and extracted again."""
-    docs = _docs(spark, sf_dir).where(~F.col("text").rlike("[<>&]"))
-    body = F.concat(F.lit("<h1 class='news-page__title'>x</h1><div class='news-page__text'><p>"), F.replace("text", F.lit("\n"), F.lit("</p><p>")), F.lit("</p></div>"))
-    made = docs.select("doc_id", H.article_text(F.lit("consultant"), body).alias("text"))
+    """The documents put into the first source's layout and extracted again."""
+    body = F.concat(F.lit("<h1 class='news-page__title'>x</h1><div class='news-page__text'>"), "body", F.lit("</div>"))
+    made = _escaped(spark, sf_dir, "<p>", "</p>").select("doc_id", H.article_text(F.lit("consultant"), body).alias("text"))
     return made.where(F.col("text") != "x")
 
 
+@register(
+    "article_rules",
+    f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'T' || chr(10) || array_to_string(t || ['x', ''], chr(10)) WHEN 1 THEN 'U' || CASE WHEN len(t) > 0 THEN chr(10) ELSE '' END || array_to_string(t, chr(10))
+    WHEN 2 THEN '' || CASE WHEN len(t) > 0 THEN chr(10) ELSE '' END || array_to_string(t, chr(10)) END AS text FROM ({_LINES})""",
+)
+def article_rules(spark, sf_dir):
+    """The documents in the layouts of both sources - with lists, nested blocks and excluded parts, without title, or of no known source - extracted by each source's rules."""
+    kind = F.col("doc_id") % 4
+    source = F.when(kind == 0, "consultant").when(kind == 1, "business_ru").when(kind == 2, "consultant").otherwise("elsewhere")
+    first = F.concat(F.lit("<h1 class='news-page__title'>T</h1><div class='news-page__text'>"), "body", F.lit("<p> </p><ul><li>x</li><li></li></ul><div><p>deep</p></div></div>"))
+    second = F.concat(F.lit("<h1 class='page__title'>U</h1><div class='contentSchema' itemprop='articleBody'><noindex><p>ad</p></noindex><div>"), "body", F.lit("</div></div>"))
+    bare = F.concat(F.lit("<div class='news-page__text'>"), "body", F.lit("</div>"))
+    made = F.when(kind == 0, first).when(kind == 1, second).otherwise(bare)
+    return _escaped(spark, sf_dir, "<p>", "</p>").select("doc_id", H.article_text(source, made).alias("text"))
+
+
 @register("stream_ingest", f"SELECT url_hash, min(page_id) AS page_id FROM ({_HASHED}) GROUP BY url_hash")
 def stream_ingest(spark, sf_dir):
     """The pages landed as files, ingested by a stream, twice: the second run adds nothing."""
@@ -389,6 +451,43 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{home}/store").select("url_hash", "page_id")
 
 
+@register(
+    "ingest_counters",
+    f"""WITH h AS ({_HASHED}), f AS (SELECT count(*) AS n, count(DISTINCT url_hash) AS d FROM h)
+    SELECT n AS seen, n - d AS repeated, 0::BIGINT AS known, d AS added FROM f UNION ALL SELECT n, n - d, d, 0 FROM f""",
+)
+def ingest_counters(spark, sf_dir):
+    """What a stream counted while it wrote the pages into a store, and when the same came again from the start."""
+    home = f"{readers.shared_folder(spark)}/counted-{uuid.uuid4().hex}"
+    _pages(spark, sf_dir).coalesce(1).write.parquet(f"{home}/landing")
+    counted: list[dict] = []
+    for run in range(2):
+        ingest.start_ingest(spark, f"{home}/landing", f"{home}/store", f"{home}/progress-{run}", counted=counted).awaitTermination()
+    readers.remove_folder(spark, home)
+    return spark.createDataFrame([(c["seen"], c["repeated"], c["known"], c["added"]) for c in counted], "seen long, repeated long, known long, added long")
+
+
+_LAST = f"SELECT url_hash, max(page_id) AS page_id FROM ({_HASHED}) GROUP BY url_hash"
+
+
+@register(
+    "recrawl_pages",
+    f"""SELECT l.url_hash, page_id, CASE WHEN page_id % 3 = 0 THEN 2 ELSE 1 END AS version, sha256(html || CASE WHEN page_id % 3 = 0 THEN '<!-- changed -->' ELSE '' END) AS content
+    FROM ({_LAST}) l JOIN pages USING (page_id)""",
+)
+def recrawl_pages(spark, sf_dir):
+    """Two crawls of the pages, every third one changed between them, as a stream of files into a store of versions; then all files once more, one by one, from a lost checkpoint."""
+    home = f"{readers.shared_folder(spark)}/recrawl-{uuid.uuid4().hex}"
+    schema = T.StructType([*PAGES.fields, T.StructField("crawled_at", T.LongType())])
+    run = lambda progress, files=None: recrawl.start_recrawl(spark, f"{home}/landing", f"{home}/store", f"{home}/{progress}", schema, ("page_id",), files).awaitTermination()
+    pages = _pages(spark, sf_dir).select("page_id", "url", "html")
+    for crawl_, html in ((1, F.col("html")), (2, F.concat("html", F.when(F.col("page_id") % 3 == 0, "<!-- changed -->").otherwise("")))):
+        pages.select("page_id", "url", html.alias("html"), F.lit(crawl_).cast("long").alias("crawled_at")).write.mode("append").parquet(f"{home}/landing")
+        run("progress")
+    run("lost", 1)
+    return recrawl.PageStore(spark, f"{home}/store", schema, ("page_id",)).current().select("url_hash", "page_id", "version", F.lower(F.hex("content_hash")).alias("content"))
+
+
 @register("export_kept_skipped", f"SELECT count(*) FILTER (t <> '') AS kept, count(*) FILTER (t IS NULL OR t = '') AS skipped FROM (SELECT {sql.page_article('html')} AS t FROM pages)")
 def export_kept_skipped(spark, sf_dir):
     return crawl.export_corpus(_pages(spark, sf_dir), H.page_article("html"))[1]

@@ -1,4 +1,4 @@
-"""Fixed inputs of queries that the driver's tables cannot exercise."""
+"""Fixed values of queries and tests."""
 
 from __future__ import annotations
 
@@ -44,6 +44,22 @@ BATCH_SQL = {
 
 LETTERS = ("abcdefghijklmnopqrstuvwxyzäöüéèêçóñáíß", "абцдефгхийклмнопярстувьыжэаоуеиёчыюяъш")
 
+#: Endings that put a word into Russian forms.
+ENDINGS = ("", "а", "ями", "ого", "ейший", "ившись", "ала", "ующий", "ость", "ейте", "и", "енный")
+
+#: Queries of three tokens, and their reverse Polish form in SQL.
+FORMS = [
+    ("({a} || {b}) && !{c}", "a || ' ' || b || ' || ' || c || ' ! &&'"),
+    ("  {a}  {b} !{c}", "a || ' ' || b || ' && ' || c || ' ! &&'"),
+    ("{a} || {b} && {c}", "a || ' ' || b || ' ' || c || ' && ||'"),
+    ("!!{a}", "'! ' || a || ' !'"),
+    ("({a}) !{b}", "a || ' ' || b || ' !'"),
+    ("({a} && {b}", "a || ' ' || b || ' && ('"),
+    ("{c} && ({a} || {b}", "c || ' ' || a || ' ' || b || ' || ( &&'"),
+    ("{a} && {b})", "a || ' ' || b || ' &&'"),
+    ("{a} &&& {b}", "a || ' && ' || b || ' &&'"),
+]
+
 #: (source, html, expected text or None) for the selector extractors.
 ARTICLES = [
     (

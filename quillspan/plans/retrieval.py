@@ -14,7 +14,7 @@ from ..operators.segments import SegmentIndex
 from ..sources import readers
 from ..sources.readers import table
 from ..sources.writers import results_json
-from . import fixtures, sql
+from . import catalog, fixtures, sql  # noqa: F401  (the catalogue registers the SQL that is shared here)
 from .registry import ORACLES, register
 
 NESTED = "(the || der) && !and"

@@ -47,19 +47,18 @@ def numbered_documents(files: DataFrame) -> DataFrame:
 
 
 def frequency_csv(spark: SparkSession, path: str) -> DataFrame:
-    """word, frequency from a CSV with header; bytes that are not UTF-8 become replacement characters.
+    """word, frequency from a CSV with header, in UTF-8.
 
-    A file that cannot be read so is read as windows-1251. No row is dropped: what is not a number is null.
+    Where a word is not UTF-8 - it then holds a replacement character - all is read as windows-1251. No row is dropped: what is not a number is null.
     """
-    from pyspark.errors import PySparkException
-
     read = lambda encoding: spark.read.csv(path, header=True, schema=FREQUENCIES, mode="PERMISSIVE", encoding=encoding)
-    try:
-        frequencies = read("UTF-8")
-        frequencies.first()
+    frequencies = read("UTF-8")
+    broken = frequencies.where(F.contains("word", F.lit("\ufffd"))).limit(1).count()
+    if not broken:
         return frequencies
-    except PySparkException:
-        return read("windows-1251")
+    # Every byte is a character of Latin-1, whose upper half then stands for the same bytes of windows-1251.
+    upper = bytes(range(0x80, 0x100))
+    return read("ISO-8859-1").withColumn("word", F.translate("word", upper.decode("latin-1"), upper.decode("cp1251", "replace")))
 
 
 _HOMES: dict[str, str] = {}

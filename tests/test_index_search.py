@@ -72,6 +72,35 @@ def test_files(spark, tmp_path):
     freq = spark.createDataFrame([("дом", 3), ("a", 1)], "word string, frequency long")
     writers.write_frequencies(freq, str(tmp_path / "csv"))
     assert sorted(tuple(r) for r in readers.frequency_csv(spark, str(tmp_path / "csv")).collect()) == [("a", 1), ("дом", 3)]
+    (tmp_path / "old.csv").write_bytes("word,frequency\nдом,3\na,1\n".encode("cp1251"))
+    assert sorted(tuple(r) for r in readers.frequency_csv(spark, str(tmp_path / "old.csv")).collect()) == [("a", 1), ("дом", 3)]
     assert readers.query_lines(["a\n", "\n", "b", "exit", "c"]) == ["a", "b"]
     (tmp_path / "c.json").write_text(json.dumps({"db": {"host": "h"}, "sources": [{"name": "s", "max_pages": 2, "other": 1}]}))
     assert readers.read_config(str(tmp_path / "c.json")).sources[0].max_pages == 2
+
+
+def test_stored_index_follows_the_table(spark, tmp_path):
+    from quillspan.plans import retrieval
+
+    put = lambda rows: spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(str(tmp_path / "documents.parquet"))
+    ask = lambda: sorted(r[0] for r in retrieval.index_lookup(spark, str(tmp_path)).collect())
+    put([(1, "the one"), (2, "the two"), (3, "none")])
+    assert ask() == [1, 2] == ask()
+    put([(2, "two"), (3, "the three"), (5, "the five")])
+    assert ask() == [3, 5]
+    assert sorted(tuple(r) for r in retrieval.index_forward(spark, str(tmp_path)).collect()) == [(2, "two"), (3, "the three"), (5, "the five")]
+
+
+def test_small_tables_are_dealt_out_by_row_groups(spark, tmp_path):
+    from quillspan.functions import text
+
+    path = str(tmp_path / "t")
+    words = "".join(chr(97 + k * 7 % 26) + " " * (k % 5 == 0) for k in range(4000))
+    spark.createDataFrame([(k, f"{k} {words}") for k in range(1500)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    one = spark.read.parquet(path)
+    assert text._row_groups(one)[0] == 1
+    dealt = text.spread(one)
+    assert dealt.count() == 1500
+    sizes = dealt.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len([n for n in sizes if n]) == min(spark.sparkContext.defaultParallelism, text._row_groups(one)[1] // text.TASK_BYTES)
+    assert text._row_groups(spark.range(5)) is None
