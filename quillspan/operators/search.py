@@ -9,12 +9,13 @@ documents without terms count. The set plan evaluates operator by operator with
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.stemmer import stem_word
 from ..functions.text import fold_word
 from ..plans.query_language import evaluate, terms_of, to_rpn
-from .index import postings_for, titles
+from .index import ID_BLOCK, postings_for, titles
 
 
 def normalize_term(term: str, mode: str = "reference") -> str:
@@ -114,6 +115,24 @@ def page(hits: DataFrame, number: int, size: int = 20) -> DataFrame:
     return hits.orderBy("doc_id").offset(size * number).limit(size)
 
 
+def page_after(hits: DataFrame, last_id: int | None, size: int = 20) -> DataFrame:
+    """The page that follows the one whose last id is ``last_id`` (None: the first), however deep: no task gets more than ``size`` rows of others."""
+    later = hits if last_id is None else hits.where(F.col("doc_id") > last_id)
+    return later.orderBy("doc_id").limit(size)
+
+
+def numbered(hits: DataFrame, width: int = ID_BLOCK) -> DataFrame:
+    """Hits with ``place``, their number from 0 in ascending id.
+
+    No task sees all hits: they are numbered within blocks of ``width`` ids, and the hits of earlier blocks come from a table with one row for each block.
+    """
+    blocks = hits.withColumn("_block", F.floor(F.col("doc_id") / F.lit(width)))
+    before = W.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    counts = blocks.groupBy("_block").agg(F.count("*").alias("n")).select("_block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(W.partitionBy("_block").orderBy("doc_id")) - 1
+    return blocks.withColumn("_own", own).join(counts, "_block").withColumn("place", (F.col("_before") + F.col("_own")).cast("long")).drop("_block", "_own", "_before")
+
+
 def page_count(hits: DataFrame, size: int = 20) -> DataFrame:
     return hits.agg(F.count("*").alias("n_hits"), F.ceil(F.count("*") / size).cast("long").alias("n_pages"))
 

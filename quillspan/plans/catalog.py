@@ -18,7 +18,7 @@ from ..sources import readers
 from ..sources.readers import table
 from ..sources.schemas import PAGES
 from ..sources.writers import results_json
-from ..streaming import ingest, recrawl
+from ..streaming import crawl_loop, ingest, recrawl
 from . import fixtures, sql
 from .query_language import rpn_text
 from .registry import ORACLES, QUERIES, register  # noqa: F401
@@ -451,6 +451,29 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{home}/store").select("url_hash", "page_id")
 
 
+_ANSWERED = f"status = 200 AND NOT {sql.blocked('status', 'html')}"
+
+
+@register("crawl_pages", f"SELECT DISTINCT md5({sql.normalize_url('l.url')}) AS url_hash, 'site' AS source_name FROM ({_LOG}) g JOIN pages l USING (page_id) WHERE {_ANSWERED.replace('html', 'g.html')}")
+def crawl_pages(spark, sf_dir):
+    """The pages crawled through listings of 250 links each, twice: statuses follow from the URLs, block pages are asked for again, the second run finds nothing new."""
+    home = f"{readers.shared_folder(spark)}/crawl-{uuid.uuid4().hex}"
+    pages = _pages(spark, sf_dir)
+    log = _log(spark, sf_dir).join(pages.select("page_id", "url"), "page_id").select("url", "status", "html")
+    number = F.floor(F.col("page_id") / 250)
+    address = lambda k: F.concat(F.lit("https://site.example.org/list/"), k.cast("string"))
+    link = F.concat(F.lit("<a class='item' href='"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("'>x</a>"))
+    lists = pages.groupBy(number.alias("k")).agg(F.array_join(F.sort_array(F.collect_list(link)), "\n").alias("links"))
+    listing = F.concat("links", F.lit("<a class='next' href='"), address(F.col("k") + 1), F.lit("'>next</a>"))
+    log.unionAll(lists.select(address(F.col("k")), F.lit(200), listing)).write.parquet(f"{home}/web")
+    web = spark.read.parquet(f"{home}/web")
+    source = readers.CrawlSource("site", "https://site.example.org/list/0", "a.item", "a.next", 1 << 30)
+    fetch = lambda urls: urls.join(web, "url")
+    for run in range(2):
+        crawl_loop.crawl_source(spark, source, fetch, f"{home}/store", run, pause=lambda seconds: None)
+    return spark.read.parquet(f"{home}/store").select("url_hash", "source_name")
+
+
 @register(
     "ingest_counters",
     f"""WITH h AS ({_HASHED}), f AS (SELECT count(*) AS n, count(DISTINCT url_hash) AS d FROM h)

@@ -13,7 +13,7 @@ from ..operators.ranking import Ranker
 from ..operators.segments import SegmentIndex
 from ..sources import readers
 from ..sources.readers import table
-from ..sources.writers import results_json
+from ..sources.writers import results_json, results_pages
 from . import catalog, fixtures, sql  # noqa: F401  (the catalogue registers the SQL that is shared here)
 from .registry import ORACLES, register
 
@@ -84,6 +84,20 @@ def index_search_batch(spark, sf_dir):
     return _searcher(spark, sf_dir).search_batch(fixtures.BATCH)
 
 
+_NESTED = f"(doc_id IN {sql.docs_with('the')} OR doc_id IN {sql.docs_with('der')}) AND doc_id NOT IN {sql.docs_with('and')}"
+
+
+@register(
+    "index_search_pages",
+    _P + f"""SELECT page, '{{"count":' || count(*) || ',"results":[' || string_agg('{{"id":' || doc_id || ',"title":' || to_json(title) || '}}', ',' ORDER BY doc_id) || ']}}' AS json
+    FROM (SELECT doc_id, {sql.TITLE} AS title, (row_number() OVER (ORDER BY doc_id) - 1) // 20 AS page FROM documents WHERE {_NESTED}) GROUP BY page""",
+)
+def index_search_pages(spark, sf_dir):
+    """All hits as one JSON object for each page of twenty."""
+    s = _searcher(spark, sf_dir)
+    return results_pages(search.numbered(s.with_titles(s.search(NESTED))))
+
+
 # Upkeep
 
 
@@ -213,9 +227,6 @@ def fuzzy_terms(spark, sf_dir):
 # Facets and highlighting
 
 
-_NESTED = f"(doc_id IN {sql.docs_with('the')} OR doc_id IN {sql.docs_with('der')}) AND doc_id NOT IN {sql.docs_with('and')}"
-
-
 @register(
     "search_facets",
     _P + f"""SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(lang) = 0 THEN 'lang' ELSE 'all' END AS facet, coalesce(source, lang) AS value, count(*) AS n_hits

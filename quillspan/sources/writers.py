@@ -35,6 +35,13 @@ def results_json(hits: DataFrame) -> DataFrame:
     return hits.agg(F.to_json(F.struct(F.count("*").alias("count"), listed.alias("results"))).alias("json"))
 
 
+def results_pages(placed: DataFrame, size: int = 20) -> DataFrame:
+    """(page, json) for hits with title and ``place``: pages from 0, each with its number of hits and these in ascending id."""
+    listed = F.sort_array(F.collect_list(F.struct(F.col("doc_id").alias("id"), F.coalesce("title", F.lit("")).alias("title"))))
+    page = F.floor(F.col("place") / size).cast("long").alias("page")
+    return placed.groupBy(page).agg(F.to_json(F.struct(F.count("*").alias("count"), listed.alias("results"))).alias("json"))
+
+
 def error_json(error: Exception) -> str:
     return json.dumps({"error": str(error)}, ensure_ascii=False)
 
