@@ -9,29 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-
-#: Characters of a term that tell apart the tasks that number terms of one frequency.
-SALT = 4
-
+from ..sources.readers import checkpointed
 
 def ranked(frequencies: DataFrame) -> DataFrame:
     """(term, frequency, rank): ranks from 1 by falling frequency, ties by term.
 
-    No single-task window: terms of one frequency get their place among each other, and the
-    number of terms above comes from a table of frequencies, whose rows are far fewer than the terms.
+    Terms are laid out in ranges of (frequency, term), which spreads those of one frequency as far as their letters tell them apart,
+    and that layout is checkpointed: a rank is the place in a partition after the terms of all partitions before, of which there is one row each.
     """
-    by_frequency = frequencies.groupBy("frequency").agg(F.count("*").alias("n"))
-    above = W.orderBy(F.desc("frequency")).rowsBetween(W.unboundedPreceding, -1)
-    before = by_frequency.select("frequency", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("before"))
-    # Salted places: rank within (frequency, first characters), plus the terms of that frequency with smaller ones.
-    salt = F.encode(F.substring("term", 1, SALT), "UTF-8")
-    salted = frequencies.withColumn("salt", salt)
-    cells = salted.groupBy("frequency", "salt").agg(F.count("*").alias("m"))
-    earlier = W.partitionBy("frequency").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)
-    cells = cells.select("frequency", "salt", F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("skipped"))
-    own = F.row_number().over(W.partitionBy("frequency", "salt").orderBy("term"))
-    placed = salted.withColumn("own", own).join(cells, ["frequency", "salt"]).join(before, "frequency")
-    return placed.select("term", "frequency", (F.col("before") + F.col("skipped") + F.col("own")).cast("long").alias("rank"))
+    order = F.desc("frequency"), F.asc("term")
+    laid = checkpointed(frequencies.select("term", "frequency").repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = laid.withColumns({"part": F.spark_partition_id(), "own": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts = laid.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    # One row for each partition.
+    return placed.join(F.broadcast(counts), "part").select("term", "frequency", (F.col("before") + F.col("own") + 1).cast("long").alias("rank"))
 
 
 def with_expected(ranks: DataFrame) -> DataFrame:

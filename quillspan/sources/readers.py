@@ -76,6 +76,14 @@ def shared_folder(spark: SparkSession) -> str:
     return home
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage in the shared folder; partitions and the order of their rows are fixed from then on."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Names, sizes and times of the files of a table; it changes when the table is rewritten. Only the listing is read."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
