@@ -17,7 +17,7 @@ from ..operators import crawl, index, search, zipf
 from ..sources import readers
 from ..sources.readers import table
 from ..sources.schemas import PAGES
-from ..sources.writers import results_json
+from ..sources.writers import corpus_report, results_json, write_corpus, write_frequencies
 from ..streaming import crawl_loop, ingest, recrawl
 from . import fixtures, sql
 from .query_language import rpn_text
@@ -398,6 +398,16 @@ def crawl_counters(spark, sf_dir):
     return crawl.crawl_counters(_log(spark, sf_dir))
 
 
+@register(
+    "crawl_page_counters",
+    f"""SELECT page_id // 25 AS listing, count(*) AS seen, count(*) FILTER (known) AS skipped, count(*) FILTER (NOT known AND status = 200 AND NOT {_BAD}) AS downloaded,
+    count(*) FILTER (NOT known AND {_BAD}) AS blocked, count(*) FILTER (NOT known AND status <> 200 AND NOT {_BAD}) AS errors FROM ({_LOG}) GROUP BY listing""",
+)
+def crawl_page_counters(spark, sf_dir):
+    """The counters of a fetch log by listing page of 25 links."""
+    return crawl.crawl_counters(_log(spark, sf_dir).withColumn("listing", F.floor(F.col("page_id") / 25)), ["listing"])
+
+
 @register("clean_html", f"SELECT page_id, {sql.clean_html('html')} AS text FROM pages")
 def clean_html(spark, sf_dir):
     return _pages(spark, sf_dir).select("page_id", H.clean_html("html").alias("text"))
@@ -516,6 +526,22 @@ def export_kept_skipped(spark, sf_dir):
     return crawl.export_corpus(_pages(spark, sf_dir), H.page_article("html"))[1]
 
 
+@register("export_corpus", f"SELECT page_id, text FROM (SELECT page_id, {sql.page_article('html')} AS text FROM pages) WHERE text <> ''")
+def export_corpus(spark, sf_dir):
+    """The articles of all pages written as a corpus and read back."""
+    home = f"{readers.shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    write_corpus(crawl.export_corpus(_pages(spark, sf_dir), H.page_article("html"))[0].select("page_id", "text"), home)
+    return spark.read.parquet(home)
+
+
+@register("frequency_file", f"SELECT term AS word, frequency FROM ({sql.FREQUENCIES})")
+def frequency_file(spark, sf_dir):
+    """Term frequencies written as CSV and read back."""
+    home = f"{readers.shared_folder(spark)}/frequencies-{uuid.uuid4().hex}"
+    write_frequencies(term_freq(spark, sf_dir).withColumnRenamed("term", "word"), home)
+    return readers.frequency_csv(spark, home)
+
+
 @register(
     "corpus_stats",
     f"""SELECT count(*) AS docs, count(*) FILTER (contains(s, '/en/')) AS docs_a, count(*) FILTER (NOT contains(s, '/en/')) AS docs_b,
@@ -526,6 +552,19 @@ def corpus_stats(spark, sf_dir):
     return crawl.corpus_stats(_pages(spark, sf_dir), "url", "html", "/en/")
 
 
+_SIZES = f"SELECT count(*) AS docs, count(*) FILTER (contains(url, '/en/')) AS a, sum(strlen(html))::DOUBLE AS raw, sum(strlen({sql.clean_html('html')}))::DOUBLE AS txt FROM pages"
+
+
+@register(
+    "corpus_report",
+    f"""SELECT unnest(['Documents: ' || docs || ' (' || a || ' / ' || (docs - a) || ')', printf('Raw size: %.2f MB, mean %.2f KB', raw / 1048576, raw / docs / 1024),
+    printf('Text size: %.2f MB, mean %.2f KB', txt / 1048576, txt / docs / 1024), printf('Text share: %.2f %%', 100 * txt / raw)]) AS line FROM ({_SIZES})""",
+)
+def corpus_report_(spark, sf_dir):
+    """The readable report of the pages, line by line."""
+    return spark.createDataFrame([(line,) for line in corpus_report(corpus_stats(spark, sf_dir)).split("\n")], "line string")
+
+
 @register("source_examples", "SELECT source, min(doc_id) AS doc_id, left(arg_min(text, doc_id), 1000) AS example FROM documents GROUP BY source")
 def source_examples(spark, sf_dir):
     return crawl.source_examples(table(spark, sf_dir, "documents", "doc_id", "source", "text"), "source", "doc_id", "text")
