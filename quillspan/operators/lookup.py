@@ -2,7 +2,8 @@
 
 All atoms of a query are answered from one scan of postings: patterns and fuzzy terms become lists of
 terms by the dictionary first, the scan reads the rows of all terms that any atom names, one aggregation by document
-makes a flag for each atom, and the query is one boolean column over flags, applied to all live documents. Places are read only
+makes a flag for each atom, and the query is one boolean column over flags. It is applied to all live documents only if one without
+any of the terms can be a hit. Places are read only
 if the query has a phrase, the title flag only if it has a title atom.
 """
 
@@ -15,7 +16,7 @@ from ..plans.query_language import Atom, atom, evaluate, terms_of, to_rpn
 from . import dictionary
 from .positions import best_window, has_near, has_phrase
 from .ranking import query_words
-from .search import normalize_term
+from .search import matches_nothing, normalize_term
 from .segments import SegmentIndex
 
 #: Terms up to which a pattern's terms are a list in the plan; more are joined.
@@ -41,9 +42,8 @@ class IndexSearcher:
             atoms[value] = a
         return rpn, atoms
 
-    def flags(self, atoms: list[Atom]) -> DataFrame:
-        """Every live document with one boolean column per atom, f0, f1, ..."""
-        universe = self.index.docs().select("doc_id")
+    def flags(self, atoms: list[Atom], whole: bool = True) -> DataFrame:
+        """Every live document with one boolean column per atom, f0, f1, ...; unless ``whole``, only those with one of the atoms' terms."""
         plain = sorted({w for a in atoms if a.kind in ("term", "title", "phrase", "near") for w in a.words})
         placed = sorted({w for a in atoms if a.kind in ("phrase", "near") for w in a.words})
         titled = any(a.kind == "title" for a in atoms)
@@ -86,7 +86,7 @@ class IndexSearcher:
                 grouped = grouped.withColumn(f"f{k}", has_phrase(F.col("at"), a.words))
             elif a.kind == "near":
                 grouped = grouped.withColumn(f"f{k}", has_near(F.col("at"), a.words, a.slack))
-        both = universe.join(grouped, "doc_id", "left")
+        both = self.index.docs().select("doc_id").join(grouped, "doc_id", "left") if whole else grouped
         return both.select("doc_id", *[F.coalesce(f"f{k}", F.lit(False)).alias(f"f{k}") for k in range(len(atoms))])
 
     def search_batch(self, queries: dict[int, str], strict: bool = False) -> DataFrame:
@@ -98,7 +98,7 @@ class IndexSearcher:
             F.when(evaluate(rpn, lambda v, atoms=atoms: column[atoms[v]], lambda a, b: a & b, lambda a, b: a | b, lambda a: ~a, F.lit(False)), F.lit(q).cast("long"))
             for q, (rpn, atoms) in read.items()
         ]
-        return self.flags(distinct).select(F.explode(F.array_compact(F.array(*met))).alias("query_id"), "doc_id")
+        return self.flags(distinct, matches_nothing(queries.values(), strict, extended=True)).select(F.explode(F.array_compact(F.array(*met))).alias("query_id"), "doc_id")
 
     def search(self, query: str, strict: bool = False) -> DataFrame:
         """doc_id of the hits."""

@@ -80,8 +80,8 @@ class Ranker:
         rows = self._blocks().select("segment", "term", "block", "max_tf", "min_length").join(F.broadcast(asked), "term")
         return rows.groupBy("query_id", "segment", "block").agg(F.sum(most).alias("bound"))
 
-    def scores(self, asked: DataFrame, units: DataFrame) -> DataFrame:
-        """(query_id, doc_id, score) of the live documents in some blocks (segment, block).
+    def scores(self, asked: DataFrame, units: DataFrame, within: DataFrame | None = None) -> DataFrame:
+        """(query_id, doc_id, score) of the live documents in some blocks (segment, block), or of those ``within`` a table of ids.
 
         Where the blocks are few, their numbers are a filter of the scan; otherwise they are joined.
         """
@@ -92,31 +92,37 @@ class Ranker:
             known = F.broadcast(self.index.spark.createDataFrame([tuple(r) for r in rows], "segment string, block long"))
             blocks = blocks.where(F.col("block").isin([r["block"] for r in rows]))
         wanted = blocks.join(known, ["segment", "block"], "left_semi")
-        found = self.index.matches(wanted, "tf", "length").join(F.broadcast(asked), "term")
+        found = self.index.matches(wanted, "tf", "length")
+        if within is not None:
+            found = found.join(within.select("doc_id"), "doc_id", "left_semi")
+        found = found.join(F.broadcast(asked), "term")
         return found.groupBy("query_id", "doc_id").agg(F.sum(contribution(F.col("weight"), F.col("tf"), F.col("length"), self.mean)).alias("score"))
 
-    def survivors(self, asked: DataFrame, k: int) -> DataFrame:
+    def survivors(self, asked: DataFrame, k: int, within: DataFrame | None = None) -> DataFrame:
         """(query_id, segment, block, bound) of the blocks that can hold one of the k best."""
         bounds = self.bounds(asked)
         order = W.partitionBy("query_id").orderBy(F.desc("bound"), "segment", "block")
         seeds = bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") <= SEEDS).select("query_id", "segment", "block")
         best = W.partitionBy("query_id").orderBy(F.desc("score"))
-        scored = self.scores(asked, seeds)
+        scored = self.scores(asked, seeds, within)
         least = scored.withColumn("r", F.row_number().over(best)).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
         # One row for each query; the plan below does not repeat the work for it.
         known = self.index.spark.createDataFrame([tuple(r) for r in least.collect()], "query_id long, least long")
         return bounds.join(F.broadcast(known), "query_id", "left").where(F.col("bound") >= F.coalesce("least", F.lit(1))).drop("least")
 
-    def search_batch(self, queries: dict[int, str], k: int = 10) -> DataFrame:
-        """(query_id, rank, doc_id, score): the k best documents of every query, equal scores by id."""
+    def search_batch(self, queries: dict[int, str], k: int = 10, within: DataFrame | None = None) -> DataFrame:
+        """(query_id, rank, doc_id, score): the k best documents of every query, equal scores by id.
+
+        ``within`` (doc_id) restricts them, say to the hits of a boolean query; weights stay those of the whole corpus.
+        """
         asked = self.query_terms(queries)
         if asked is None:
             return self.index.spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
-        scored = self.scores(asked, self.survivors(asked, k))
+        scored = self.scores(asked, self.survivors(asked, k, within), within)
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
         ranked = scored.where(F.col("score") > 0).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return ranked.select("query_id", "rank", "doc_id", (F.col("score") / UNIT).alias("score"))
 
-    def search(self, query: str, k: int = 10) -> DataFrame:
+    def search(self, query: str, k: int = 10, within: DataFrame | None = None) -> DataFrame:
         """(rank, doc_id, score) of one query."""
-        return self.search_batch({0: query}, k).drop("query_id")
+        return self.search_batch({0: query}, k, within).drop("query_id")

@@ -3,11 +3,14 @@
 The preferred plan reads the postings of all terms once, turns them into one flag per term and
 document, and applies the query as a boolean column to the document universe: one scan of postings,
 one aggregation, one join, however deep the query nests. NOT is the complement in the universe, so
-documents without terms count. The set plan evaluates operator by operator with semi and anti joins.
+documents without terms count; where no document without the query's terms can be a hit, which the query itself tells,
+there is no join and only the postings are read. The set plan evaluates operator by operator with semi and anti joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,6 +26,11 @@ def normalize_term(term: str, mode: str = "reference") -> str:
     return stem_word(fold_word(term, mode))
 
 
+def matches_nothing(queries: Iterable[str], strict: bool = False, extended: bool = False) -> bool:
+    """Whether one of the queries is met by a document that has none of its terms, as by a NOT alone."""
+    return any(evaluate(to_rpn(q, strict, extended), lambda _: False, lambda a, b: a and b, lambda a, b: a or b, lambda a: not a, False) for q in queries)
+
+
 class Searcher:
     """Search over stored postings, or over texts when there is no index yet."""
 
@@ -36,8 +44,14 @@ class Searcher:
             return postings_for(self.docs, terms, self.mode)
         return self.postings.where(F.col("term").isin(terms)).select("term", "doc_id")
 
-    def flags(self, terms: list[str], *keep: str) -> DataFrame:
-        """Every document with one boolean column per term, f0, f1, ..., and the columns ``keep`` of its row."""
+    def flags(self, terms: list[str], *keep: str, whole: bool = True) -> DataFrame:
+        """Every document with one boolean column per term, f0, f1, ..., and the columns ``keep`` of its row.
+
+        Unless ``whole``, documents without any of the terms are left out, and the document table is not read.
+        """
+        if not whole:
+            found = self.lookup(terms).groupBy("doc_id").agg(*[F.max(F.col("term") == t).alias(f"f{k}") for k, t in enumerate(terms)])
+            return found.select("doc_id", *[f"f{k}" for k in range(len(terms))])
         universe = self.docs.select("doc_id", *keep) if keep else self.docs.select("doc_id").distinct()
         found = self.lookup(terms).groupBy("doc_id").agg(*[F.max(F.col("term") == t).alias(f"f{k}") for k, t in enumerate(terms)], F.lit(1).alias("any"))
         both = universe.join(found, "doc_id", "left")
@@ -55,7 +69,7 @@ class Searcher:
         """doc_id of the hits."""
         terms = self._terms([query])
         at = {t: F.col(f"f{k}") for k, t in enumerate(terms)}
-        return self.flags(terms).where(self._compile(query, at, strict)).select("doc_id")
+        return self.flags(terms, whole=matches_nothing([query], strict)).where(self._compile(query, at, strict)).select("doc_id")
 
     def facets(self, query: str, by: list[str], strict: bool = False) -> DataFrame:
         """(facet, value, n_hits): hits in all and by each of the columns ``by`` of the documents, in the pass that finds them.
@@ -75,7 +89,7 @@ class Searcher:
         terms = self._terms(list(queries.values()))
         at = {t: F.col(f"f{k}") for k, t in enumerate(terms)}
         met = [F.when(self._compile(q, at, strict), F.lit(i)) for i, q in queries.items()]
-        hits = self.flags(terms).select("doc_id", F.explode(F.array_compact(F.array(*met))).alias("query_id"))
+        hits = self.flags(terms, whole=matches_nothing(queries.values(), strict)).select("doc_id", F.explode(F.array_compact(F.array(*met))).alias("query_id"))
         return hits.select(F.col("query_id").cast("long").alias("query_id"), "doc_id")
 
     def search_sets(self, query: str, strict: bool = False) -> DataFrame:

@@ -136,18 +136,26 @@ RANKED = {1: "the of and", 2: "ther theron therhean", 3: "de la que de", 4: "tio
 _RANKED = ", ".join(f"({q}, '{w}')" for q, text in RANKED.items() for w in dict.fromkeys(text.split()))
 
 
-@register(
-    "search_ranked",
-    f"""{_T}, q AS (SELECT * FROM (VALUES {_RANKED}) v(query_id, token)), n AS (SELECT count(*)::DOUBLE AS n, (SELECT count(*) FROM t)::DOUBLE / count(*)::DOUBLE AS mean FROM documents),
+def _ranked_sql(values: str, where: str) -> str:
+    return f"""{_T}, p AS ({sql.POSTINGS}), q AS (SELECT * FROM (VALUES {values}) v(query_id, token)), n AS (SELECT count(*)::DOUBLE AS n, (SELECT count(*) FROM t)::DOUBLE / count(*)::DOUBLE AS mean FROM documents),
     l AS (SELECT doc_id, count(*) AS length FROM t GROUP BY doc_id), f AS (SELECT doc_id, token, count(*) AS tf FROM t WHERE token IN (SELECT token FROM q) GROUP BY ALL),
     d AS (SELECT token, ln(1 + (n - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf FROM f, n GROUP BY token, n),
-    s AS (SELECT query_id, doc_id, sum(floor(1000000 * idf * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / mean)) + 0.5e0)::BIGINT)::BIGINT AS score FROM q JOIN f USING (token) JOIN d USING (token) JOIN l USING (doc_id), n GROUP BY ALL)
-    SELECT query_id::BIGINT AS query_id, rank::INTEGER AS rank, doc_id, score / 1000000e0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
-)
+    s AS (SELECT query_id, doc_id, sum(floor(1000000 * idf * tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * length / mean)) + 0.5e0)::BIGINT)::BIGINT AS score FROM q JOIN f USING (token) JOIN d USING (token) JOIN l USING (doc_id), n WHERE {where} GROUP BY ALL)
+    SELECT query_id::BIGINT AS query_id, rank::INTEGER AS rank, doc_id, score / 1000000e0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10"""
+
+
+@register("search_ranked", _ranked_sql(_RANKED, "TRUE"))
 def search_ranked(spark, sf_dir):
     return Ranker(stored_index(spark, sf_dir)).search_batch(RANKED)
 
 
+@register("search_ranked_within", _ranked_sql(_RANKED, _NESTED))
+def search_ranked_within(spark, sf_dir):
+    """The best of a boolean query's hits."""
+    found = stored_index(spark, sf_dir)
+    return Ranker(found).search_batch(RANKED, within=IndexSearcher(found).search(NESTED))
+
+
 # Phrases and proximity
 
 

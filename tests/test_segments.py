@@ -162,6 +162,14 @@ def test_bm25_equals_plain_python(spark, corpus, one_shot):
     assert sorted(map(tuple, both.collect())) == [(q, *row) for q, text in ((1, "river bank"), (2, "not to be")) for row in score(corpus, text, 4)]
 
 
+def test_bm25_within_hits(spark, corpus, one_shot):
+    inside = {d for d in corpus if d % 2}
+    some = spark.createDataFrame([(d,) for d in sorted(inside)], "doc_id long")
+    want = [(d, s) for _, d, s in score(corpus, "the river bank", 500) if d in inside][:6]
+    got = ranking.Ranker(one_shot).search("the river bank", 6, some).orderBy("rank").collect()
+    assert [(r["doc_id"], r["score"]) for r in got] == want
+
+
 def test_bm25_skips_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ranking, "SEEDS", 2)
     rng = random.Random(3)
