@@ -81,7 +81,9 @@ def with_stem(df: DataFrame, token: str, out: str) -> DataFrame:
 
 
 def stem_word(word: str) -> str:
-    """Stem of one word, on the driver."""
+    """Stem of one word, outside of Spark's expressions. Without a Russian letter at its end it is its own stem."""
+    if not ("а" <= word[-1:] <= "я" or word[-1:] == "ё"):
+        return word
 
     def strip(w: str, suffixes: list[str]) -> tuple[str, bool]:
         found = re.search(suffix_pattern(suffixes) + r"\Z", w)

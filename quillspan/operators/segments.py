@@ -30,8 +30,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.stemmer import stem, stem_word
+from ..functions.stemmer import stem_word
 from ..functions.text import spread, title, token_array
 from ..sources.commits import Commits
 from ..sources.readers import remove_folder
@@ -48,68 +49,87 @@ _POSTINGS = (
     "term string, block long, n int, max_tf int, min_length int, ids array<long>, tfs array<int>, lengths array<int>, titles array<boolean>, places array<array<int>>"
 )
 _DOCS = "doc_id long, title string, length int, digest binary, terms array<string>"
+_FORWARD = f"{_DOCS}, tfs array<int>, titles array<boolean>, places array<array<int>>"
 
 
-def placed_terms(docs: DataFrame, mode: str = "reference") -> DataFrame:
-    """(term, doc_id, tf, length, title, places): a row for every document and term, without any shuffle.
-
-    ``places`` are the term's token numbers in the document, from 0; ``title`` says whether one is in the first line.
-    """
-    import pyspark.sql.types as T
+def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema = to_arrow_schema(T._parse_datatype_string(_PLACED))
+    return to_arrow_schema(T._parse_datatype_string(schema))
+
+
+def forward(docs: DataFrame, mode: str = "reference") -> DataFrame:
+    """One row for each document, without any shuffle: id, title, length in tokens, digest, and by distinct term parallel arrays of the
+    term, its occurrences, whether one is in the first line, and their places (token numbers from 0).
+
+    A batch of documents is grouped at once: its distinct tokens are stemmed, and one sort of the occurrences makes all lists.
+    """
+    schema = _arrow(_FORWARD)
 
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tokens, heads = batch.columns
+            ids, titles, digests, tokens, heads = batch.columns
             sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             coded = tokens.flatten().dictionary_encode()
-            if not len(coded):
-                continue
             stems = pa.array([stem_word(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
             term = stems.indices.to_numpy()[coded.indices.to_numpy()].astype(np.int64)
             doc = np.repeat(np.arange(len(sizes)), sizes)
-            first = np.cumsum(sizes) - sizes
-            place = np.arange(len(term)) - first[doc]
-            order = np.argsort(doc * len(stems.dictionary) + term, kind="stable")  # places stay in order
-            cell = (doc * len(stems.dictionary) + term)[order]
-            start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            place = np.arange(len(term)) - (np.cumsum(sizes) - sizes)[doc]
+            cell = doc * max(len(stems.dictionary), 1) + term
+            order = np.argsort(cell, kind="stable")  # places stay in order
+            place, cell = place[order], cell[order]
+            start = np.flatnonzero(np.diff(cell, prepend=-1))
             d, t = doc[order][start], term[order][start]
-            bounds = pa.array(np.r_[start, len(cell)], pa.int32())
-            places = pa.ListArray.from_arrays(bounds, pa.array(place[order], pa.int32()))
-            head = heads.to_numpy(zero_copy_only=False)[d]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    stems.dictionary.take(pa.array(t)), ids.take(pa.array(d)), pa.array(np.diff(np.r_[start, len(cell)]), pa.int32()),
-                    pa.array(sizes[d], pa.int32()), pa.array(place[order][start] < head), places,
-                ],
-                schema=schema,
-            )
+            by_doc = pa.array(np.searchsorted(d, np.arange(len(sizes) + 1)), pa.int32())
+            places = pa.ListArray.from_arrays(pa.array(np.append(start, len(cell)), pa.int32()), pa.array(place, pa.int32()))
+            values = (stems.dictionary.take(pa.array(t)), pa.array(np.diff(np.append(start, len(cell))), pa.int32()), pa.array(place[start] < heads.to_numpy(zero_copy_only=False)[d]), places)
+            columns = [ids, titles, pa.array(sizes, pa.int32()), digests, *(pa.ListArray.from_arrays(by_doc, v) for v in values)]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     head = F.size(token_array(F.substring_index("text", "\n", 1), mode))
-    return spread(docs.select("doc_id", "text")).select("doc_id", token_array("text", mode).alias("tokens"), head.alias("head")).mapInArrow(group, _PLACED)
+    rows = spread(docs.select("doc_id", "text")).select("doc_id", title("text").alias("title"), digest().alias("digest"), token_array("text", mode).alias("tokens"), head.alias("head"))
+    return rows.mapInArrow(group, _FORWARD)
+
+
+def placed_terms(rows: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, length, title, places): a row for every document and term of ``forward``."""
+    zipped = F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"), F.col("titles").alias("title"), "places")
+    return rows.select("doc_id", "length", F.explode(zipped).alias("t")).select("t.term", "doc_id", "t.tf", "length", "t.title", "t.places")
 
 
 def blocked(placed: DataFrame, width: int) -> DataFrame:
-    """Rows of ``placed_terms`` as rows of the ``postings`` table, range-partitioned and sorted by (term, block)."""
-    dealt = placed.withColumn("block", F.floor(F.col("doc_id") / F.lit(width)).cast("long")).repartitionByRange("term", "block")
-    rows = dealt.groupBy("term", "block").agg(
-        F.count("*").cast("int").alias("n"),
-        F.max("tf").alias("max_tf"),
-        F.min("length").alias("min_length"),
-        F.sort_array(F.collect_list(F.struct("doc_id", "tf", "length", "title", "places"))).alias("p"),
-    )
-    arrays = [F.col(f"p.{c}").alias(a) for c, a in (("doc_id", "ids"), ("tf", "tfs"), ("length", "lengths"), ("title", "titles"), ("places", "places"))]
-    return rows.select("term", "block", "n", "max_tf", "min_length", *arrays).sortWithinPartitions("term", "block")
-
-
-def document_rows(docs: DataFrame, mode: str = "reference") -> DataFrame:
-    """Rows of the ``docs`` table."""
-    tokens = token_array("text", mode)
-    return spread(docs.select("doc_id", "text")).select(
-        "doc_id", title("text").alias("title"), F.size(tokens).alias("length"), digest().alias("digest"), F.array_distinct(F.transform(F.array_distinct(tokens), stem)).alias("terms")
-    )
+    """Rows of ``placed_terms`` as rows of the ``postings`` table, range-partitioned and sorted by (term, block).
+
+    Sorted by document too, the rows of a block follow one another, and runs of them become rows with arrays.
+    """
+    schema = _arrow(_POSTINGS)
+    dealt = placed.withColumn("block", F.floor(F.col("doc_id") / F.lit(width)).cast("long")).repartitionByRange("term", "block").sortWithinPartitions("term", "block", "doc_id")
+
+    def packed(rows: pa.RecordBatch, start: np.ndarray) -> pa.RecordBatch:
+        term, block, ids, tfs, lengths, titles, places = rows.columns
+        bounds = pa.array(np.append(start, rows.num_rows), pa.int32())
+        first = pa.array(start)
+        n = np.diff(np.append(start, rows.num_rows))
+        most, least = np.maximum.reduceat(tfs.to_numpy(), start), np.minimum.reduceat(lengths.to_numpy(), start)
+        columns = [term.take(first), block.take(first), pa.array(n), pa.array(most), pa.array(least), *(pa.ListArray.from_arrays(bounds, c) for c in (ids, tfs, lengths, titles, places))]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last block, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            term, block = rows.column(0), rows.column(1).to_numpy()
+            other = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False) | (np.diff(block) != 0)
+            start = np.append(0, np.flatnonzero(other) + 1)
+            if len(start) > 1:
+                yield packed(rows.slice(0, int(start[-1])), start[:-1])
+            held = rows.slice(int(start[-1]))
+        if held is not None:
+            yield packed(held, np.zeros(1, dtype=np.int64))
+
+    return dealt.select("term", "block", "doc_id", "tf", "length", "title", "places").mapInArrow(pack, _POSTINGS)
 
 
 def digest(text: str = "text") -> Column:
@@ -304,17 +324,14 @@ class SegmentIndex:
     def _write(self, docs: DataFrame, name: str) -> bool:
         """Write the tables of a segment; without documents there is none."""
         home = self.commits.folder(name)
-        docs.write.parquet(f"{home}/source")  # read twice below, and the join before is not repeated
-        source = self.spark.read.schema("doc_id long, text string").parquet(f"{home}/source")
-        if source.isEmpty():
+        forward(docs, self.mode).write.parquet(f"{home}/forward")  # texts are read and cut once; the tables are made from this
+        rows = self.spark.read.schema(_FORWARD).parquet(f"{home}/forward")
+        if rows.isEmpty():
             return False
-        placed_terms(source, self.mode).write.parquet(f"{home}/placed")  # read for the ranges and again for the rows
-        placed = self.spark.read.schema(_PLACED).parquet(f"{home}/placed")
-        blocked(placed, self.width).write.parquet(f"{home}/postings")
-        document_rows(source, self.mode).repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{home}/docs")
+        blocked(placed_terms(rows), self.width).write.parquet(f"{home}/postings")
+        rows.select("doc_id", "title", "length", "digest", "terms").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{home}/docs")
         self._write_terms(name)
-        for kind in ("source", "placed"):
-            remove_folder(self.spark, f"{home}/{kind}")
+        remove_folder(self.spark, f"{home}/forward")
         return True
 
     def _write_terms(self, name: str) -> None:

@@ -9,7 +9,7 @@ from quillspan.functions.stemmer import stem_word
 from quillspan.functions.text import FOLDED, SEPARATORS
 from quillspan.operators import dictionary, index, ranking
 from quillspan.operators.lookup import IndexSearcher
-from quillspan.operators.segments import SegmentIndex, placed_terms
+from quillspan.operators.segments import SegmentIndex, blocked, forward, placed_terms
 from quillspan.plans.query_language import Atom, atom, lex
 from quillspan.sources.commits import Commits, ConcurrentCommit
 
@@ -62,7 +62,7 @@ def test_placed_terms_equal_plain_python(spark, corpus):
         for w in set(found):
             places = [k for k, x in enumerate(found) if x == w]
             want[w, d] = (len(places), len(found), places[0] < head, places)
-    got = {(r["term"], r["doc_id"]): (r["tf"], r["length"], r["title"], r["places"]) for r in placed_terms(frame(spark, corpus)).collect()}
+    got = {(r["term"], r["doc_id"]): (r["tf"], r["length"], r["title"], r["places"]) for r in placed_terms(forward(frame(spark, corpus))).collect()}
     assert got == want
 
 
@@ -76,6 +76,17 @@ def test_one_shot_index(spark, corpus, one_shot):
     assert all({i // 64 for i in r["ids"]} == {r["block"]} for r in rows)
 
 
+def test_blocks_go_on_over_batches(spark, corpus):
+    placed = placed_terms(forward(frame(spark, corpus)))
+    want = sorted(map(repr, blocked(placed, 64).collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert sorted(map(repr, blocked(placed, 64).collect())) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_batches_equal_one_shot(spark, corpus, one_shot, tmp_path):
     rng = random.Random(12)
     ix = SegmentIndex(spark, str(tmp_path / "i"), width=64)
