@@ -69,7 +69,7 @@ class Searcher:
         """doc_id of the hits."""
         terms = self._terms([query])
         at = {t: F.col(f"f{k}") for k, t in enumerate(terms)}
-        return self.flags(terms, whole=matches_nothing([query], strict)).where(self._compile(query, at, strict)).select("doc_id")
+        return self.flags(terms, whole=not terms or matches_nothing([query], strict)).where(self._compile(query, at, strict)).select("doc_id")
 
     def facets(self, query: str, by: list[str], strict: bool = False) -> DataFrame:
         """(facet, value, n_hits): hits in all and by each of the columns ``by`` of the documents, in the pass that finds them.
@@ -89,7 +89,7 @@ class Searcher:
         terms = self._terms(list(queries.values()))
         at = {t: F.col(f"f{k}") for k, t in enumerate(terms)}
         met = [F.when(self._compile(q, at, strict), F.lit(i)) for i, q in queries.items()]
-        hits = self.flags(terms, whole=matches_nothing(queries.values(), strict)).select("doc_id", F.explode(F.array_compact(F.array(*met))).alias("query_id"))
+        hits = self.flags(terms, whole=not terms or matches_nothing(queries.values(), strict)).select("doc_id", F.explode(F.array_compact(F.array(*met))).alias("query_id"))
         return hits.select(F.col("query_id").cast("long").alias("query_id"), "doc_id")
 
     def search_sets(self, query: str, strict: bool = False) -> DataFrame:

@@ -225,6 +225,7 @@ def test_extended_queries(spark, corpus, one_shot, merged, monkeypatch):
         '"sand of"~0 || "красивая домами"~9': lambda b: near(b, ["sand", "of"], 0) or near(b, w("красивая", "домами"), 9),
         '"zzz the"': lambda b: False,
         '""': lambda b: False,
+        "": lambda b: False,
         "bank*": lambda b: any(x.startswith("bank") for x in b),
         "*nd": lambda b: any(x.endswith("nd") for x in b),
         "*iv* && !b*k*d": lambda b: any("iv" in x for x in b) and not any(re.fullmatch("b.*k.*d", x) for x in b),
