@@ -6,6 +6,7 @@ import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -473,11 +474,16 @@ def crawl_pages(spark, sf_dir):
     number = F.floor(F.col("page_id") / 250)
     address = lambda k: F.concat(F.lit("https://site.example.org/list/"), k.cast("string"))
     link = F.concat(F.lit("<a class='item' href='"), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("'>x</a>"))
-    lists = pages.groupBy(number.alias("k")).agg(F.array_join(F.sort_array(F.collect_list(link)), "\n").alias("links"))
-    listing = F.concat("links", F.lit("<a class='next' href='"), address(F.col("k") + 1), F.lit("'>next</a>"))
-    log.unionAll(lists.select(address(F.col("k")), F.lit(200), listing)).write.parquet(f"{home}/web")
+    lists = pages.where("page_id IS NOT NULL").groupBy(number.alias("k")).agg(F.array_join(F.sort_array(F.collect_list(link)), "\n").alias("links"))
+    # One short row for each listing.
+    chain = lists.select("k", F.lead("k").over(W.orderBy("k")).alias("after")).cache()
+    after = F.coalesce(F.concat(F.lit("<a class='next' href='"), address(F.col("after")), F.lit("'>next</a>")), F.lit(""))
+    listing = F.concat("links", after)
+    log.unionAll(lists.join(chain, "k").select(address(F.col("k")), F.lit(200), listing)).write.parquet(f"{home}/web")
+    start = chain.agg(F.min("k")).first()[0]
+    chain.unpersist()
     web = spark.read.parquet(f"{home}/web")
-    source = readers.CrawlSource("site", "https://site.example.org/list/0", "a.item", "a.next", 1 << 30)
+    source = readers.CrawlSource("site", f"https://site.example.org/list/{start or 0}", "a.item", "a.next", 1 << 30)
     fetch = lambda urls: urls.join(web, "url")
     for run in range(2):
         crawl_loop.crawl_source(spark, source, fetch, f"{home}/store", run, pause=lambda seconds: None)

@@ -135,3 +135,27 @@ def test_crawl_loop(spark, tmp_path):
     assert [c.saved for c in again] == [0, 0] and spark.read.parquet(store).count() == 2
     assert crawl_loop.crawl(spark, [CrawlSource("x", "http://h/none", "a", "b", 3)], fetch, store, 0) == []
     assert (crawl_loop.delay(1.0, 2, jitter=0.0), crawl_loop.delay(1.0, 1, True)) == (4.0, 60.0)
+
+
+def test_numbered_listings_are_asked_for_together(spark, tmp_path):
+    from quillspan.sources.readers import CrawlSource
+    from quillspan.streaming import crawl_loop
+
+    numbers = [n for n in range(1, 61) if n != 40]  # a gap, after which the chain goes on
+    listing = lambda n, after: f"<a class='t' href='/a{n}'>x</a><a class='t' href='/a{n - 1}'>x</a><a class='t' href='/gone{n // 10}'>x</a>" + (f"<a class='n' href='/l/{after}'>n</a>" if after else "")
+    web = [(f"http://h/l/{n}", 200, listing(n, after)) for n, after in zip(numbers, [*numbers[1:], None])] + [(f"http://h/a{n}", 200, f"A{n}") for n in range(61)]
+    pages = spark.createDataFrame(web, "url string, status int, html string").cache()
+    asked = []
+
+    def fetch(urls):
+        asked.append(urls.count())
+        return urls.join(pages, "url")
+
+    store = str(tmp_path / "store")
+    counts = crawl_loop.crawl_source(spark, CrawlSource("s", "http://h/l/1", "a.t", "a.n", 1000), fetch, store, 0)
+    assert [c.page for c in counts] == list(range(1, 60)) and [c.url for c in counts] == [f"http://h/l/{n}" for n in numbers]
+    assert [(c.listed, c.known, c.saved, c.refused) for c in counts] == [(3, 0, 2, 1) if n in (1, 41) else (3, 1, 1, 1) for n in numbers]
+    assert sorted(r["raw_html"] for r in spark.read.parquet(store).collect()) == sorted(f"A{n}" for n in range(61))
+    assert len(asked) <= 8  # before: one fetch of a listing and one of its articles for each of 59 pages
+    assert crawl_loop.following("http://h/p009?x", 2) == "http://h/p011?x" and crawl_loop.following("http://h/x", 1) is None
+    assert len(crawl_loop.crawl_source(spark, CrawlSource("s", "http://h/l/1", "a.t", "a.n", 12), fetch, store, 1)) == 12
