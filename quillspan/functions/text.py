@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The characters that end a token.
@@ -63,6 +63,25 @@ def _row_groups(df: DataFrame) -> tuple[int, int] | None:
     return groups, size
 
 
+#: Bytes of one batch of rows that a Python worker gets.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker gets at once by bytes and not by rows alone, so that its memory does not follow the length of texts.
+
+    The bound stays set: results are planned when the caller reads them.
+    """
+    known = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if int(str(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(known))) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{BATCH_BYTES}b")
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Size of a frame by the planner's estimate."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small table in few splits out to more tasks; larger tables stay as they are split.
 
@@ -70,7 +89,7 @@ def spread(df: DataFrame) -> DataFrame:
     many cores there are. A split that begins no row group of its file reads nothing, so a table has no more
     splits than row groups, whose footers also tell its size before compression.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = plan_bytes(df)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if size > SPREAD_BYTES or cores < 2:
         return df

@@ -22,7 +22,7 @@ batch the last by ``order`` counts, then the one of greatest text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stemmer import stem_word
-from ..functions.text import spread, title, token_array
+from ..functions.text import TASK_BYTES, bounded_batches, plan_bytes, spread, title, token_array
 from ..sources.commits import Commits
 from ..sources.readers import remove_folder
 
@@ -50,6 +50,8 @@ _POSTINGS = (
 )
 _DOCS = "doc_id long, title string, length int, digest binary, terms array<string>"
 _FORWARD = f"{_DOCS}, tfs array<int>, titles array<boolean>, places array<array<int>>"
+_PART = "term string, block long, ids array<long>, tfs array<int>, lengths array<int>, titles array<boolean>, places array<int>"
+_CUT = f"{_DOCS}, part struct<{', '.join(c.replace(' ', ':', 1) for c in _PART.split(', '))}>"
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -87,10 +89,101 @@ def forward(docs: DataFrame, mode: str = "reference") -> DataFrame:
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     head = F.size(token_array(F.substring_index("text", "\n", 1), mode))
+    bounded_batches(docs.sparkSession)
     rows = spread(docs.select("doc_id", "text")).select("doc_id", title("text").alias("title"), digest().alias("digest"), token_array("text", mode).alias("tokens"), head.alias("head"))
     return rows.mapInArrow(group, _FORWARD)
 
 
+def cut(docs: DataFrame, width: int, mode: str = "reference") -> DataFrame:
+    """Documents in ascending id, cut once: a row for each document (doc_id, title, length, digest, terms), and rows with a ``part`` of the postings only.
+
+    A part holds a term's documents in one block as far as one batch has them: what is shuffled has a row for each term and block instead of one for
+    each term and document. Its places lie one after another, as many for each document as ``tfs`` tells. A batch is bounded by bytes.
+    """
+    schema = _arrow(_CUT)
+    kinds = {f.name: f.type for f in _arrow(_PART)}
+
+    def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, titles, digests, tokens, heads = batch.columns
+            sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            coded = tokens.flatten().dictionary_encode()
+            stems = pa.array([stem_word(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+            term = stems.indices.to_numpy()[coded.indices.to_numpy()].astype(np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(term), dtype=np.int32) - (np.cumsum(sizes) - sizes).astype(np.int32)[doc]
+            cell = doc * max(len(stems.dictionary), 1) + term
+            order = np.argsort(cell, kind="stable")  # places stay in order
+            place, cell = place[order], cell[order]
+            start = np.flatnonzero(np.diff(cell, prepend=-1))
+            d, t = doc[order][start], term[order][start]
+            n = np.diff(np.append(start, len(cell)))
+            by_doc = pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(len(sizes) + 1)), pa.int32()), stems.dictionary.take(pa.array(t)))
+            columns = [ids, titles, pa.array(sizes, pa.int32()), digests, by_doc]
+            yield pa.RecordBatch.from_arrays([*(c.cast(f.type) for c, f in zip(columns, schema)), pa.nulls(len(sizes), schema.field("part").type)], schema=schema)
+
+            block = np.floor_divide(ids.to_numpy(), width)
+            key = np.unique(block, return_inverse=True)[1][d] * max(len(stems.dictionary), 1) + t
+            order = np.argsort(key, kind="stable")  # documents stay in order
+            first = np.flatnonzero(np.diff(key[order], prepend=-1))
+            bounds = pa.array(np.append(first, len(key)), pa.int32())
+            at = d[order]
+            places = pa.ListArray.from_arrays(pa.array(np.append(start, len(cell)), pa.int32()), pa.array(place)).take(pa.array(order))
+            ends = np.append(0, np.cumsum(n[order]))
+            heads_ = heads.to_numpy(zero_copy_only=False)
+            lists = (ids.take(pa.array(at)), pa.array(n[order], pa.int32()), pa.array(sizes[at], pa.int32()), pa.array((place[start] < heads_[d])[order]))
+            made = [stems.dictionary.take(pa.array(t[order][first])), pa.array(block[at[first]]), *(pa.ListArray.from_arrays(bounds, v) for v in lists)]
+            made.append(pa.ListArray.from_arrays(pa.array(ends[np.append(first, len(key))], pa.int32()), places.flatten()))
+            part = pa.StructArray.from_arrays([c.cast(kinds[k]) for c, k in zip(made, kinds)], fields=list(schema.field("part").type))
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part), f.type) for f in list(schema)[:-1]), part], schema=schema)
+
+    head = F.size(token_array(F.substring_index("text", "\n", 1), mode))
+    bounded_batches(docs.sparkSession)
+    return docs.select("doc_id", title("text").alias("title"), digest().alias("digest"), token_array("text", mode).alias("tokens"), head.alias("head")).mapInArrow(group, _CUT)
+
+
+def joined(parts: DataFrame) -> DataFrame:
+    """Parts as rows of the ``postings`` table, range-partitioned and sorted by (term, block)."""
+    schema = _arrow(_POSTINGS)
+
+    def whole(rows: pa.RecordBatch, start: np.ndarray) -> pa.RecordBatch:
+        term, block, ids, tfs, lengths, titles, places = rows.columns
+        firsts = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
+        bounds = firsts[np.append(start, rows.num_rows)]
+        tf, length, first = tfs.flatten(), lengths.flatten(), pa.array(start)
+        inner = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(tf.to_numpy())), pa.int32()), places.flatten())
+        most, least = np.maximum.reduceat(tf.to_numpy(), bounds[:-1]), np.minimum.reduceat(length.to_numpy(), bounds[:-1])
+        lists = (pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), c) for c in (ids.flatten(), tf, length, titles.flatten(), inner))
+        columns = [term.take(first), block.take(first), pa.array(np.diff(bounds)), pa.array(most), pa.array(least), *lists]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    bounded_batches(parts.sparkSession)
+    # The parts of a block hold ranges of ids one after another.
+    dealt = parts.repartitionByRange("term", "block").sortWithinPartitions("term", "block", F.element_at("ids", 1))
+    return dealt.mapInArrow(_runs(whole), _POSTINGS)
+
+
+def _runs(made: Callable[[pa.RecordBatch, np.ndarray], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``made`` of rows sorted by their first two columns, (term, block), and of the first row of each block."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last block, which may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            term, block = rows.column(0), rows.column(1).to_numpy()
+            other = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False) | (np.diff(block) != 0)
+            start = np.append(0, np.flatnonzero(other) + 1)
+            if len(start) > 1:
+                yield made(rows.slice(0, int(start[-1])), start[:-1])
+            held = rows.slice(int(start[-1]))
+        if held is not None:
+            yield made(held, np.zeros(1, dtype=np.int64))
+
+    return pack
+
+
 def placed_terms(rows: DataFrame) -> DataFrame:
     """(term, doc_id, tf, length, title, places): a row for every document and term of ``forward``."""
     zipped = F.arrays_zip(F.col("terms").alias("term"), F.col("tfs").alias("tf"), F.col("titles").alias("title"), "places")
@@ -114,22 +207,8 @@ def blocked(placed: DataFrame, width: int) -> DataFrame:
         columns = [term.take(first), block.take(first), pa.array(n), pa.array(most), pa.array(least), *(pa.ListArray.from_arrays(bounds, c) for c in (ids, tfs, lengths, titles, places))]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the last block, which may go on in the next batch
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch if held is None else pa.concat_batches([held, batch])
-            term, block = rows.column(0), rows.column(1).to_numpy()
-            other = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False) | (np.diff(block) != 0)
-            start = np.append(0, np.flatnonzero(other) + 1)
-            if len(start) > 1:
-                yield packed(rows.slice(0, int(start[-1])), start[:-1])
-            held = rows.slice(int(start[-1]))
-        if held is not None:
-            yield packed(held, np.zeros(1, dtype=np.int64))
-
-    return dealt.select("term", "block", "doc_id", "tf", "length", "title", "places").mapInArrow(pack, _POSTINGS)
+    bounded_batches(placed.sparkSession)
+    return dealt.select("term", "block", "doc_id", "tf", "length", "title", "places").mapInArrow(_runs(packed), _POSTINGS)
 
 
 def digest(text: str = "text") -> Column:
@@ -152,6 +231,16 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionAll, frames)
 
 
+#: Bytes of a table, as the planner knows them, for each task that cuts its texts.
+CUT_BYTES = 16 << 20
+
+
+def _tasks(df: DataFrame) -> int | None:
+    """Tasks that cut the texts of a table: as many as there are cores, more for larger tables; None if its size is not known."""
+    size = plan_bytes(df)
+    return None if size >= 1 << 50 else int(max(1, min(df.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES), size // CUT_BYTES))
+
+
 def few(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` hinted for broadcast if it has at most ``FEW_ROWS`` rows; they are counted up to that bound unless ``rows`` tells them."""
     return F.broadcast(df) if (df.limit(FEW_ROWS + 1).count() if rows is None else rows) <= FEW_ROWS else df
@@ -315,23 +404,27 @@ class SegmentIndex:
     def _fresh(self, upserts: DataFrame, order: tuple[str, ...]) -> DataFrame:
         """One (doc_id, text) for each id whose text the index does not have."""
         rows = upserts.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*order, "text").alias("row")).where("doc_id IS NOT NULL")
+        tasks = _tasks(upserts)
+        dealt = lambda df: df.repartitionByRange(*([tasks] if tasks else []), "doc_id")
+        first = not self.state.get("segments")
+        rows = dealt(rows) if first else rows  # ranges of ids bring the rows of one id together, too
         last = rows.groupBy("doc_id").agg(F.max("row").alias("row")).select("doc_id", "row.text")
-        if not self.state.get("segments"):
-            return last
-        known = self.docs().select("doc_id", F.col("digest").alias("old"))
-        return last.withColumn("digest", digest()).join(known, "doc_id", "left").where(~F.col("digest").eqNullSafe(F.col("old"))).select("doc_id", "text")
+        if not first:
+            known = self.docs().select("doc_id", F.col("digest").alias("old"))
+            last = dealt(last.withColumn("digest", digest()).join(known, "doc_id", "left").where(~F.col("digest").eqNullSafe(F.col("old"))).select("doc_id", "text"))
+        return last.sortWithinPartitions("doc_id")
 
     def _write(self, docs: DataFrame, name: str) -> bool:
-        """Write the tables of a segment; without documents there is none."""
+        """Write the tables of a segment from documents in ranges of ascending ids; without documents there is none."""
         home = self.commits.folder(name)
-        forward(docs, self.mode).write.parquet(f"{home}/forward")  # texts are read and cut once; the tables are made from this
-        rows = self.spark.read.schema(_FORWARD).parquet(f"{home}/forward")
+        cut(docs, self.width, self.mode).write.parquet(f"{home}/cut")  # texts are read and cut once; the tables are made from this
+        rows = self.spark.read.schema(_CUT).parquet(f"{home}/cut")
         if rows.isEmpty():
             return False
-        blocked(placed_terms(rows), self.width).write.parquet(f"{home}/postings")
-        rows.select("doc_id", "title", "length", "digest", "terms").repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.parquet(f"{home}/docs")
+        joined(rows.where("part IS NOT NULL").select("part.*")).write.parquet(f"{home}/postings")
+        rows.where("doc_id IS NOT NULL").select("doc_id", "title", "length", "digest", "terms").write.parquet(f"{home}/docs")
         self._write_terms(name)
-        remove_folder(self.spark, f"{home}/forward")
+        remove_folder(self.spark, f"{home}/cut")
         return True
 
     def _write_terms(self, name: str) -> None:

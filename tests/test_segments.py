@@ -295,3 +295,21 @@ def test_highlight(spark, one_shot):
     s = IndexSearcher(ix)
     got = {r["doc_id"]: (r["begin"], r["snippet"]) for r in s.highlight([1, 2, 3, 4], "river && bank sand", frame(spark, docs), 4).collect()}
     assert got == {1: (5, "sand x bank river"), 2: (0, "sand sand"), 3: (0, "x y z"), 4: (31, "river bank")}
+
+
+def test_parts_of_blocks_equal_single_rows(spark, corpus):
+    from quillspan.functions.text import BATCH_BYTES, bounded_batches
+    from quillspan.operators.segments import cut, joined
+
+    docs = frame(spark, corpus).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "256m")
+    parts = cut(docs, 64).where("part IS NOT NULL").select("part.*").cache()
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES  # before: batches were bounded by rows alone
+    plain = blocked(placed_terms(forward(docs)), 64)
+    assert sorted(map(repr, joined(parts).collect())) == sorted(map(repr, plain.collect()))
+    assert parts.count() < placed_terms(forward(docs)).count()  # what is shuffled
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1000b")
+    bounded_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1000b"
+    assert sorted(map(repr, joined(parts).collect())) == sorted(map(repr, plain.collect()))
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
