@@ -159,3 +159,27 @@ def test_numbered_listings_are_asked_for_together(spark, tmp_path):
     assert len(asked) <= 8  # before: one fetch of a listing and one of its articles for each of 59 pages
     assert crawl_loop.following("http://h/p009?x", 2) == "http://h/p011?x" and crawl_loop.following("http://h/x", 1) is None
     assert len(crawl_loop.crawl_source(spark, CrawlSource("s", "http://h/l/1", "a.t", "a.n", 12), fetch, store, 1)) == 12
+
+
+def test_batches_of_pages_are_bounded_by_bytes(spark):
+    from quillspan.functions.text import BATCH_BYTES
+
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "256m")
+    pages = spark.createDataFrame([(source, page) for source, page, _ in fixtures.ARTICLES], "source string, html string")
+    got = pages.select(html.article_text("source", "html").alias("t")).collect()
+    assert [r["t"] for r in got] == [want for *_, want in fixtures.ARTICLES]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) == BATCH_BYTES  # before: 256m, batches bounded by rows alone
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+def test_counted_ingest_lands_in_many_files(spark, tmp_path, monkeypatch):
+    from quillspan.plans import catalog
+
+    rows = [(k, f"http://a.com/{k % 20}", "x") for k in range(30)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    landed, start = [], ingest.start_ingest
+    monkeypatch.setattr(catalog.ingest, "start_ingest", lambda s, landing, *a, **k: landed.append(len(s.read.parquet(landing).inputFiles())) or start(s, landing, *a, **k))
+    monkeypatch.setattr(catalog, "_pages", lambda s, d: spark.read.parquet(f"{d}/pages.parquet").repartition(3))
+    got = [tuple(r) for r in catalog.ingest_counters(spark, str(tmp_path)).collect()]
+    assert got == [(30, 10, 0, 20), (30, 10, 20, 0)]
+    assert landed == [3, 3]  # before: one file, written by one task
