@@ -20,13 +20,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.crawl import with_identity
-from ..operators.segments import few
 from ..sources.commits import Commits
 
 #: What the store adds to the columns of a page.
 _ADDED = [T.StructField("url_hash", T.StringType()), T.StructField("content_hash", T.BinaryType()), T.StructField("version", T.IntegerType())]
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A side that grows with the store and that each batch meets anew: sorted and merged, so that it does not pass through the driver with every batch."""
+    return df.hint("merge")
+
+
 class PageStore:
     """Pages under a folder; ``schema`` has url, html and crawled_at (a number or a time), the columns ``order``, and whatever else is kept."""
 
@@ -62,7 +66,7 @@ class PageStore:
         if not names:
             return self.history()
         old = [self.spark.read.schema("part string, url_hash string").parquet(f"{self.commits.folder(n)}/superseded") for n in names]
-        return self.history().join(few(reduce(DataFrame.unionAll, old), self.state["n_superseded"]), ["part", "url_hash"], "left_anti")
+        return self.history().join(_shuffled(reduce(DataFrame.unionAll, old)), ["part", "url_hash"], "left_anti")
 
     def upsert(self, batch: DataFrame, compact_at: int | None = 16) -> dict[str, int]:
         """Take in a batch of crawled pages; returns counts of what happened, taken while the rows are written."""
@@ -72,8 +76,8 @@ class PageStore:
         newest = known.groupBy("url_hash").agg(F.max(F.struct(*self.key, *rest)).alias("r"), F.count(F.lit(1)).alias("_rows")).select("r.*", "url_hash", "_rows")
         newest = newest.withColumn("content_hash", F.coalesce(F.unhex(F.sha2("html", 256)), F.lit(b"")))
         stored = self._current().select("url_hash", F.col("content_hash").alias("_hash"), F.col("version").alias("_version"), F.struct(*self.key).alias("_at"), F.col("part").alias("_part"))
-        stored = stored.join(self._crawls(), "url_hash", "left").withColumn("_at", F.greatest("_at", "last")).drop("last")
-        met = newest.join(stored, "url_hash", "left")
+        stored = stored.join(_shuffled(self._crawls()), "url_hash", "left").withColumn("_at", F.greatest("_at", "last")).drop("last")
+        met = newest.join(_shuffled(stored), "url_hash", "left")
         named = F.col("url_hash").isNotNull()
         fresh, later = named & F.col("_hash").isNull(), F.col("_hash").isNotNull() & (F.struct(*self.key) > F.col("_at"))
         changed = later & (F.col("content_hash") != F.col("_hash"))

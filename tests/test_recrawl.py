@@ -115,3 +115,12 @@ def test_mandelbrot_of_few_frequencies(spark):
     assert (one.scale, one.shift, one.exponent) == pytest.approx((5.0, 0.0, 0.0), abs=1e-6)
     two = zipf.mandelbrot(table(8, 4))
     assert (two.scale, two.shift, two.exponent) == pytest.approx((8.0, 0.0, 1.0), abs=1e-6)
+
+
+def test_what_grows_is_not_broadcast(spark, tmp_path):
+    s = PageStore(spark, str(tmp_path / "s"), SCHEMA)
+    s.upsert(rows(spark, [(1, "http://a/", "one", 10), (2, "http://b/", "b", 10)]))
+    s.upsert(rows(spark, [(1, "http://a/", "two", 20)]))
+    plan = s._current()._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan  # before: what was superseded went through the driver with every batch
+    assert now(s) == [("http://a/", "two", 2, 20), ("http://b/", "b", 1, 10)]
