@@ -36,43 +36,75 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _tail(word: Column, size: int) -> Column:
+    return F.substring(word, -size, size)
+
+
+def _by_suffix(word: Column, suffixes: list[str], found: Callable[[int], Column], none: Column) -> Column:
+    """``found`` of the size of the longest suffix that the word has, or ``none``.
+
+    Ends are looked up in sets, most words are told apart by their last letter. A pattern would be tried at every letter of the word.
+    """
+    sizes = sorted({len(s) for s in suffixes}, reverse=True)
+    out = F
+    for size in sizes:
+        out = out.when(_tail(word, size).isin([s for s in suffixes if len(s) == size]), found(size))
+    out = out.otherwise(none)
+    return F.when(_tail(word, 1).isin(_last_letters(suffixes)), out).otherwise(none) if len(sizes) > 1 else out
+
+
+def _last_letters(suffixes: list[str]) -> list[str]:
+    return sorted({s[-1] for s in suffixes})
+
+
+def _free(word: Column, size: int) -> Column:
+    """Whether a suffix may go; each of its letters has two bytes."""
+    return F.octet_length(word) > GUARD + 2 * size
+
+
 def _hit(word: Column, suffixes: list[str]) -> Column:
-    """The suffix to strip, or an empty string."""
-    pattern = suffix_pattern(suffixes) + r"\z"
-    fits = lambda found: F.when(F.octet_length(word) - F.octet_length(found) > GUARD, found).otherwise(F.lit(""))
-    return _let(F.regexp_extract(word, pattern, 1), fits)
+    """The size of the suffix to strip, or 0."""
+    return _by_suffix(word, suffixes, lambda size: F.when(_free(word, size), size).otherwise(0), F.lit(0))
 
 
-def _cut(word: Column, suffix: Column) -> Column:
-    return F.substring(word, F.lit(1), F.char_length(word) - F.char_length(suffix))
+def _cut(word: Column, size: Column | int) -> Column:
+    return F.substring(word, F.lit(1), F.char_length(word) - size)
 
 
 def _strip(word: Column, suffixes: list[str]) -> Column:
-    return _let(_hit(word, suffixes), lambda s: _cut(word, s))
+    return _by_suffix(word, suffixes, lambda size: F.when(_free(word, size), _cut(word, size)).otherwise(word), word)
 
 
 def _main(word: Column) -> Column:
     """Adjective and participle, or else verb, or else noun."""
 
     def by_verb(verb: Column) -> Column:
-        return F.when(verb != "", _cut(word, verb)).otherwise(_strip(word, NOUN))
+        return F.when(verb > 0, _cut(word, verb)).otherwise(_strip(word, NOUN))
 
     def by_adjective(adjective: Column) -> Column:
         participle = _let(_cut(word, adjective), lambda w: _strip(w, PARTICIPLE))
-        return F.when(adjective != "", participle).otherwise(_let(_hit(word, VERB), by_verb))
+        return F.when(adjective > 0, participle).otherwise(_let(_hit(word, VERB), by_verb))
 
     return _let(_hit(word, ADJECTIVE), by_adjective)
 
 
+def _without_ost(word: Column) -> Column:
+    return F.when(word.endswith("ость"), F.regexp_replace(word, r"(?<=[^аеиоуыэюя])ость\z", "")).otherwise(word)
+
+
+#: Letters that a word must end in to be changed.
+_ENDS = _last_letters([*REFLEXIVE, *ADJECTIVE, *VERB, *NOUN, "и", "ость", *SUPERLATIVE])
+
+
 def stem(word: Column | str) -> Column:
-    """Stem of a folded token. Tokens that do not end in a Russian letter are their own stems at the cost of one test."""
+    """Stem of a folded token. Tokens that do not end in a letter of any suffix are their own stems at the cost of one test."""
     word = F.col(word) if isinstance(word, str) else word
     out = _let(word, lambda w: _strip(w, REFLEXIVE))
     out = _let(out, _main)
     out = _let(out, lambda w: _strip(w, ["и"]))
-    out = F.regexp_replace(out, r"(?<=[^аеиоуыэюя])ость\z", "")
+    out = _let(out, _without_ost)
     out = _let(out, lambda w: _strip(w, SUPERLATIVE))
-    return F.when(word.rlike(r"[а-яё]\z"), out).otherwise(word)
+    return F.when(_tail(word, 1).isin(_ENDS), out).otherwise(word)
 
 
 def with_stem(df: DataFrame, token: str, out: str) -> DataFrame:

@@ -45,8 +45,8 @@ def postings_flat(docs: DataFrame, mode: str = "reference") -> DataFrame:
     """(term, doc_id), distinct, without any shuffle.
 
     A document's distinct tokens are stemmed and made distinct again inside its row. Joining a stemmed
-    vocabulary instead would stem less, but shuffle every pair twice (measured: the same time on
-    Cyrillic text, three times as long on Latin text).
+    vocabulary instead would stem less, but shuffle every pair twice (measured when a stem cost several
+    times as much as now: the same time on Cyrillic text, three times as long on Latin text).
     """
     terms = F.array_distinct(F.transform(F.array_distinct(token_array("text", mode)), stem))
     return spread(docs.select("doc_id", "text")).select(F.explode(terms).alias("term"), "doc_id")

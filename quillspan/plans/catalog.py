@@ -293,7 +293,10 @@ def parse_rpn(spark, sf_dir):
 
 
 def _cyrillic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.translate(fold("text"), *fixtures.LETTERS).alias("text"))
+    """Latin capitals become small Cyrillic letters in the same pass; all others are folded when the text is cut into tokens."""
+    letters, cyrillic = fixtures.LETTERS
+    latin = letters[:26]
+    return _docs(spark, sf_dir).select("doc_id", F.translate("text", letters + latin.upper(), cyrillic + cyrillic[:26]).alias("text"))
 
 
 _CYRILLIC = f"SELECT doc_id, translate(token, '{fixtures.LETTERS[0]}', '{fixtures.LETTERS[1]}') AS token FROM ({sql.TOKENS})"
